@@ -53,7 +53,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """
     links = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = links.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    links = links.join(known, "parent", "left").select("conv_id", "node", F.when("there", F.col("parent")).alias("parent"), "score")
+    links = links.join(known, "parent", "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
     links = write_table(links, "links")
     # anc: the 2^k-th ancestor; total and depth: over the nodes before it
     jumps = [links.select("node", F.col("parent").alias("anc"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))]

@@ -1,7 +1,8 @@
 """Operator 6, toxicity from the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows (EXAMPLES) gives the terms: words whose presence is associated with the label (chi-square). Document
-frequencies of these terms are counted over all texts. Each example is a unit TF-IDF vector in an inverted index with block
+A bounded sample of labelled rows (EXAMPLES) gives the terms: words, beginnings of words, runs of signs and capitals whose presence is
+associated with the label (chi-square). How densely such words stand in a text is a term too, by steps of its logarithm. Document
+frequencies of all terms are counted over all texts. Each example is a unit TF-IDF vector in an inverted index with block
 maxima: for each term and each block of 64 examples the largest weight in it. A text's blocks are visited from the highest
 upper bound down, until no block can hold a nearer example than the K found: the K nearest are exact. Votes weighted by cosine give a
 raw score, which a monotone curve fitted on the examples themselves (each without its own vote) turns into a probability. The
@@ -32,35 +33,90 @@ CHI2 = 40.0
 K = 15
 BLOCK = 64
 THRESHOLD = 0.7
-_WORD = re.compile(r"\w+")
+_TOKEN = re.compile(r"\w+|[!?]{2,}")
+#: Lengths of the beginnings of words that can be terms.
+PREFIXES = (3, 4, 5, 6, 7)
+CAPITALS = "^capitals"
+#: Steps of density: each is 1.4 times the one before. Neighbouring steps share a term.
+STEPS, RATIO, DENSITY_WEIGHT = 24, 1.4, 2.5
 EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def features(token: str) -> list[str]:
+    """What a token of a text can be a term by."""
+    low = token.lower()
+    out = [low, *(low[:k] + "*" for k in PREFIXES if len(low) > k)]
+    return [*out, CAPITALS] if len(token) > 2 and token.isupper() else out
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold each word, summed over the task."""
+    """Documents of either label that hold each feature, summed over the task."""
     bad: Counter = Counter()
     good: Counter = Counter()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            (bad if toxic else good).update(set(words(text)))
+            (bad if toxic else good).update({f for w in set(_TOKEN.findall(text or "")) for f in features(w)})
     listed = list(bad.keys() | good.keys())
     yield pa.RecordBatch.from_arrays([pa.array(listed, pa.string()), pa.array([bad[w] for w in listed], pa.int64()), pa.array([good[w] for w in listed], pa.int64())], ["word", "bad", "good"])
 
 
-def _frequency(terms: dict[str, int]):
+class Terms:
+    """Counts of the terms in a text. The last 2 + STEPS numbers are those of densities."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self.place = {t: i for i, t in enumerate(terms)}
+        self.size = len(terms) + STEPS + 1
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, token: str) -> tuple[int, ...]:
+        found = self.known.get(token)
+        if found is None:
+            place = self.place
+            found = tuple(place[f] for f in features(token) if f in place)
+            if len(self.known) < 300_000:
+                self.known[token] = found
+        return found
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and how often they occur (1 for a density), sorted by term."""
+        tokens = Counter(_TOKEN.findall(text or ""))
+        tf: Counter = Counter()
+        hits = 0
+        for token, n in tokens.items():
+            own = self.of(token)
+            if own:
+                hits += n
+                for t in own:
+                    tf[t] += n
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0)
+        step = int(np.clip(STEPS - 1 + np.floor(np.log(hits / sum(tokens.values())) / np.log(RATIO)), 0, STEPS - 1))
+        base = len(self.terms) + step
+        tf[base] = tf[base + 1] = 1
+        at = np.array(sorted(tf), np.int64)
+        return at, np.array([tf[t] for t in at], float)
+
+
+def _frequency(terms: Terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(terms), np.int64), 0
+        df, n = np.zeros(terms.size, np.int64), 0
         for batch in batches:
             for part in slices(batch, 500):
                 for text in part.column("text").to_pylist():
                     n += 1
-                    for w in terms.keys() & set(words(text)):
-                        df[terms[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(terms)), -1)), pa.array(np.append(df, n))], ["term", "df"])
+                    df[terms.counts(text)[0]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(terms.size), -1)), pa.array(np.append(df, n))], ["term", "df"])
+
+    return run
+
+
+def _counted(terms: Terms):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms.counts(t) for t in batch.column("text").to_pylist()]
+            cols = [pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *cols], ["doc_id", "toxic", "term", "tf"])
 
     return run
 
@@ -68,34 +124,31 @@ def _frequency(terms: dict[str, int]):
 class Index:
     """Exact nearest examples by cosine, with block maxima."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], texts: list[str], labels: list[int]):
-        self.terms, self.idf = {t: i for i, t in enumerate(terms)}, idf
+    def __init__(self, terms: Terms, idf: np.ndarray, ids: list[int], counts: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
+        self.terms, self.idf = terms, idf
         self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
-        vectors = [self.vector(t) for t in texts]
+        vectors = [self.vector(*c) for c in counts]
         keep = [i for i, (at, _) in enumerate(vectors) if len(at)]
         self.rest = np.array([i for i, (at, _) in enumerate(vectors) if not len(at)], np.int64)
         # examples alike stand in one block, which makes its maxima tight
         keep.sort(key=lambda i: (tuple(vectors[i][0]), self.ids[i]))
         self.order = np.array(keep, np.int64)
-        self.weights = np.zeros((len(keep), len(terms)), np.float64)
+        self.weights = np.zeros((len(keep), terms.size))
         for row, i in enumerate(keep):
             self.weights[row, vectors[i][0]] = vectors[i][1]
         blocks = -(-len(keep) // BLOCK)
-        self.block_max = np.zeros((blocks, len(terms)))
+        self.block_max = np.zeros((blocks, terms.size))
         for b in range(blocks):
             self.block_max[b] = self.weights[b * BLOCK : (b + 1) * BLOCK].max(axis=0)
         self.prior = 0.0
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.known: dict[bytes, tuple[float, list[dict]]] = {}
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights of a whole text; tf is damped by a logarithm."""
-        get = self.terms.get
-        counts = Counter(t for t in map(get, words(text)) if t is not None)
-        at = np.array(sorted(counts), np.int64)
         if not len(at):
-            return at, np.zeros(0)
-        x = (1 + np.log(np.array([counts[t] for t in at], float))) * self.idf[at]
+            return at, tf
+        x = (1 + np.log(tf)) * self.idf[at] * np.where(at >= len(self.terms.terms), DENSITY_WEIGHT, 1.0)
         return at, x / np.sqrt(x @ x)
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +188,10 @@ class Index:
                 levels[-1] = [p + q for p, q in zip(levels[-1], a)]
         x = np.array([s / n for _, n, s in levels])
         y = np.array([(t + 0.5 * self.prior) / (n + 0.5) for t, n, _ in levels])
-        self.curve = (x, y)
+        self.curve = (x, np.maximum.accumulate(y))
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        at, x = self.vector(text)
+        at, x = self.vector(*self.terms.counts(text))
         if not len(at):
             return self.prior, []
         key = at.tobytes() + np.round(x, 12).tobytes()
@@ -166,18 +219,17 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
     below = (F.col("a") + F.col("b")) * (c + d) * float(n_bad) * float(n_good)
     seen = seen.withColumn("chi2", F.try_divide(n * F.pow(F.col("a") * d - F.col("b") * c, 2), below))
     terms = [r["word"] for r in seen.where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).select("word").collect()]
-    place = {t: i for i, t in enumerate(terms)}
-    df, total = np.zeros(len(terms)), 0
-    for r in own.select("text").mapInArrow(_frequency(place), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # TERMS + 1 rows
+    own_terms = Terms(terms)
+    df, total = np.zeros(own_terms.size), 0
+    for r in own.select("text").mapInArrow(_frequency(own_terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row for each term
         if r["term"] >= 0:
             df[r["term"]] = r["df"]
         else:
             total = r["df"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    # only words that are terms matter to the index, so only these are brought to the driver
-    kept = rows.select("doc_id", "toxic", F.array_join(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: w.isin(terms) if terms else F.lit(False)), " ").alias("text"))
-    found = kept.orderBy("doc_id").toPandas()
-    index = Index(terms, idf, found["doc_id"].tolist(), found["text"].tolist(), found["toxic"].tolist())
+    found = rows.mapInArrow(_counted(own_terms), "doc_id long, toxic int, term array<long>, tf array<double>").orderBy("doc_id").toPandas()  # the bounded examples
+    counts = [(np.array(a, np.int64), np.array(x, float)) for a, x in zip(found["term"], found["tf"])]
+    index = Index(own_terms, idf, found["doc_id"].tolist(), counts, found["toxic"].tolist())
     index.calibrate()
     return index
 
