@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import expressions, geo, observatory, operations, scoring, sources, streams
+
+MODULES = (expressions, observatory, scoring, geo, operations, sources, streams)
+
 
 def queries() -> dict:
-    return {}
+    return {name: build for m in MODULES for name, (build, _) in m.REGISTER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.REGISTER.items() if sql}
