@@ -104,17 +104,20 @@ def _encode(codes: Codes):
     return run
 
 
-def _probes(codes: Codes, share: float):
+def _probes(codes: Codes, share: float, sizes: np.ndarray, least: int):
+    """The lists each query visits: a share of them, and as many more as it takes to meet `least` vectors."""
     n = max(1, round(share * len(codes.centroids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 q = _stack(batch.column("v"))
-                lists = np.argsort(-(q @ codes.centroids.T), axis=1, kind="stable")[:, :n]
-                ids = np.repeat(batch.column("vec_id").to_numpy(), n)
-                take = pa.array(np.repeat(np.arange(len(q)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lists.ravel()), batch.column("v").take(take)], ["query_id", "list", "v"])
+                order = np.argsort(-(q @ codes.centroids.T), axis=1, kind="stable")
+                met = np.cumsum(sizes[order], axis=1)
+                visits = np.maximum(n, (met < least).sum(axis=1) + 1).clip(max=order.shape[1])
+                lists = order[np.arange(order.shape[1]) < visits[:, None]]
+                take = np.repeat(np.arange(len(q)), visits)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("vec_id").to_numpy()[take]), pa.array(lists), batch.column("v").take(pa.array(take))], ["query_id", "list", "v"])
 
     return run
 
@@ -162,8 +165,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS, p
     codes = fit(np.array(sample["v"].tolist(), np.float64), lists)
     coded = write_table(own.mapInArrow(_encode(codes), "vec_id long, list long, code binary"), "codes")
     queries = own.where(is_query)
-    asked = queries.mapInArrow(_probes(codes, probe), "query_id long, list long, v array<double>")
-    sizes = coded.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each list
+    counted = coded.groupBy("list").count()
+    held = np.zeros(len(codes.centroids), np.int64)
+    for r in counted.collect():  # a row for each list
+        held[r["list"]] = r["count"]
+    asked = queries.mapInArrow(_probes(codes, probe, held, k + 1), "query_id long, list long, v array<double>")
+    sizes = counted.select("list", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     coded = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = asked.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = asked.select("list", "block", "query_id", "v").groupBy("list", "block").cogroup(coded.select("list", "block", "vec_id", "code").groupBy("list", "block"))

@@ -18,6 +18,9 @@ BROADCAST_ROWS = 1_000_000
 #: A join key with more than 1/HOT_SHARE of all rows is joined map-side. There can be at most HOT_SHARE such keys.
 HOT_SHARE = 1000
 
+#: Values that a class column may have.
+MAX_CLASSES = 1000
+
 _shipped: set[str] = set()
 
 
@@ -72,12 +75,21 @@ def may_learn(doc_id: str = "doc_id") -> Column:
 
 
 def bounded_sample(df: DataFrame, by: str, limit: int, key: str = "doc_id") -> DataFrame:
-    """At most `limit` rows for each value of `by`, the first in the order of a hash of the key: the same rows on every run.
+    """At most `limit` rows for each value of `by`, in the order of a hash of the key: the same rows on every run.
 
-    Only key and class are ranked; Spark keeps the first `limit` of each class in every task before it shuffles them.
+    Classes of over twice the limit are thinned by a second hash of the key before they are ranked, so no task ranks more than
+    about twice the limit of one class.
     """
     from pyspark.sql import Window
 
+    counts = {r[0]: r[1] for r in df.groupBy(by).count().limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{by} has over {MAX_CLASSES} values; it is no class")
+    large = {k: n for k, n in counts.items() if n > 2 * limit and k is not None}
+    if large:
+        scale = 1 << 20
+        share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, -(-2 * limit * scale // n))]), F.col(by)), F.lit(scale))
+        df = df.where(F.pmod(F.xxhash64(F.lit(1), key), F.lit(scale)) < share)
     w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).drop("_rank")
 
