@@ -41,4 +41,5 @@ def listing_date(c: Column, as_of: dt.date) -> Column:
 def decay(at: Column, as_of: dt.datetime, half_life: float, unknown: float) -> Column:
     """2^(-age / half life); an age in the future is 0, no date gives `unknown`."""
     days = F.greatest(F.timestamp_diff("SECOND", at, F.lit(as_of).cast("timestamp_ntz")) / F.lit(86400.0), F.lit(0.0))
-    return F.coalesce(F.pow(F.lit(2.0), -days / half_life), F.lit(unknown))
+    # greatest() skips nulls, so no date is told apart first
+    return F.when(at.isNull(), F.lit(unknown)).otherwise(F.pow(F.lit(2.0), -days / half_life))

@@ -54,7 +54,7 @@ def iqr_filter(spark, sf_dir):
     return kept.groupBy(*obs.SEGMENT).agg(F.count("*").alias("kept"), F.round(F.min("rent"), 4).alias("low"), F.round(F.max("rent"), 4).alias("high"))
 
 
-@query(views.sql("""SELECT id, round(coalesce(pow(2.0::DOUBLE, -greatest(date_diff('second', CASE WHEN id % 11 = 0 THEN NULL ELSE seen_at END, TIMESTAMP '2001-12-01') / 86400.0::DOUBLE, 0) / 30.0::DOUBLE), 0.5), 6) AS weight FROM rents""", "rents"))
+@query(views.sql("""SELECT id, round(CASE WHEN id % 11 = 0 THEN 0.5::DOUBLE ELSE pow(2.0::DOUBLE, -greatest(date_diff('second', seen_at, TIMESTAMP '2001-12-01') / 86400.0::DOUBLE, 0) / 30.0::DOUBLE) END, 6) AS weight FROM rents""", "rents"))
 def decay_weights(spark, sf_dir):
     at = F.when(C("id") % 11 != 0, C("seen_at"))
     return views.rents(spark, sf_dir).select("id", F.round(dates.decay(at, views.AS_OF, 30.0, 0.5), 6).alias("weight"))
