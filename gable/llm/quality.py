@@ -32,6 +32,8 @@ SHARPNESS = 400.0
 MARGIN = 0.0
 #: Bins in which keys are counted to find the k-th largest.
 BINS = 4096
+#: Rows among which the k-th largest is found by sorting, at most (but for equal keys).
+EDGE = 50_000
 
 #: Added to the number of n-grams when weights are averaged: short texts stay near 0, where neither model is preferred.
 SHRINK = 8
@@ -142,26 +144,36 @@ def gumbel(seed: int = 0) -> Column:
     return -F.log(-F.log(u))
 
 
-def top_k(rows: DataFrame, k: int, total: int) -> DataFrame:
-    """rows with `selected`: true for the k largest keys (ties: smaller doc_id)."""
+def top_k(rows: DataFrame, k: int, total: int, few: int = EDGE) -> DataFrame:
+    """rows with `selected`: true for the k largest keys (ties: smaller doc_id).
+
+    Keys are counted in BINS bins; the bin that holds the k-th is cut into bins again, until it holds at most `few` rows or only
+    equal keys. Only these rows are sorted.
+    """
     if k >= total:
         return rows.withColumn("selected", F.lit(True))
     lo, hi = rows.agg(F.min("key"), F.max("key")).first()
-    at = F.least(F.lit(BINS - 1), F.floor((F.col("key") - lo) / (max(hi - lo, 1e-12) / BINS))).cast("int")
-    rows = rows.withColumn("_bin", at)
-    left, cut, inside = k, -1, 0
-    for b, n in sorted(rows.groupBy("_bin").count().collect(), reverse=True):  # BINS rows
-        if n > left:
-            cut, inside = b, left
+    left, inside = k, rows
+    while lo < hi:
+        width = (hi - lo) / BINS
+        at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("key") - lo) / width))).cast("int")
+        counted = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()  # BINS rows
+        for r in sorted(counted, key=lambda r: -r["bin"]):
+            if r["n"] > left:
+                break
+            left -= r["n"]
+        if (r["lo"], r["hi"]) == (lo, hi):
+            break
+        lo, hi = r["lo"], r["hi"]
+        inside = rows.where(F.col("key").between(lo, hi))
+        if r["n"] <= few:
             break
-        left -= n
-    # the bin of the k-th key, drawn by a distributed top-n
-    edge = rows.where(F.col("_bin") == cut).orderBy(F.desc("key"), "doc_id").limit(inside)
-    last = edge.agg(F.min(F.struct("key", -F.col("doc_id"))).alias("m")).select("m.*").first()
-    above = F.col("_bin") > cut
-    if last is not None and last[0] is not None:
-        above = above | ((F.col("key") > last[0]) | ((F.col("key") == last[0]) & F.coalesce(F.col("doc_id") <= F.lit(-(last[1] or 0)), F.lit(True))))
-    return rows.withColumn("selected", above).drop("_bin")
+    if not left:
+        return rows.withColumn("selected", F.col("key") > hi)
+    # the last row drawn: the left-th of the edge by key, then id; null ids first
+    last = inside.select("key", "doc_id").orderBy(F.desc("key"), F.asc_nulls_first("doc_id")).limit(left).orderBy("key", F.desc_nulls_last("doc_id")).limit(1).first()
+    same = F.coalesce(F.col("doc_id") <= F.lit(last["doc_id"]), F.lit(True)) if last["doc_id"] is not None else F.col("doc_id").isNull()
+    return rows.withColumn("selected", (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & same))
 
 
 def resample(docs: DataFrame, labels: DataFrame, margin: float = MARGIN, sharpness: float = SHARPNESS) -> DataFrame:

@@ -63,12 +63,13 @@ def test_quality_keeps_good_documents(docs, labels):
     assert out.loc[out["quality"] == 0, "selected"].mean() < 0.2
 
 
-def test_quality_top_k_is_exact(spark):
+@pytest.mark.parametrize("few", [50_000, 3])
+def test_quality_top_k_is_exact(spark, few):
     rng = np.random.default_rng(3)
     keys = [float(x) for x in rng.integers(0, 40, 500)]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "doc_id long, key double")
     best = set(sorted(range(500), key=lambda i: (-keys[i], i))[:123])
-    assert {r["doc_id"] for r in quality.top_k(df, 123, 500).where("selected").collect()} == best
+    assert {r["doc_id"] for r in quality.top_k(df, 123, 500, few).where("selected").collect()} == best
 
 
 def test_quality_edges(edge_docs, no_docs, labels):

@@ -1,20 +1,40 @@
-"""The pipeline's stages, each against what it must do."""
+"""The pipeline's stages, each against a brute-force version."""
 
-import corpus_pipeline
 import __spark_entry__
+import corpus_pipeline
+import public_tokenizers
+from test_copies import brute_components, brute_fingerprint
+from test_tokens import check_packing
+from tokenizers import Tokenizer
+
+
+def ids(df):
+    return sorted(r["doc_id"] for r in df.select("doc_id").collect())
 
 
-def test_stages_keep_columns_and_only_drop(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept, data)
-        assert out.columns == docs.columns and out.exceptAll(kept).count() == 0
-        assert 0 < out.count() <= kept.count()
-        kept = out
-    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, data)
-    assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").collect()}
-    assert kept.groupBy("text").count().where("count > 1").count() == 0
+def test_stages_against_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").cache()
+    (_, language), (_, quality), (_, exact), (_, near), (_, packed) = corpus_pipeline.STAGES
+    told = language(spark, docs, data)
+    assert ids(told) == sorted(r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+    good = quality(spark, told, data).cache()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    kept = set(ids(good))
+    assert sum(labels[i] == 1 for i in labels if i in kept) >= 0.97 * sum(labels.values())
+    assert sum(labels[i] == 0 for i in labels if i in kept) <= 0.3 * sum(1 - q for q in labels.values())
+    once = exact(spark, good, data).cache()
+    last = {}
+    for r in good.collect():
+        last[r["text"]] = max(last.get(r["text"], -1), r["doc_id"])
+    assert ids(once) == sorted(last.values())
+    one = near(spark, once, data).cache()
+    rows = [(r["doc_id"], r["text"]) for r in once.collect()]
+    assert ids(one) == sorted(set(brute_components([i for i, _ in rows], [brute_fingerprint(t) for _, t in rows])))
+    for out in (told, good, once, one):
+        assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    assert check_packing(one, packed(spark, one, data).collect(), tokenizer) == 0
 
 
 def test_stages_of_nothing(spark, data):
