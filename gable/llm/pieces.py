@@ -28,6 +28,8 @@ from .common import slices, text_only
 MARK = "▁"
 #: Distinct words whose ids a worker keeps from batch to batch, about; then it begins anew.
 CACHE = 400_000
+#: Characters of a word whose edges are relaxed for all words of a batch at once.
+WAVES = 48
 _END = 0x110000  # parts words; no character has this code
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 _models: dict[str, PieceModel] = {}
@@ -71,12 +73,18 @@ class PieceModel:
         self.table = np.zeros((len(listed), self.depth), np.int64)
         for row, i in enumerate(listed):
             self.table[row, : len(self.pieces[i])] = list(map(ord, self.pieces[i]))
+        wide = -(-self.depth // 3) * 3
+        codes = np.zeros((len(listed), wide), np.int64)
+        codes[:, : self.depth] = self.table
+        kept = np.where(np.arange(wide) < self.lengths[:, None], (1 << 21) - 1, 0)
+        self.packed, self.inside = ((x[:, 0::3] << 42) | (x[:, 1::3] << 21) | x[:, 2::3] for x in (codes, kept))
         self.single = {self.pieces[i] for i in own if len(self.pieces[i]) == 1}
         self.size_of = {i: len(self.pieces[i]) for i in own} | {self.unknown: 1}
         self.as_bytes = [self.pieces[i].replace(MARK, " ").encode() if self.pieces[i] in self.id_of else b"" for i in range(n)]
         for b, i in enumerate(self.bytes):
             self.as_bytes[i] = bytes([b])
         self.fits: dict[int, bool] = {}
+        self.slot_keys, self.slot_fits = np.full(1 << 22, -1, np.int64), np.zeros(1 << 22, bool)
         self.cache: dict[str, int] = {}
         self.flat, self.first, self.count = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -101,23 +109,45 @@ class PieceModel:
         text = self.pieces[piece]
         return self.merge(text) == [text] if before < 0 else self.merge(self.pieces[before] + text) == [self.pieces[before], text]
 
+    def _known_fit(self, before: int, piece: int) -> bool:
+        key = (before + 1) * (self.unknown + 1) + piece
+        ok = self.fits.get(key)
+        if ok is None:
+            ok = self.fits[key] = self._fit(before, piece)
+        return ok
+
+    def _all_fit(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each piece may follow; answers are kept in a table by a hash of the pair."""
+        key = (before + 1) * (self.unknown + 1) + piece
+        with np.errstate(over="ignore"):
+            slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+        ok = self.slot_fits[slot]
+        new = np.nonzero(self.slot_keys[slot] != key)[0]
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            width = self.unknown + 1
+            answers = np.array([self._known_fit(k // width - 1, k % width) for k in asked.tolist()], bool)[back]
+            ok[new] = answers
+            self.slot_keys[slot[new]], self.slot_fits[slot[new]] = key[new], answers
+            again = new[self.slot_keys[slot[new]] != key[new]]  # of two pairs in one slot the later stays
+            self.slot_keys[slot[again]] = -1
+        return ok
+
     def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) suffix that begins with each piece, by binary search for all pieces at once."""
-        padded = np.append(codes, np.full(self.depth, _END))
-        offsets = np.arange(self.depth)
-        inside = offsets < self.lengths[:, None]
-        rows = np.arange(len(self.ids))
+        padded = np.append(codes, np.full(self.depth + 3, _END))
+        three = (padded[:-2] << 42) | (padded[1:-1] << 21) | padded[2:]  # three codes in each number
+        at_end = len(order) - 1
 
         def bound(after: bool) -> np.ndarray:
             lo, hi = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), len(order))
-            while (lo < hi).any():
+            while (open_ := lo < hi).any():
                 mid = (lo + hi) // 2
-                seen = padded[order[np.minimum(mid, len(order) - 1)][:, None] + offsets]
-                differs = (seen != self.table) & inside
-                k = differs.argmax(axis=1)
-                sign = np.where(differs[rows, k], np.sign(seen[rows, k] - self.table[rows, k]), 0)
-                right = (sign < 0) | (after & (sign == 0))
-                open_ = lo < hi
+                at = order[np.minimum(mid, at_end)]
+                right = np.full(len(self.ids), after)
+                for k in reversed(range(self.packed.shape[1])):  # the first column that differs decides
+                    seen = three[np.minimum(at + 3 * k, len(three) - 1)] & self.inside[:, k]
+                    right = np.where(seen == self.packed[:, k], right, seen < self.packed[:, k])
                 lo = np.where(open_ & right, mid + 1, lo)
                 hi = np.where(open_ & ~right, mid, hi)
             return lo
@@ -142,23 +172,23 @@ class PieceModel:
         lone[stops] = False
         lone = np.nonzero(lone)[0]
         start, end, piece = np.append(start, lone), np.append(end, lone + 1), np.append(piece, np.full(len(lone), self.unknown))
-        by = np.lexsort((start, end))  # by end; the longest first
-        last: list[int] = [-2] * (len(codes) + 1)
-        last[0] = -1
-        for s in stops.tolist():
-            last[s + 1] = -1
-        fits, width = self.fits, self.unknown + 1
-        for i in range(0, len(by), 1 << 17):  # as lists of a bounded length
-            part = by[i : i + (1 << 17)]
-            for s, e, p in zip(start[part].tolist(), end[part].tolist(), piece[part].tolist()):
-                if last[e] == -2:
-                    before = last[s]
-                    key = before * width + p
-                    ok = fits.get(key)
-                    if ok is None:
-                        ok = fits[key] = self._fit(before, p)
-                    if ok:
-                        last[e] = p
+        begins = stops - sizes
+        state = np.full(len(codes) + 1, -2, np.int64)  # the last piece of each prefix; -1 at the start of a word
+        state[begins] = -1
+        reach = end - np.repeat(begins, sizes + 1)[start]  # how far into its word an edge ends
+        by = np.argsort(np.minimum(reach, WAVES + 1).astype(np.int16), kind="stable")
+        start, end, piece = start[by], end[by], piece[by]
+        cuts = np.searchsorted(np.minimum(reach, WAVES + 1)[by], np.arange(WAVES + 3))
+        for a, b in zip(cuts[:-2], cuts[1:-1]):  # all words at once, one end position after the other
+            if a < b:
+                ok = self._all_fit(state[start[a:b]], piece[a:b])
+                state[end[a:b][ok]] = piece[a:b][ok]
+        last: list[int] = state.tolist()
+        rest = np.arange(cuts[-2], len(start))
+        rest = rest[np.lexsort((start[rest], end[rest]))]
+        for s, e, p in zip(start[rest].tolist(), end[rest].tolist(), piece[rest].tolist()):  # what lies beyond in very long words
+            if last[e] == -2 and self._known_fit(last[s], p):
+                last[e] = p
         out: list[int] = []
         counts = np.zeros(len(words), np.int64)
         size_of, unknown = self.size_of, self.unknown
@@ -234,7 +264,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for part in slices(batch, 500):
+            for part in slices(batch, 700):
                 texts = part.column("text").to_pylist()
                 ids = m.encode(texts)
                 back = [m.decode(x) for x in ids]
