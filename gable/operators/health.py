@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import HealthConfig
@@ -15,11 +15,16 @@ def failed(errors: Column, scraped: Column) -> Column:
 
 
 def streaks(log: DataFrame, config: HealthConfig = HealthConfig()) -> DataFrame:
-    """Failures of each source since its last success. log: source, at, id, scraped, errors."""
-    w = Window.partitionBy("source").orderBy(F.desc("at"), F.desc("id"))
-    bad = failed(F.col("errors"), F.col("scraped"))
-    own = log.withColumn("successes", F.sum((~bad).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = own.groupBy("source").agg(F.count_if(F.col("successes") == 0).alias("failures"), F.max(F.when(~bad, F.col("at"))).alias("last_success"), F.count("*").alias("runs"))
+    """Failures of each source since its last success. log: source, at, id, scraped, errors.
+
+    Two aggregations, the second against each source's last success: no source's log is ordered in one task.
+    """
+    good = ~failed(F.col("errors"), F.col("scraped"))
+    last = log.groupBy("source").agg(F.max(F.when(good, F.struct("at", "id"))).alias("last"))
+    own = log.join(last, "source")
+    out = own.groupBy("source").agg(
+        F.count_if(F.col("last").isNull() | (F.struct("at", "id") > F.col("last"))).alias("failures"), F.max("last")["at"].alias("last_success"), F.count("*").alias("runs")
+    )
     return out.withColumn("status", F.when(F.col("failures") >= config.failures, "critical").when(F.col("failures") > 0, "warning").otherwise("ok"))
 
 

@@ -33,10 +33,15 @@ def without_outliers(rows: DataFrame, config: ObservatoryConfig = ObservatoryCon
 
 
 def weighted_median(rows: DataFrame, value: str, weight: str, name: str) -> DataFrame:
-    """The lower weighted median of each segment: one window over the segment, then an aggregate on the same partitioning."""
-    running = F.sum(weight).over(Window.partitionBy(*SEGMENT).orderBy(value))
-    total = F.sum(weight).over(Window.partitionBy(*SEGMENT))
-    return rows.withColumn("_run", running).withColumn("_all", total).groupBy(*SEGMENT).agg(F.min(F.when(F.col("_run") >= F.col("_all") / 2, F.col(value))).alias(name))
+    """The lower weighted median of each segment.
+
+    Weights are summed by value before anything is ordered, in the map tasks already, so a segment that holds a large share of all
+    rows costs one window over its distinct values, not over its rows.
+    """
+    by_value = rows.where(F.col(value).isNotNull()).groupBy(*SEGMENT, value).agg(F.sum(weight).alias("_w"))
+    running = F.sum("_w").over(Window.partitionBy(*SEGMENT).orderBy(value))
+    total = F.sum("_w").over(Window.partitionBy(*SEGMENT))
+    return by_value.withColumn("_run", running).withColumn("_all", total).groupBy(*SEGMENT).agg(F.min(F.when(F.col("_run") >= F.col("_all") / 2, F.col(value))).alias(name))
 
 
 def medians(rents: DataFrame, as_of: dt.datetime, config: ObservatoryConfig = ObservatoryConfig()) -> DataFrame:
@@ -44,16 +49,13 @@ def medians(rents: DataFrame, as_of: dt.datetime, config: ObservatoryConfig = Ob
     kept = without_outliers(segments(rents), config)
     kept = kept.withColumn("w", dates.decay(F.col("seen_at"), as_of, config.half_life_days, config.unknown_weight))
     kept = kept.withColumn("rent_m2", F.when(F.col("surface") > 0, F.col("rent") / F.col("surface")))
-    by_rent, by_m2, whole = (Window.partitionBy(*SEGMENT).orderBy(c) for c in ("rent", "rent_m2", F.lit(0)))
-    kept = kept.withColumn("run", F.sum("w").over(by_rent)).withColumn("all", F.sum("w").over(whole))
-    kept = kept.withColumn("w_m2", F.when(F.col("rent_m2").isNotNull(), F.col("w")).otherwise(0.0))
-    kept = kept.withColumn("run_m2", F.sum("w_m2").over(by_m2)).withColumn("all_m2", F.sum("w_m2").over(whole))
-    return kept.groupBy(*SEGMENT).agg(
-        F.min(F.when(F.col("run") >= F.col("all") / 2, F.col("rent"))).alias("rent_median"),
+    stats = kept.groupBy(*SEGMENT).agg(
         F.percentile("rent", F.lit(0.25)).alias("rent_q1"), F.percentile("rent", F.lit(0.75)).alias("rent_q3"),
-        F.min(F.when((F.col("run_m2") >= F.col("all_m2") / 2) & F.col("rent_m2").isNotNull(), F.col("rent_m2"))).alias("rent_m2_median"),
         F.count("*").alias("n"), F.when(F.count("*") >= config.min_rows, "fiable").otherwise("preliminaire").alias("reliability"),
     )
+    by_rent, by_m2 = weighted_median(kept, "rent", "w", "rent_median"), weighted_median(kept, "rent_m2", "w", "rent_m2_median")
+    out = stats.join(by_rent, SEGMENT).join(by_m2, SEGMENT, "left")  # a row for each segment
+    return out.select(*SEGMENT, "rent_median", "rent_q1", "rent_q3", "rent_m2_median", "n", "reliability")
 
 
 def match_district(rows: DataFrame, districts: DataFrame, column: str = "district", default: str = "Centre-Ville") -> DataFrame:
