@@ -1,10 +1,11 @@
 """Operator 2, approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted by k-means on a bounded sample (SAMPLE vectors); every vector is then assigned, its residual
-quantised. Queries visit the lists whose centroids have the largest inner products with them. Each list is cut into blocks of bounded
-size, and each block meets the queries that visit it in one task: the asymmetric distance table of a query (inner
-products with the codewords) scores a block's codes, and the block's best candidates per query go on. The best
-candidates of all blocks are reranked by the exact inner product of the original vectors, in double precision.
+quantised. Queries visit the lists whose centroids have the largest inner products with them. The lists' codes are dealt by id into
+blocks of bounded size, which hold a part of every list, so no list is too large for a task; queries are dealt into blocks too,
+and each pair of blocks is a task: the asymmetric distance table of a query (inner products with the codewords) scores the
+codes of the lists it visits, and the best candidates go on. The best of all blocks are reranked by the exact inner
+product of the original vectors, in double precision.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another length than the
 most common one; rows that repeat a vec_id count once (the smallest vector); ties go to the smaller vec_id; with fewer candidates than
@@ -32,8 +33,8 @@ SUBSPACE = 4
 #: Share of the lists that a query visits, and candidates for each query that are reranked.
 PROBE = 0.75
 RERANK = 400
-#: Vectors and queries that meet in one task, at most.
-BLOCK = 20_000
+#: Vectors in a block and queries in a block, about at most; blocks of queries, at least (so that small tables are searched in parallel).
+BLOCK, QUERIES, LEAST_BLOCKS = 100_000, 4096, 16
 
 
 @dataclass
@@ -104,49 +105,38 @@ def _encode(codes: Codes):
     return run
 
 
-def _probes(codes: Codes, share: float, sizes: np.ndarray, least: int):
-    """The lists each query visits: a share of them, and as many more as it takes to meet `least` vectors."""
-    n = max(1, round(share * len(codes.centroids)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q = _stack(batch.column("v"))
-                order = np.argsort(-(q @ codes.centroids.T), axis=1, kind="stable")
-                met = np.cumsum(sizes[order], axis=1)
-                visits = np.maximum(n, (met < least).sum(axis=1) + 1).clip(max=order.shape[1])
-                lists = order[np.arange(order.shape[1]) < visits[:, None]]
-                take = np.repeat(np.arange(len(q)), visits)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("vec_id").to_numpy()[take]), pa.array(lists), batch.column("v").take(pa.array(take))], ["query_id", "list", "v"])
-
-    return run
+def visits(codes: Codes, q: np.ndarray, share: float, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which lists each query visits (queries x lists): a share of them, and as many more as it takes to meet `least` vectors."""
+    order = np.argsort(-(q @ codes.centroids.T), axis=1, kind="stable")
+    n = np.maximum(round(share * order.shape[1]), (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1)
+    out = np.zeros(order.shape, bool)
+    np.put_along_axis(out, order, np.arange(order.shape[1]) < n[:, None], axis=1)
+    return out
 
 
-def _scan(codes: Codes, rerank: int):
+def _scan(codes: Codes, share: float, sizes: np.ndarray, least: int, rerank: int):
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)})
         if not len(queries) or not len(block):
             return empty
         block = block.sort_values("vec_id")
-        ids = block["vec_id"].to_numpy(np.int64)
-        code = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(ids), -1).astype(np.int64)
+        ids, lists = block["vec_id"].to_numpy(np.int64), block["list"].to_numpy(np.int64)
+        code = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(ids), -1)
+        code = code + np.arange(code.shape[1]) * codes.books.shape[1]  # into a table laid flat
         out = []
-        for i in range(0, len(queries), 256):
-            part = queries.iloc[i : i + 256]
+        for i in range(0, len(queries), 64):
+            part = queries.iloc[i : i + 64]
             q = np.array(part["v"].tolist(), np.float64)
-            tables = codes.tables(q)
-            base = q @ codes.centroids[int(block["list"].iloc[0])]
-            for query, table, b in zip(part["query_id"].to_numpy(np.int64), tables, base):
-                s = b + table[np.arange(code.shape[1]), code].sum(axis=1)
-                s[ids == query] = -np.inf
-                if len(s) > rerank:  # ties at the edge are settled by id: rows stand in order of id
+            for query, table, coarse, visited in zip(part["query_id"].to_numpy(np.int64), codes.tables(q), q @ codes.centroids.T, visits(codes, q, share, sizes, least)):
+                met = np.nonzero(visited[lists] & (ids != query))[0]  # in order of id
+                s = coarse[lists[met]] + table.ravel()[code[met]].sum(axis=1)
+                best = np.arange(len(met))
+                if len(met) > rerank:  # ties at the edge go to the smaller id
                     edge = np.partition(s, len(s) - rerank)[len(s) - rerank]
                     above = np.nonzero(s > edge)[0]
                     best = np.concatenate([above, np.nonzero(s == edge)[0][: rerank - len(above)]])
-                else:
-                    best = np.nonzero(s > -np.inf)[0]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "near": s[best]}))
-        return pd.concat(out) if out else empty
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[met[best]], "near": s[best]}))
+        return pd.concat(out)
 
     return run
 
@@ -165,16 +155,16 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS, p
     codes = fit(np.array(sample["v"].tolist(), np.float64), lists)
     coded = write_table(own.mapInArrow(_encode(codes), "vec_id long, list long, code binary"), "codes")
     queries = own.where(is_query)
-    counted = coded.groupBy("list").count()
-    held = np.zeros(len(codes.centroids), np.int64)
-    for r in counted.collect():  # a row for each list
-        held[r["list"]] = r["count"]
-    asked = queries.mapInArrow(_probes(codes, probe, held, k + 1), "query_id long, list long, v array<double>")
-    sizes = counted.select("list", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    coded = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = asked.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = asked.select("list", "block", "query_id", "v").groupBy("list", "block").cogroup(coded.select("list", "block", "vec_id", "code").groupBy("list", "block"))
-    near = found.applyInPandas(_scan(codes, rerank), "query_id long, vec_id long, near double")
+    sizes = np.zeros(len(codes.centroids), np.int64)
+    for r in coded.groupBy("list").count().collect():  # a row for each list
+        sizes[r["list"]] = r["count"]
+    n_queries = queries.count()
+    q_blocks, c_blocks = max(LEAST_BLOCKS, -(-n_queries // QUERIES)), max(1, -(-int(sizes.sum()) // block))
+    dealt = coded.withColumn("c_block", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"))
+    asked = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
+    found = asked.groupBy("q_block", "c_block").cogroup(dealt.groupBy("q_block", "c_block"))
+    near = found.applyInPandas(_scan(codes, probe, sizes, k + 1, rerank), "query_id long, vec_id long, near double")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     kept = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id")
     exact = kept.join(own, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")

@@ -1,8 +1,8 @@
 """Operator 9, chat formatting of reply trees.
 
 Nodes have a parent in the same conversation. Root-to-leaf paths are enumerated by iterative self-joins on the parent link with
-doubling: after k joins every node knows its 2^k-th ancestor and the sum of scores on the way, so a path of n turns takes about
-log2(n) joins, and tables hold one row for each node. Leaves are ranked in their conversation by the mean score of their path; the
+doubling: after k joins every node that has a 2^k-th ancestor knows it and the sum of scores on the way, so a path of n turns
+takes about log2(n) joins, and each table holds the nodes that are deep enough, one row each. Leaves are ranked in their conversation by the mean score of their path; the
 chosen leaves' paths are enumerated by the same jumps from the largest down, and each path is formatted as one conversation.
 
 The template is `<|im_start|>role LF text<|im_end|> LF` for each turn. Inside roles and texts a backslash is doubled and `<|`
@@ -55,23 +55,30 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     known = links.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
     links = links.join(known, "parent", "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
     links = write_table(links, "links")
-    # anc: the 2^k-th ancestor; total and depth: over the nodes before it
-    jumps = [links.select("node", F.col("parent").alias("anc"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))]
-    while jumps[-1].where("anc is not null").limit(1).count():
-        near = jumps[-1]
-        far = near.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = near.join(far, "anc", "left")
-        step = joined.select("node", F.col("anc2").alias("anc"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
-        jumps.append(write_table(step, "jumps"))
+    # level k: nodes that have a 2^k-th ancestor, that ancestor, and the sum of scores on the way to it
+    jumps, step = [], links.where("parent is not null").select("node", F.col("parent").alias("anc"), "score")
+    while step.limit(1).count():
+        jumps.append(step)
         if len(jumps) > 62:
             raise ValueError("parents form a cycle")
+        far = step.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"))
+        step = write_table(step.join(far, "anc").select("node", F.col("anc2").alias("anc"), (F.col("score") + F.col("score2")).alias("score")), "jumps")
     leaves = links.join(links.where("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    scored = leaves.select("conv_id", "node").join(jumps[-1].select("node", "total", "depth"), "node")
-    best = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("depth")), "node")
-    path = scored.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
-    path = path.select("conv_id", "branch", "node", (F.col("depth") - 1).alias("depth"))
-    for k in reversed(range(len(jumps) - 1)):
-        up = jumps[k].where("anc is not null").select("node", "anc")
+    # the path of each leaf: the largest jumps first, until a root is met
+    walk = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("turns"))
+    for k in reversed(range(len(jumps))):
+        joined = walk.join(jumps[k], "node", "left")
+        there = F.col("anc").isNotNull()
+        walk = joined.select(
+            "conv_id", "leaf", F.coalesce("anc", "node").alias("node"), (F.col("total") + F.coalesce("score", F.lit(0.0))).alias("total"),
+            (F.col("turns") + F.when(there, 1 << k).otherwise(0)).alias("turns"),
+        )
+    walk = walk.join(links.select("node", "score"), "node")
+    best = Window.partitionBy("conv_id").orderBy(F.desc((F.col("total") + F.col("score")) / F.col("turns")), "leaf")
+    path = walk.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
+    path = write_table(path.select("conv_id", "branch", F.col("leaf").alias("node"), (F.col("turns") - 1).alias("depth")), "leaves")
+    for k in reversed(range(len(jumps))):
+        up = jumps[k].select("node", "anc")
         path = path.unionByName(path.join(up, "node").select("conv_id", "branch", F.col("anc").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
         path = write_table(path, "path")
     return path

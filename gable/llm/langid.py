@@ -24,7 +24,7 @@ from .common import bounded_sample, held_out, may_learn, slices
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
 #: Labelled rows for each language that the weights are fitted on, at most.
-SAMPLE = 1500
+SAMPLE = 800
 #: One in so many sampled rows fits the temperature instead of the weights.
 CALIBRATE = 5
 UNKNOWN = "und"

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ TERMS = 512
 #: Chi-square of a term's association with the label, at least.
 CHI2 = 40.0
 K = 15
+#: Distinct chunks of text that a worker remembers, about; then it begins anew.
+CACHE = 300_000
 BLOCK = 64
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+|[!?]{2,}")
@@ -61,62 +64,71 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Terms:
-    """Counts of the terms in a text. The last 2 + STEPS numbers are those of densities."""
+    """Counts of the terms in texts. The last STEPS + 1 numbers are those of densities."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.place = {t: i for i, t in enumerate(terms)}
         self.size = len(terms) + STEPS + 1
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of(self, token: str) -> tuple[int, ...]:
-        found = self.known.get(token)
-        if found is None:
-            place = self.place
-            found = tuple(place[f] for f in features(token) if f in place)
-            if len(self.known) < 300_000:
-                self.known[token] = found
-        return found
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and how often they occur (1 for a density), sorted by term."""
-        tokens = Counter(_TOKEN.findall(text or ""))
-        tf: Counter = Counter()
-        hits = 0
-        for token, n in tokens.items():
-            own = self.of(token)
-            if own:
-                hits += n
-                for t in own:
-                    tf[t] += n
-        if not hits:
-            return np.zeros(0, np.int64), np.zeros(0)
-        step = int(np.clip(STEPS - 1 + np.floor(np.log(hits / sum(tokens.values())) / np.log(RATIO)), 0, STEPS - 1))
-        base = len(self.terms) + step
-        tf[base] = tf[base + 1] = 1
-        at = np.array(sorted(tf), np.int64)
-        return at, np.array([tf[t] for t in at], float)
-
-
-def _frequency(terms: Terms):
+        self.known: dict[str, int] = {}
+        self.kinds: list[tuple[int, list[tuple[int, ...]]]] = []  # number of tokens, and the terms of each that has any
+        self.kind_of: dict = {}
+
+    def _kind(self, chunk: str) -> int:
+        """What stands between white space, by its number of tokens and their terms; most chunks are of few kinds."""
+        tokens, place = _TOKEN.findall(chunk), self.place
+        found = [t for t in (tuple(place[f] for f in features(token) if f in place) for token in tokens) if t]
+        key = (len(tokens), tuple(found))
+        if key not in self.kind_of:
+            self.kind_of[key] = len(self.kinds)
+            self.kinds.append((len(tokens), found))
+        return self.kind_of[key]
+
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the terms and how often they occur (1 for a density), sorted by term. Each distinct chunk is looked at once."""
+        split = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        if len(self.known) > CACHE:
+            self.known = {}
+        known = self.known
+        kinds = np.empty(len(coded.dictionary), np.int64)
+        for i, chunk in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist()):
+            k = known.get(chunk)
+            if k is None:
+                k = known[chunk] = self._kind(chunk)
+            kinds[i] = k
+        bounds = split.offsets.to_numpy()
+        own = kinds[coded.indices.to_numpy()] if len(kinds) else np.zeros(0, np.int64)
+        tokens = np.append(0, np.cumsum(np.array([n for n, _ in self.kinds], np.int64)[own] if len(own) else own))
+        hit = np.nonzero(np.array([bool(t) for _, t in self.kinds], bool)[own])[0] if len(own) else own
+        cuts = np.searchsorted(hit, bounds)
+        out = []
+        for d in range(len(texts)):
+            tf: Counter = Counter()
+            hits = 0
+            for k in own[hit[cuts[d] : cuts[d + 1]]].tolist():
+                for t in self.kinds[k][1]:
+                    hits += 1
+                    tf.update(t)
+            if not hits:
+                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            n = tokens[bounds[d + 1]] - tokens[bounds[d]]
+            step = int(np.clip(STEPS - 1 + np.floor(np.log(hits / n) / np.log(RATIO)), 0, STEPS - 1))
+            base = len(self.terms) + step
+            tf[base] = tf[base + 1] = 1
+            at = np.array(sorted(tf), np.int64)
+            out.append((at, np.array([tf[t] for t in at.tolist()], float)))
+        return out
+
+
+def _counted(terms: Terms, *carried: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(terms.size, np.int64), 0
         for batch in batches:
-            for part in slices(batch, 500):
-                for text in part.column("text").to_pylist():
-                    n += 1
-                    df[terms.counts(text)[0]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(terms.size), -1)), pa.array(np.append(df, n))], ["term", "df"])
-
-    return run
-
-
-def _counted(terms: Terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [terms.counts(t) for t in batch.column("text").to_pylist()]
-            cols = [pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *cols], ["doc_id", "toxic", "term", "tf"])
+            for part in slices(batch, 1000):
+                found = terms.counts(part.column("text").to_pylist())
+                cols = [pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *cols], [*carried, "term", "tf"])
 
     return run
 
@@ -190,8 +202,8 @@ class Index:
         y = np.array([(t + 0.5 * self.prior) / (n + 0.5) for t, n, _ in levels])
         self.curve = (x, np.maximum.accumulate(y))
 
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
-        at, x = self.vector(*self.terms.counts(text))
+    def score(self, at: np.ndarray, tf: np.ndarray) -> tuple[float, list[dict]]:
+        at, x = self.vector(at, tf)
         if not len(at):
             return self.prior, []
         key = at.tobytes() + np.round(x, 12).tobytes()
@@ -206,45 +218,48 @@ class Index:
         return self.known[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
-    own = text_only(docs)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(may_learn()).where("toxic is not null")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = F.broadcast(bounded_sample(known, "toxic", examples))  # two labels: at most 2 x examples ids
-    rows = write_table(own.join(sample, "doc_id"), "examples")
+def choose_terms(rows: DataFrame) -> list[str]:
+    """The TERMS features most associated with the label of the example rows (text, toxic), CHI2 at least."""
     n_bad, n_good = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     seen = rows.mapInArrow(_presence, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("a"), F.sum("good").alias("b"))
     n = float(n_bad + n_good)
     c, d = F.lit(float(n_bad)) - F.col("a"), F.lit(float(n_good)) - F.col("b")
     below = (F.col("a") + F.col("b")) * (c + d) * float(n_bad) * float(n_good)
     seen = seen.withColumn("chi2", F.try_divide(n * F.pow(F.col("a") * d - F.col("b") * c, 2), below))
-    terms = [r["word"] for r in seen.where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).select("word").collect()]
-    own_terms = Terms(terms)
-    df, total = np.zeros(own_terms.size), 0
-    for r in own.select("text").mapInArrow(_frequency(own_terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row for each term
-        if r["term"] >= 0:
-            df[r["term"]] = r["df"]
-        else:
-            total = r["df"]
+    return [r["word"] for r in seen.where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).select("word").collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Index, DataFrame]:
+    """The index, and doc_id, held_out, term and tf of every row of docs: one pass over all texts, written for the counts and the scores."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(may_learn()).where("toxic is not null")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = F.broadcast(bounded_sample(known, "toxic", examples))  # two labels: at most 2 x examples ids
+    rows = write_table(text_only(docs).join(sample, "doc_id"), "examples")
+    terms = Terms(choose_terms(rows))
+    counted = text_only(docs).withColumn("held_out", held_out()).mapInArrow(_counted(terms, "doc_id", "held_out"), "doc_id long, held_out boolean, term array<long>, tf array<double>")
+    counted = write_table(counted, "counts")
+    df, total = np.zeros(terms.size), counted.count()
+    for r in counted.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # a row for each term
+        df[r["term"]] = r["df"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    found = rows.mapInArrow(_counted(own_terms), "doc_id long, toxic int, term array<long>, tf array<double>").orderBy("doc_id").toPandas()  # the bounded examples
+    found = rows.mapInArrow(_counted(terms, "doc_id", "toxic"), "doc_id long, toxic int, term array<long>, tf array<double>").orderBy("doc_id").toPandas()  # the bounded examples
     counts = [(np.array(a, np.int64), np.array(x, float)) for a, x in zip(found["term"], found["tf"])]
-    index = Index(own_terms, idf, found["doc_id"].tolist(), counts, found["toxic"].tolist())
+    index = Index(terms, idf, found["doc_id"].tolist(), counts, found["toxic"].tolist())
     index.calibrate()
-    return index
+    return index, counted
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the three nearest examples) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # TERMS x 2 EXAMPLES weights at most, whatever the corpus
+    index, counted = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most TERMS x 2 EXAMPLES weights, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
-            for part in slices(batch, 500):
-                found = [ix.score(t) for t in part.column("text").to_pylist()]
-                s = np.clip([a for a, _ in found], 0, 1) if found else np.zeros(0)
-                cols = [part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array([e for _, e in found], EVIDENCE)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "evidence"])
+            found = [ix.score(np.array(a, np.int64), np.array(x, float)) for a, x in zip(batch.column("term").to_pylist(), batch.column("tf").to_pylist())]
+            s = np.clip([a for a, _ in found], 0, 1) if found else np.zeros(0)
+            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array([e for _, e in found], EVIDENCE)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return text_only(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    return counted.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")

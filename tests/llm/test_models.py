@@ -81,21 +81,28 @@ def test_quality_edges(edge_docs, no_docs, labels):
 
 
 def test_toxicity_held_out(docs, labels, edge_docs, no_docs):
-    index = toxicity.train(docs, labels)
-    out = toxicity.score(docs, index).join(labels, "doc_id").where("held_out").toPandas()
+    out = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert ((out["predicted"] == 1) == (out["toxic"] == 1)).mean() > 0.93
     assert ((out["score"] >= 0.7) == (out["predicted"] == 1)).all() and out["score"].between(0, 1).all()
-    assert toxicity.score(edge_docs, index).count() == edge_docs.count()
-    assert toxicity.score(no_docs, index).count() == 0
-    empty = toxicity.train(docs, labels.where("false"))
-    assert {r["score"] for r in toxicity.score(edge_docs, empty).collect()} == {0.0}
+    both = docs.select("doc_id", "text").unionByName(edge_docs.select("doc_id", "text"))
+    assert toxicity.score(both, labels).count() == both.count()
+    assert toxicity.score(no_docs, labels).count() == 0
+    assert {r["score"] for r in toxicity.score(edge_docs, labels.where("false")).collect()} == {0.0}
+
+
+def test_terms_are_counted_as_by_hand():
+    terms = toxicity.Terms(["bad", "bad*", "!!", toxicity.CAPITALS])
+    texts = ["Bad badly, WORSE!! ok\u00a0bad", None, "fine"]
+    (at, tf), *rest = terms.counts(texts)
+    assert dict(zip(at.tolist()[:4], tf.tolist()[:4])) == {0: 2, 1: 1, 2: 1, 3: 1} and len(at) == 6
+    assert all(len(a) == 0 for a, _ in rest)
 
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     words = [f"t{i}" for i in range(30)]
     terms = toxicity.Terms(words)
-    counts = [terms.counts(" ".join(rng.choice(words, rng.integers(1, 6)))) for _ in range(700)]
+    counts = terms.counts([" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(700)])
     index = toxicity.Index(terms, np.ones(terms.size) + rng.random(terms.size), list(range(700)), counts, [0] * 700)
     for c in counts[:60]:
         at, x = index.vector(*c)
