@@ -26,12 +26,17 @@ def first_by_hash(spark, sf_dir):
     return dedup.first_seen(own, "hash", "id", "hash").select("hash", "id")
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings of one source in their order of arrival, with the address key."""
-    own = views.listings(spark, sf_dir).where("surface is not null")
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listings in their order of arrival, with the address key."""
+    own = views.listings(spark, sf_dir)
     return own.select(C("id").alias("rank"), text.address_key(C("address")).alias("key"), "surface", "price", C("district").alias("place"), "seller")
 
 
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings that have a surface."""
+    return _arrivals(spark, sf_dir).where("surface is not null")
+
+
 _NEAR = """a.surface IS NOT NULL AND b.surface IS NOT NULL AND a.id < b.id AND (abs(a.surface - b.surface) <= 2 OR (a.price > 0 AND abs(b.price - a.price) * 100.0::DOUBLE <= a.price * 5.0::DOUBLE))"""
 _SOLD = "sold AS (SELECT id, surface, price, seller, district, regexp_replace(lower(address), '^.*besançon$', (id % 97) || ' av ' || lower(district) || ' 25' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') || ' besancon') AS key FROM listings)"
 
@@ -43,18 +48,32 @@ def band_candidates(spark, sf_dir):
     return found.groupBy((C("block") % 10).alias("bucket")).agg(F.count("*").alias("pairs"), F.sum(C("rank_a") * 7 + C("rank_b")).alias("checksum"))
 
 
+@query()
+def band_candidates_all(spark, sf_dir):
+    """Candidate pairs among all listings, of any seller, by surface or price."""
+    found = dedup.band_candidates(_arrivals(spark, sf_dir))
+    return found.groupBy((C("rank_b") % 10).alias("bucket")).agg(F.count("*").alias("pairs"), F.sum(C("rank_a") * 7 + C("rank_b")).alias("checksum"))
+
+
 @query()
 def fuzzy_duplicates(spark, sf_dir):
-    """By the exact matching-blocks ratio, among listings of one seller."""
-    return dedup.fuzzy_duplicates(_keyed(spark, sf_dir), block="seller").select("rank", F.array_join("duplicates", ",").alias("duplicates"))
+    """By the exact matching-blocks ratio, among all listings, of any seller, with or without a surface."""
+    return dedup.fuzzy_duplicates(_arrivals(spark, sf_dir)).select("rank", F.array_join("duplicates", ",").alias("duplicates"))
 
 
 @query(views.sql(f"""WITH {_SOLD} SELECT b.id AS rank, string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.id) AS duplicates FROM sold a JOIN sold b ON a.seller = b.seller AND {_NEAR}
     AND 2.0::DOUBLE * least(length(a.key), length(b.key)) >= 0.7::DOUBLE * (length(a.key) + length(b.key)) AND 1 - levenshtein(b.key, a.key) / greatest(length(a.key), length(b.key))::DOUBLE >= 0.7::DOUBLE GROUP BY 1""", "listings"))
 def levenshtein_duplicates(spark, sf_dir):
+    """Among listings of one seller that have a surface, as its SQL says."""
     return dedup.fuzzy_duplicates(_keyed(spark, sf_dir), exact=False, block="seller").select("rank", F.array_join("duplicates", ",").alias("duplicates"))
 
 
+@query()
+def levenshtein_duplicates_all(spark, sf_dir):
+    """By the edit ratio, among all listings."""
+    return dedup.fuzzy_duplicates(_arrivals(spark, sf_dir), exact=False).select("rank", F.array_join("duplicates", ",").alias("duplicates"))
+
+
 @query(views.sql(f"WITH {_SOLD} SELECT id AS rank, key FROM sold WHERE surface IS NOT NULL", "listings"))
 def near_text(spark, sf_dir):
     return _keyed(spark, sf_dir).select("rank", "key")
