@@ -4,8 +4,9 @@ Centroids and codebooks are fitted by k-means on a bounded sample (SAMPLE vector
 quantised. Queries visit the lists whose centroids have the largest inner products with them. The lists' codes are dealt by id into
 blocks of bounded size, which hold a part of every list, so no list is too large for a task; queries are dealt into blocks too,
 and each pair of blocks is a task: the asymmetric distance table of a query (inner products with the codewords) scores the
-codes of the lists it visits, and the best candidates go on. The best of all blocks are reranked by the exact inner
-product of the original vectors, in double precision.
+codes of the lists it visits. A code's score is wrong by at most the query's norm times the norm of what quantising left over, so
+every vector that may be among a block's k nearest is known, however many share a code; all of them, and the RERANK best by code, are
+ranked in the task by the exact inner product of the original vectors, in double precision, and a block's k nearest go on.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another length than the
 most common one; rows that repeat a vec_id count once (the smallest vector); ties go to the smaller vec_id; with fewer candidates than
@@ -30,7 +31,7 @@ SAMPLE = 20_000
 LISTS = 128
 CODEWORDS = 256
 SUBSPACE = 4
-#: Share of the lists that a query visits, and candidates for each query that are reranked.
+#: Share of the lists that a query visits, and candidates for each query and block that are reranked at least.
 PROBE = 0.75
 RERANK = 400
 #: Vectors in a block and queries in a block, about at most; blocks of queries, at least (so that small tables are searched in parallel).
@@ -48,6 +49,11 @@ class Codes:
         rest = (x - self.centroids[at]).reshape(len(x), len(self.books), -1)
         return at, np.stack([nearest(rest[:, m], book) for m, book in enumerate(self.books)], 1).astype(np.uint8)
 
+    def left_over(self, x: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Norm of the difference between each vector and what its list and code stand for, rounded up."""
+        parts = self.books[np.arange(len(self.books)), code].reshape(len(x), -1)
+        return np.linalg.norm(x - self.centroids[at] - parts, axis=1) + 1e-9 * (1 + np.linalg.norm(x, axis=1))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with all codewords: queries x subspaces x codewords."""
         return np.einsum("qmw,mkw->qmk", q.reshape(len(q), len(self.books), -1), self.books)
@@ -99,8 +105,10 @@ def _encode(codes: Codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, code = codes.assign(_stack(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(at), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "list", "code"])
+                x = _stack(batch.column("v"))
+                at, code = codes.assign(x)
+                cols = [pa.array(at), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(codes.left_over(x, at, code)), pa.array([v.tobytes() for v in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *cols], ["vec_id", "list", "code", "err", "x"])
 
     return run
 
@@ -114,37 +122,56 @@ def visits(codes: Codes, q: np.ndarray, share: float, sizes: np.ndarray, least:
     return out
 
 
-def _scan(codes: Codes, share: float, sizes: np.ndarray, least: int, rerank: int):
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with q, added from the first component on: equal vectors have equal ones."""
+    out = np.zeros(len(x))
+    for j in range(len(q)):
+        out += x[:, j] * q[j]
+    return out
+
+
+def top(s: np.ndarray, k: int) -> float:
+    """The k-th largest of s, or the least if there are fewer."""
+    return np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else s.min(initial=np.inf)
+
+
+def _scan(codes: Codes, share: float, sizes: np.ndarray, k: int, rerank: int):
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)})
+        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(queries) or not len(block):
             return empty
         block = block.sort_values("vec_id")
-        ids, lists = block["vec_id"].to_numpy(np.int64), block["list"].to_numpy(np.int64)
+        ids, lists, err = block["vec_id"].to_numpy(np.int64), block["list"].to_numpy(np.int64), block["err"].to_numpy(float)
         code = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(ids), -1)
         code = code + np.arange(code.shape[1]) * codes.books.shape[1]  # into a table laid flat
+        x = np.frombuffer(b"".join(block["x"]), np.float64).reshape(len(ids), -1)
+        del block
         out = []
         for i in range(0, len(queries), 64):
             part = queries.iloc[i : i + 64]
             q = np.array(part["v"].tolist(), np.float64)
-            for query, table, coarse, visited in zip(part["query_id"].to_numpy(np.int64), codes.tables(q), q @ codes.centroids.T, visits(codes, q, share, sizes, least)):
+            all_exact = None
+            for n, (query, table, coarse, visited) in enumerate(zip(part["query_id"].to_numpy(np.int64), codes.tables(q), q @ codes.centroids.T, visits(codes, q, share, sizes, k + 1))):
                 met = np.nonzero(visited[lists] & (ids != query))[0]  # in order of id
                 s = coarse[lists[met]] + table.ravel()[code[met]].sum(axis=1)
-                best = np.arange(len(met))
-                if len(met) > rerank:  # ties at the edge go to the smaller id
-                    edge = np.partition(s, len(s) - rerank)[len(s) - rerank]
-                    above = np.nonzero(s > edge)[0]
-                    best = np.concatenate([above, np.nonzero(s == edge)[0][: rerank - len(above)]])
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[met[best]], "near": s[best]}))
+                slack = np.linalg.norm(q[n]) * err[met]
+                # a vector whose highest possible score is below the k-th lowest possible one isn't among the k nearest
+                met = met[(s + slack >= top(s - slack, k)) | (s >= top(s, rerank))]
+                if len(met) * 16 > len(ids):  # one matrix product for all queries is less work than picking rows for each
+                    all_exact = x @ q.T if all_exact is None else all_exact
+                    rough = all_exact[met, n]
+                else:
+                    rough = x[met] @ q[n]
+                # matrix products round as they please: what is near the edge is added up in order
+                met = met[rough >= top(rough, k) - 1e-9 * (1 + np.abs(rough).max(initial=0))]
+                exact = products(x[met], q[n])
+                best = np.lexsort((ids[met], -exact))[:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[met[best]], "score": exact[best]}))
         return pd.concat(out)
 
     return run
 
 
-def inner_product(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def search(rows: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS, probe: float = PROBE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other vectors."""
     own = write_table(vectors(rows), "vectors")
@@ -153,7 +180,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS, p
     if not len(sample):
         return own.sparkSession.createDataFrame([], schema)
     codes = fit(np.array(sample["v"].tolist(), np.float64), lists)
-    coded = write_table(own.mapInArrow(_encode(codes), "vec_id long, list long, code binary"), "codes")
+    coded = write_table(own.mapInArrow(_encode(codes), "vec_id long, list long, code binary, err double, x binary"), "codes")
     queries = own.where(is_query)
     sizes = np.zeros(len(codes.centroids), np.int64)
     for r in coded.groupBy("list").count().collect():  # a row for each list
@@ -164,10 +191,6 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS, p
     asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"))
     asked = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
     found = asked.groupBy("q_block", "c_block").cogroup(dealt.groupBy("q_block", "c_block"))
-    near = found.applyInPandas(_scan(codes, probe, sizes, k + 1, rerank), "query_id long, vec_id long, near double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    kept = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id")
-    exact = kept.join(own, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    exact = exact.select("query_id", "vec_id", inner_product("q", "v").alias("score"))
+    near = found.applyInPandas(_scan(codes, probe, sizes, k, rerank), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

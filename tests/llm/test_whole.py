@@ -1,0 +1,26 @@
+"""Corpus operators on planted cases that a bounded list of candidates, a bounded span or a bounded vocabulary would lose."""
+
+import numpy as np
+from gable.llm import ann
+from pyspark.sql import functions as F
+
+
+def brute_nearest(x, q, k=20):
+    s = x @ x[q]
+    return [int(i) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]
+
+
+def test_neighbours_among_thousands_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CODEWORDS", 16)  # coarse codes stand for the coarse codes of a large table
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[2000:3500] = x[2000] + rng.normal(size=(1500, 64)) * 0.0005
+    x[3500:] = x[3500]  # exact copies: ties by id
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, block=1500, rerank=50).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = [len(set(found[q]) & set(brute_nearest(x, q))) / 20 for q in range(0, 4000, 100)]
+    assert np.mean(hits[20:35]) > 0.99 and np.mean(hits[:20]) >= 0.9
+    assert found[3600] == list(range(3500, 3520))
