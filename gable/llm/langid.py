@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, may_learn, slices
+from .common import bounded_sample, held_out, may_learn, slices, text_only
 
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
@@ -193,5 +193,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Ids of documents whose language can't be told (no text, or no letter in it)."""
-    return identify(docs, model).where(F.col("lang_pred") == UNKNOWN).select("doc_id").distinct()
+    """Ids of documents whose language can't be told (no text, or no letter in it); a model that has learned no language rejects no others."""
+    if model.langs:
+        return identify(docs, model).where(F.col("lang_pred") == UNKNOWN).select("doc_id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 500):
+                yield part.select(["doc_id"]).filter(pa.array([not has_letter(t) for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return text_only(docs).mapInArrow(run, "doc_id long").distinct()

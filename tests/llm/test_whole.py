@@ -1,7 +1,8 @@
 """Corpus operators on planted cases that a bounded list of candidates, a bounded span or a bounded vocabulary would lose."""
 
+import corpus_pipeline
 import numpy as np
-from gable.llm import ann
+from gable.llm import ann, langid
 from pyspark.sql import functions as F
 
 
@@ -24,3 +25,10 @@ def test_neighbours_among_thousands_of_near_copies(spark, monkeypatch):
     hits = [len(set(found[q]) & set(brute_nearest(x, q))) / 20 for q in range(0, 4000, 100)]
     assert np.mean(hits[20:35]) > 0.99 and np.mean(hits[:20]) >= 0.9
     assert found[3600] == list(range(3500, 3520))
+
+
+def test_language_stage_keeps_texts_when_no_language_is_known(spark):
+    texts = [None, "", " 12 %", "One two.", "été", "x"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()) == [3, 4, 5]
+    assert langid.rejected(docs.where("false"), langid.train(docs)).count() == 0
