@@ -3,8 +3,9 @@
 Words of a text (ASCII letters and digits after lower-casing, and anything beyond ASCII) are numbered by the templates' vocabulary; a k-gram
 of numbers is an exact rolling hash of its words. Every text's k-grams of known words are joined in Spark with the template
 positions of the same k-gram. Hits are counted by diagonal (position in the text less position in the template);
-neighbouring diagonals of one template merge into a span, which tolerates some inserted or missing words; a span is kept if it
-covers enough of the template. The base phrases are templates of their own that must match in full on one diagonal.
+hits on neighbouring diagonals of one template make a chain, which tolerates some inserted or missing words. Read in order of
+the text, a chain is parted into spans where the template begins again, so repeats in succession are spans of their own; a span is kept
+if its hits stand for enough different positions of the template. The base phrases are templates of their own that must match in full on one diagonal.
 
 Cases: null and empty text have no words; repeated rows are scanned each on their own; an empty table gives an empty result. Texts
 have no length limit: a text's k-grams are rows, not one group.
@@ -86,7 +87,7 @@ def _scan(vocabulary: dict[bytes, int], grams: np.ndarray):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of every document."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans and spans (first and last word, label, cover) of every document."""
     spark = docs.sparkSession
     vocabulary, rows = template_rows()
     templates = spark.createDataFrame(rows, "gram long, template int, label string, base boolean, tpos int, n int")  # as large as the templates
@@ -97,20 +98,31 @@ def scan(docs: DataFrame) -> DataFrame:
     votes = hits.join(F.broadcast(templates), "gram").withColumn("diagonal", F.col("pos") - F.col("tpos"))
     diagonals = votes.groupBy("uid", "template", "label", "base", "n", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     base = diagonals.where("base and votes = n").select("uid", "label", "base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n") + (K - 2)).alias("last"), F.lit(1.0).alias("cover"))
-    order = Window.partitionBy("uid", "template").orderBy("diagonal", "first")
+    order = Window.partitionBy("uid", "template").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT
-    merged = diagonals.where("not base").withColumn("start", F.coalesce(far, F.lit(True)).cast("int"))
-    merged = merged.withColumn("span", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("uid", "template", "label", "n", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"))
-    # verified: enough k-grams of the template, in a stretch of about its length
-    spans = spans.withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("n"))).where((F.col("cover") >= COVER) & (F.col("last") - F.col("first") <= 2 * F.col("n") + 2 * K))
+    to_here = order.rowsBetween(Window.unboundedPreceding, 0)
+    chains = diagonals.where("not base").select("uid", "template", "diagonal", F.coalesce(far, F.lit(True)).cast("int").alias("start")).withColumn("chain", F.sum("start").over(to_here)).drop("start")
+    own = votes.where("not base").join(chains, ["uid", "template", "diagonal"])
+    # hits in order of the text: a new span where the diagonal moves by the template's length, or goes back in the template by more than edits do
+    read = Window.partitionBy("uid", "template", "chain").orderBy("pos", "tpos")
+    moved = F.col("diagonal") - F.lag("diagonal").over(read)
+    again = (moved >= F.col("n") + K - 1) | ((moved > DRIFT) & (F.col("tpos") <= F.lag("tpos").over(read)))
+    own = own.withColumn("again", F.coalesce(again, F.lit(True)).cast("int")).withColumn("run", F.sum("again").over(read.rowsBetween(Window.unboundedPreceding, 0)))
+    # or where it is back at the span's first position
+    inside = Window.partitionBy("uid", "template", "chain", "run").orderBy("pos", "tpos")
+    back = F.col("tpos") <= F.min("tpos").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("back", F.coalesce(back, F.lit(True)).cast("int")).withColumn("span", F.sum("back").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = own.groupBy("uid", "template", "label", "n", "chain", "run", "span").agg(F.countDistinct("tpos").alias("covered"), F.min("pos").alias("first"), (F.max("pos") + K - 1).alias("last"))
+    spans = spans.withColumn("cover", F.col("covered") / F.col("n")).where(F.col("cover") >= COVER)
     found = base.unionByName(spans.select("uid", "label", F.lit(False).alias("base"), "first", "last", "cover"))
     by_doc = found.groupBy("uid").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("first"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("first"))).alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("cover").alias("score"), F.count("*").alias("n_spans"),
+        F.sort_array(F.collect_list(F.struct("first", "last", "label", "cover"))).alias("spans"),
     )
     return scanned.select("uid", "doc_id", "n_words").join(by_doc, "uid", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"),
         F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint,label:string,cover:double>>")).alias("spans"),
     )

@@ -49,7 +49,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir))
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

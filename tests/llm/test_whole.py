@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
-from gable.llm import ann, langid
+from gable.llm import ann, langid, licenses
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,21 @@ def test_language_stage_keeps_texts_when_no_language_is_known(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()) == [3, 4, 5]
     assert langid.rejected(docs.where("false"), langid.train(docs)).count() == 0
+
+
+def test_repeats_of_a_template_are_spans_of_their_own(spark):
+    template = next(t for t in licenses.TEMPLATES if t.startswith("permission"))
+    w = template.split()
+    texts = [
+        "all rights reserved " * 5,
+        " ".join(w[:3] * 12 + w),  # the beginning stutters
+        " ".join([*w[:9], *w[6:9] * 20, *w[9:]]),  # the middle stutters
+        " ".join([*w[:6], "x", "y", *w[6:], *w[1:8], "z", *w[8:]]),
+        " ".join(w[3:6] * 12),  # a few positions many times
+    ]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in out[0]["spans"]] == [(3 * i, 3 * i + 2, "all-rights-reserved", 1.0) for i in range(5)] and out[0]["n_spans"] == 5
+    assert [tuple(s) for s in out[1]["spans"]] == [(36, 35 + len(w), "mit", 1.0)]
+    assert out[2]["labels"] == "mit" and out[2]["n_spans"] == 1
+    assert [s["first"] for s in out[3]["spans"]] == [0, len(w) + 2]
+    assert out[4]["labels"] == "" and out[4]["spans"] == []
