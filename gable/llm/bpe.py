@@ -3,12 +3,14 @@
 The pre-tokeniser never joins a character other than white space with a space after it, so a text can be cut before each single
 space: the ids of a text are those of its cuts. The distinct cuts of a batch are encoded together, once each, and gathered for
 every occurrence by array operations. Texts with runs of spaces are encoded whole. tiktoken does the encoding, from the
-vocabulary in the tokenizers file (the ids are the same, in less time).
+vocabulary in the tokenizers file (the ids are the same, in less time). The file's added tokens (`<|endoftext|>`) stand for one id
+each wherever a text holds them, unless they are asked to be read as plain text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,17 @@ class BatchEncoder:
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        added = file.get("added_tokens", [])
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens must match exactly where they stand")
+        self.added = {t["content"]: t["id"] for t in added}
+        # the longest of those that begin at a place
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in letters for c in piece) and not piece.startswith("<|")}
-        if max(model["vocab"].values()) >= 1 << 16:
+        if max([*model["vocab"].values(), *self.added.values()]) >= 1 << 16:
             raise ValueError("ids must fit two bytes")
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(1 << 16, np.int64)
@@ -87,8 +96,18 @@ class BatchEncoder:
             self.cache.update(zip((listed[i] for i in order), range(base, base + len(order))))
         return self.first[at], self.count[at]
 
+    def encode_added(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, its added tokens found: what the library gives for the file as it is."""
+        parts = [self.cut.split(t) if self.cut and t and self.cut.search(t) else [t] for t in texts]  # added tokens at odd places
+        ids = iter(self.encode([p for part in parts for p in part[::2]]))
+        out = []
+        for part in parts:
+            own = [np.array([self.added[p]], np.uint16) if i % 2 else next(ids) for i, p in enumerate(part)]
+            out.append(own[0] if len(own) == 1 else np.concatenate(own))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids (unsigned 16-bit) of each text; null is empty."""
+        """The ids (unsigned 16-bit) of each text, added tokens read as plain text; null is empty."""
         whole_texts = pa.array([t or "" for t in texts], pa.string())
         no_cut = pc.match_substring_regex(whole_texts, _NO_CUT)
         split = pc.split_pattern(pc.if_else(no_cut, "", whole_texts), " ")

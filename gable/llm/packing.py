@@ -8,7 +8,7 @@ so that no length is overdrawn. A rest's global rank in its length, from counts
 What rounding leaves is packed greedily: laid end to end and cut at window ends; the last, partial window is split into
 powers of two, which need no padding. A second pass over the written ids cuts the pieces and their checksums.
 
-Cases: null and empty texts are one id (0); rows with the same doc_id are packed each on their own; very long texts give many whole windows; an empty
+Cases: null and empty texts are one id (0); an added token of the file (`<|endoftext|>`) in a text is its one id; rows with the same doc_id are packed each on their own; very long texts give many whole windows; an empty
 table gives an empty result. sequence_id is unique and offsets in a sequence are gapless from 0.
 """
 
@@ -40,7 +40,7 @@ def _tokenise(window: int, vocabulary: str):
         part, seen, full = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
         for batch in batches:
             for piece in slices(batch, 1000):
-                ids = [x.astype("<u2").tobytes() + b"\0\0" for x in bpe.encode(piece.column("text").to_pylist())]
+                ids = [x.astype("<u2").tobytes() + b"\0\0" for x in bpe.encode_added(piece.column("text").to_pylist())]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 rest, rank, before = n % window, np.empty(len(n), np.int64), np.empty(len(n), np.int64)
                 for i, r in enumerate(rest):

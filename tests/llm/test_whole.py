@@ -2,8 +2,11 @@
 
 import corpus_pipeline
 import numpy as np
-from gable.llm import ann, langid, licenses
+import public_tokenizers
+from gable.llm import ann, bpe, langid, licenses, packing
 from pyspark.sql import functions as F
+from test_tokens import ODD, check_packing
+from tokenizers import Tokenizer
 
 
 def brute_nearest(x, q, k=20):
@@ -50,3 +53,14 @@ def test_repeats_of_a_template_are_spans_of_their_own(spark):
     assert out[2]["labels"] == "mit" and out[2]["n_spans"] == 1
     assert [s["first"] for s in out[3]["spans"]] == [0, len(w) + 2]
     assert out[4]["labels"] == "" and out[4]["spans"] == []
+
+
+def test_packing_finds_added_tokens_as_the_library_does(spark):
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    library = Tokenizer.from_file(path)
+    texts = [f"a {end} b", end, end * 3, f"{end}x", f" x{end} ", f"a  {end}\n b", "<|endoftext", f"<|{end}|>", f"the end {end}" * 400, *ODD]
+    for t, ids in zip(texts, bpe.encoder(path).encode_added(texts)):
+        assert library.encode(t or "", add_special_tokens=False).ids == ids.tolist()
+    assert bpe.encoder(path).encode_added(texts[:1])[0].tolist() == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert check_packing(docs, packing.pack(docs, path).collect(), library) == 0
