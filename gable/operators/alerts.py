@@ -57,8 +57,9 @@ def ranked(rows: DataFrame, n: int) -> DataFrame:
 
 
 def message(level: Column, title: Column, district: Column, price: Column, surface: Column, y: Column, score: Column) -> Column:
+    """Five lines. Prices are rounded half to even, yield and score half up; without a surface (or with 0) the price of a square metre is 0."""
     head = F.when(level == "top", "TOP OPPORTUNITE").when(level == "bon", "BONNE AFFAIRE").otherwise("VEILLE")
-    per = F.round(F.try_divide(price, surface)).cast("long")
+    per = F.when(surface > 0, F.bround(F.try_divide(price, surface)).cast("long")).otherwise(F.lit(0).cast("long"))
     return F.concat_ws(
         "\n", F.concat(head, F.lit(" - "), text.escape_markdown(F.coalesce(title, F.lit("")))), F.concat(F.lit("Quartier: "), text.escape_markdown(F.coalesce(district, F.lit("?")))),
         F.concat(F.lit("Prix: "), text.money(price), F.lit(" ("), per.cast("string"), F.lit("€/m2)")), F.concat(F.lit("Rendement: "), text.percent(y)),

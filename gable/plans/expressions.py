@@ -153,6 +153,12 @@ def money_format(spark, sf_dir):
     return own.select("id", text.money(C("price")).alias("money"), text.percent(C("rooms") * 1.5).alias("share"))
 
 
+@query()
+def money_format_all(spark, sf_dir):
+    """Every listing, prices at a half too: rounded half to even."""
+    return views.listings(spark, sf_dir).select("id", text.money(C("price")).alias("money"), text.percent(C("rooms") * 1.5).alias("share"))
+
+
 @query(r"""SELECT conv_id, turn, regexp_replace(text, '([_*\[\]()~`>#+\-=|{}.!\\,])', '\\\1', 'g') AS escaped FROM conversations""")
 def md_escape(spark, sf_dir):
     return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.escape_markdown(C("text")).alias("escaped"))
