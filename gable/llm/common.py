@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,8 +19,8 @@ BROADCAST_ROWS = 1_000_000
 #: A join key with more than 1/HOT_SHARE of all rows is joined map-side. There can be at most HOT_SHARE such keys.
 HOT_SHARE = 1000
 
-#: Values that a class column may have.
-MAX_CLASSES = 1000
+#: Values that a class column may have, and bins in which the hashes of a class are counted.
+MAX_CLASSES, SAMPLE_BINS = 1000, 1024
 
 _shipped: set[str] = set()
 
@@ -39,9 +40,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (local mode)."""
+    """The folder that driver and executors share; a temporary one only on a local master that has none configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gable-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -74,24 +78,32 @@ def may_learn(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id) != 1, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, by: str, limit: int, key: str = "doc_id") -> DataFrame:
-    """At most `limit` rows for each value of `by`, in the order of a hash of the key: the same rows on every run.
+def bounded_sample(df: DataFrame, by: str, limit: int, key: str = "doc_id", total: int | None = None) -> DataFrame:
+    """`by` and `key` of at most `limit` different keys of each class (and about `total` in all), the first in the order of a hash of the key.
 
-    Classes of over twice the limit are thinned by a second hash of the key before they are ranked, so no task ranks more than
-    about twice the limit of one class.
+    The same keys on every run, however often each is repeated; rows without a class or a key are left out. Sketches count the
+    classes' keys; of the hashes that may be among the first, a histogram of SAMPLE_BINS a class gives the place to stop. So no
+    task holds or ranks a class. A class column of over MAX_CLASSES values is an error.
     """
     from pyspark.sql import Window
 
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().limit(MAX_CLASSES + 1).collect()}
+    df = df.select(by, key).where(F.col(by).isNotNull() & F.col(key).isNotNull())
+    counts = {r[0]: r[1] for r in df.groupBy(by).agg(F.approx_count_distinct(key, 0.02)).limit(MAX_CLASSES + 1).collect()}
     if len(counts) > MAX_CLASSES:
         raise ValueError(f"{by} has over {MAX_CLASSES} values; it is no class")
-    large = {k: n for k, n in counts.items() if n > 2 * limit and k is not None}
-    if large:
-        scale = 1 << 20
-        share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, -(-2 * limit * scale // n))]), F.col(by)), F.lit(scale))
-        df = df.where(F.pmod(F.xxhash64(F.lit(1), key), F.lit(scale)) < share)
-    w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).drop("_rank")
+    if total is not None and counts:
+        limit = min(limit, max(1, total // len(counts)))
+    large = {k: n for k, n in counts.items() if n > 0.8 * limit}
+    if not large:
+        return df.distinct()
+    # the bin of a hash: the first SAMPLE_BINS bins of a large class hold about twice the limit
+    wide = F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, min(1.0, 2.0 * limit / n) / SAMPLE_BINS)])
+    at = F.floor(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 40)) / float(1 << 40) / F.try_element_at(wide, F.col(by)))
+    own = df.withColumn("_bin", F.coalesce(at, F.lit(-1))).where(F.col("_bin") < SAMPLE_BINS).distinct()
+    by_bin = own.where("_bin >= 0").groupBy(by, "_bin").count()
+    to_here = F.sum("count").over(Window.partitionBy(by).orderBy("_bin"))  # SAMPLE_BINS rows a class
+    last = by_bin.withColumn("to_here", to_here).where(F.col("to_here") <= limit).groupBy(by).agg(F.max("_bin").alias("_last"))
+    return own.join(F.broadcast(last), by, "left").where((F.col("_bin") < 0) | (F.col("_bin") <= F.col("_last"))).select(by, key)
 
 
 def join_counted(left: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -107,10 +119,31 @@ def join_counted(left: DataFrame, groups: DataFrame, key: str, size: str, total:
     return left.join(F.broadcast(hot), key).unionByName(left.join(hot_keys, key, "left_anti").join(rest, key))
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the ids in dropped: map-side if these are few (checked), else by a shuffle."""
-    few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
+def text_hash(text: str = "text") -> Column:
+    """What tells rows of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _same_row(docs: DataFrame, rows: DataFrame) -> Column:
+    return docs["doc_id"].cast("long").eqNullSafe(rows["_doc"]) & (text_hash() == rows["_text"])
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, all columns as they were. decided: doc_id, text_hash, kept of every row of docs.
+
+    Rows are told by doc_id (null too) and text. Of rows that repeat both, one stays if one was kept and others weren't.
+    """
+    out = decided.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
+    few = out.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = F.broadcast(out) if few else out
+    stays = decided.where("kept").select("doc_id", "text_hash")
+    both = stays.join(out, stays["doc_id"].eqNullSafe(out["_doc"]) & (stays["text_hash"] == out["_text"]), "left_semi").distinct()
+    kept = docs.join(out, _same_row(docs, out), "left_anti")
+    if not both.limit(1).count():
+        return kept
+    both = both.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))
+    once = docs.join(both, _same_row(docs, both), "left_semi").withColumn("_text", text_hash())
+    return kept.unionByName(once.dropDuplicates(["doc_id", "_text"]).drop("_text"))
 
 
 def slices(batch, size: int):
@@ -127,6 +160,60 @@ def joined_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8), starts
 
 
+# Character kinds: 0 space, 1 word (letters, digits, bytes over 127), 2 other signs. A token is a run of one kind.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
+_KIND[128:] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out)
+
+
+class Tokens:
+    """Tokens of a byte array: where they start and end, their 64-bit hashes, and those of any other stretch.
+
+    The hash is a polynomial in an odd base over lower-cased (A-Z) bytes, so prefix sums give that of every stretch.
+    """
+
+    def __init__(self, data: np.ndarray):
+        kind = _KIND[data]
+        edge = np.empty(len(data), bool)
+        edge[:1] = True
+        edge[1:] = kind[1:] != kind[:-1]
+        starts = np.nonzero(edge)[0]
+        ends = np.append(starts[1:], len(data))
+        token = kind[starts] > 0
+        self.starts, self.ends, self.word = starts[token], ends[token], kind[starts[token]] == 1
+        self.sums, self.inverse = np.zeros(len(data) + 1, np.uint64), _powers(_INVERSE, len(data))
+        with np.errstate(over="ignore"):
+            np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts], seed)
+
+
+def by_bytes(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `size` characters, a longer text alone."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n < size):
+            n += len(texts[j] or "")
+            j += 1
+        yield i, j
+        i = j
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), vectorised."""
     with np.errstate(over="ignore"):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, join_counted, mix64, text_only, write_table
+from .common import join_counted, keep_rows, mix64, text_hash, text_only, write_table
 
 #: Distinct digests for each shard, on average; a shard is built and probed in one task.
 SHARD_KEYS = 100_000
@@ -108,8 +108,8 @@ def _probe(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, uid (of the row) and digest, written once; the text goes no further."""
-    rows = text_only(docs).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
+    """doc_id, uid (of the row), digest and text_hash, written once; the text goes no further."""
+    rows = text_only(docs).select("doc_id", text_hash().alias("text_hash"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
     return write_table(rows.withColumn("uid", F.monotonically_increasing_id()), "digests")
 
 
@@ -137,24 +137,16 @@ def generation() -> Column:
 
 
 def exact_dedup(docs: DataFrame, history: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, member (its digest was in the history)."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, member (its digest was in the history), text_hash."""
     rows = digests(docs)
     total = rows.count()
     found = write_table(groups(rows, generation() if history is None else history, total), "groups")
     out = join_counted(rows, found, "digest", "group_size", total)
     return out.select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "member",
+        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "member", "text_hash",
     )
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """docs without exact copies, all columns as they were."""
-    rows = write_table(exact_dedup(docs), "exact")
-    whole = F.coalesce(F.col("doc_id"), F.lit(-1))
-    kept = rows.where("kept").select(whole.alias("_id"), F.col("text_sha256").alias("_sha"))
-    repeated = rows.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count() > 0
-    if not repeated and rows.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0 and rows.where("doc_id is null").limit(1).count() == 0:
-        return drop_ids(docs, rows.where("not kept").select("doc_id"))
-    # ids that aren't unique: rows are told apart by their text too, and one of each repeated row stays
-    own = docs.withColumns({"_id": whole, "_sha": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
-    return own.join(kept.distinct(), ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    return keep_rows(docs, write_table(exact_dedup(docs).select("doc_id", "text_hash", "kept"), "exact"))

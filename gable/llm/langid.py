@@ -6,7 +6,8 @@ bounded sample of labelled rows for each language (SAMPLE), part of which is set
 scores. Prediction is one pass over the texts in Arrow batches.
 
 Cases: null text, or text without a letter: `und`, score 0; no labelled rows at all: `und`, score 0 for every row; a null doc_id
-is not held out and never learned from; a null lang is never learned from; repeated rows count as often as they occur.
+is not held out and never learned from; a null lang is never learned from. Document frequencies count repeated rows as often as they occur;
+the sample takes each doc_id and lang once (the smallest text). A lang column of over 1,000 values is an error.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, may_learn, slices, text_only
+from .common import bounded_sample, held_out, may_learn, slices
 
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
-#: Labelled rows for each language that the weights are fitted on, at most.
-SAMPLE = 800
+#: Labelled rows that the weights are fitted on, at most: for each language, and in all.
+SAMPLE, SAMPLE_ROWS = 800, 32_000
 #: One in so many sampled rows fits the temperature instead of the weights.
 CALIBRATE = 5
 UNKNOWN = "und"
@@ -146,12 +147,13 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> LanguageModel:
     """Learns from rows where `learn` holds: their texts give the document frequencies, at most `sample` rows a language the weights."""
     learn = may_learn() if learn is None else learn
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn)
     counted = known.select("text").mapInArrow(_frequencies, "col long, df long").groupBy("col").agg(F.sum("df").alias("df")).collect()  # DIM + 1 rows
     labelled = known.where("lang is not null and text is not null")
     # the ids of the sample are chosen without the texts
-    ids = bounded_sample(labelled.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_examples, "doc_id long, lang string, cols array<int>, tfs array<int>").toPandas()
+    ids = F.broadcast(bounded_sample(labelled, "lang", sample, total=SAMPLE_ROWS))
+    chosen = labelled.join(ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = chosen.mapInArrow(_examples, "doc_id long, lang string, cols array<int>, tfs array<int>").toPandas()
     df = np.zeros(DIM)
     n = 0
     for r in counted:
@@ -192,14 +194,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Ids of documents whose language can't be told (no text, or no letter in it); a model that has learned no language rejects no others."""
-    if model.langs:
-        return identify(docs, model).where(F.col("lang_pred") == UNKNOWN).select("doc_id").distinct()
+def keep_told(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows whose language can be told, all columns as they were; a model that has learned no language drops only what has no letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
             for part in slices(batch, 500):
-                yield part.select(["doc_id"]).filter(pa.array([not has_letter(t) for t in part.column("text").to_pylist()], pa.bool_()))
+                texts = part.column("text").to_pylist()
+                told = [m.predict(t)[0] != UNKNOWN if m.langs else has_letter(t) for t in texts]
+                yield part.filter(pa.array(told, pa.bool_()))
 
-    return text_only(docs).mapInArrow(run, "doc_id long").distinct()
+    return docs.mapInArrow(run, docs.schema)

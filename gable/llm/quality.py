@@ -2,12 +2,16 @@
 
 Two generative models over hashed token unigrams and bigrams (BUCKETS columns, add-one smoothing): of target text (documents labelled
 good, on the learning side) and of raw text (all documents). The importance weight of a document is the ratio of the two; its
-logarithm, taken for each n-gram, ranks documents whatever their length. Documents are drawn without replacement by Gumbel
-top-k: the k largest of log weight + Gumbel noise, the noise a function of the row's id, so that a repeated task draws alike.
+logarithm, taken for each n-gram, ranks documents whatever their length (sums over n-grams would let long texts win or lose by length
+alone). Documents are drawn without replacement by Gumbel top-k: the k largest of log weight / temperature + Gumbel noise, the noise a
+function of the row's id and text, so that a repeated task draws alike. At this temperature documents near the k-th weight are
+drawn by chance, those far from it are not (README gives figures for others).
 
 k is no constant: it is the share of documents above the weight that parts good from bad labels best (see `keep_share`). The k-th key is
 found by counting keys in a fixed number of bins, then ranking inside one bin; no task sorts all rows.
 
+At most TARGET documents, the first by a hash of their ids, fit the target model.
+
 Cases: null and empty texts have no n-grams and log weight 0 (neither model prefers them); a null doc_id has noise like any other
 row; without labels everything is kept; ties in the key go to the smaller doc_id; an empty table gives an empty result.
 """
@@ -21,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, drop_ids, joined_bytes, may_learn, mix64, slices, text_only, write_table
+from .common import Tokens, bounded_sample, by_bytes, joined_bytes, keep_rows, may_learn, mix64, slices, text_hash, text_only, write_table
 
 BUCKETS = 1 << 16
 #: Labelled documents that the target model is fitted on, at most (their ids are broadcast: 8 MB).
 TARGET = 1_000_000
-#: Log weights for each n-gram are multiplied by this before the noise is added: the temperature of the draw.
-SHARPNESS = 400.0
-#: Share of the documents kept beyond the labelled share of good ones, so that noise drops bad ones first.
-MARGIN = 0.0
+#: Log weights for each n-gram are divided by this before the noise is added.
+TEMPERATURE = 1 / 30
 #: Bins in which keys are counted to find the k-th largest.
 BINS = 4096
 #: Rows among which the k-th largest is found by sorting, at most (but for equal keys).
@@ -39,54 +41,14 @@ EDGE = 50_000
 SHRINK = 8
 REPEATED = np.uint64(0xFFFF << 48)
 
-# Character kinds: 0 space, 1 word (letters, digits, bytes over 127), 2 other signs. A token is a run of one kind.
-_KIND = np.full(256, 2, np.uint8)
-_KIND[[9, 10, 11, 12, 13, 32]] = 0
-_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
-_KIND[128:] = 1
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out)
-
-
-def token_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each token of a byte array (a polynomial in an odd base, so prefix sums give every token's)."""
-    kind = _KIND[data]
-    edge = np.empty(len(data), bool)
-    edge[:1] = True
-    edge[1:] = kind[1:] != kind[:-1]
-    starts = np.nonzero(edge)[0]
-    ends = np.append(starts[1:], len(data))
-    token = kind[starts] > 0
-    starts, ends = starts[token], ends[token]
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
-    return starts, mix64(h)
-
-
 def gram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each unigram and bigram of the texts, and the index of its text."""
-    cols, docs, i = [], [], 0
-    while i < len(texts):  # about a million bytes at a time, a longer text alone
-        j, n = i, 0
-        while j < len(texts) and (j == i or n < 1 << 20):
-            n += len(texts[j] or "")
-            j += 1
+    cols, docs = [], []
+    for i, j in by_bytes(texts):
         data, at = joined_bytes(texts[i:j])
-        starts, h = token_hashes(data)
-        doc = np.searchsorted(at, starts, "right") - 1
+        tokens = Tokens(data)
+        h = tokens.hashes(tokens.starts, tokens.ends)
+        doc = np.searchsorted(at, tokens.starts, "right") - 1
         pair = doc[1:] == doc[:-1]
         with np.errstate(over="ignore"):
             two = mix64(h[:-1] * np.uint64(3) + h[1:], 1) if len(h) else h
@@ -94,7 +56,6 @@ def gram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             two = np.where(h[:-1] == h[1:], REPEATED, two)[pair]
         cols += [h >> np.uint64(48), two >> np.uint64(48)]
         docs += [doc + i, doc[1:][pair] + i]
-        i = j
     return np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64), np.concatenate(docs) if docs else np.zeros(0, np.int64)
 
 
@@ -133,14 +94,14 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 cols, owner = gram_buckets(part.column("text").to_pylist())
                 n = np.bincount(owner, minlength=part.num_rows)
                 s = np.bincount(owner, weights=r[cols], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s / (n + SHRINK))], ["doc_id", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(s / (n + SHRINK))], ["doc_id", "text_hash", "n_grams", "log_weight"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return text_only(docs, text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_grams long, log_weight double")
 
 
 def gumbel(seed: int = 0) -> Column:
-    """Standard Gumbel noise that depends on the row's id alone."""
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """Standard Gumbel noise that depends on the row's id and text alone."""
+    u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text_hash"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -176,21 +137,21 @@ def top_k(rows: DataFrame, k: int, total: int, few: int = EDGE) -> DataFrame:
     return rows.withColumn("selected", (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & same))
 
 
-def resample(docs: DataFrame, labels: DataFrame, margin: float = MARGIN, sharpness: float = SHARPNESS) -> DataFrame:
-    """doc_id, log_weight, key and selected of every document. Labels are learned from rows that may be learned from only."""
-    known = labels.select("doc_id", "quality").where(may_learn()).where("quality is not null and doc_id is not null")
+def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
+    """doc_id, text_hash, n_grams, log_weight, key and selected of every document. Labels are learned from rows that may be learned from only."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(may_learn()).where("quality is not null and doc_id is not null")
     good = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = good.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     target = bounded_sample(good.where("quality = 1"), "quality", TARGET)
     scored = write_table(weights(docs, log_ratio(docs, target)), "weights")
-    scored = scored.withColumn("key", F.col("log_weight") * sharpness + gumbel())
+    scored = scored.withColumn("key", F.col("log_weight") / temperature + gumbel())
     total = scored.count()
     # Labels may cover other documents than these: the share is of labelled documents that are here and good.
-    keep = keep_share(scored, good, margin) if share[0] else 1.0
+    keep = keep_share(scored, good) if share[0] else 1.0
     return top_k(scored, round(keep * total), total)
 
 
-def keep_share(scored: DataFrame, good: DataFrame, margin: float) -> float:
+def keep_share(scored: DataFrame, good: DataFrame) -> float:
     """The share of these documents to draw: of all rows, those whose weight is over the weight that parts good from bad labels best."""
     pairs = scored.join(good, "doc_id").select(F.round("log_weight", 4).alias("w"), "quality").groupBy("w").agg(F.count("*").alias("n"), F.sum("quality").alias("g"))
     rows = pairs.orderBy("w").collect()  # one row for each rounded weight: some thousands, whatever the corpus
@@ -202,10 +163,9 @@ def keep_share(scored: DataFrame, good: DataFrame, margin: float) -> float:
     k = int((20 * kept_good + dropped_bad).argmax())
     cut = rows[k]["w"] if 20 * kept_good[k] + dropped_bad[k] > 20 else -float("inf")
     share = scored.agg(F.avg((F.col("log_weight") > cut + 5e-5).cast("double"))).first()[0]
-    return min(1.0, (share if share is not None else 1.0) + margin)
+    return share if share is not None else 1.0
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that were drawn, all columns as they were."""
-    out = write_table(resample(docs, labels).select("doc_id", "selected"), "resampled")
-    return drop_ids(docs, out.where("not selected").select("doc_id").distinct())
+    """The rows that were drawn, all columns as they were."""
+    return keep_rows(docs, write_table(resample(docs, labels).select("doc_id", "text_hash", F.col("selected").alias("kept")), "resampled"))

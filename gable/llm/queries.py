@@ -37,7 +37,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("kept", "text_hash")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("member")
+    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("member", "text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

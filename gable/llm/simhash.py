@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, join_counted, slices, text_only, write_table
+from .common import join_counted, keep_rows, slices, text_hash, text_only, write_table
 
 RADIUS = 4
 SHINGLE = 4
@@ -73,11 +73,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in slices(batch, 500):
             fp = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return text_only(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return text_only(docs, text_hash().alias("text_hash")).mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -220,48 +220,53 @@ def class_links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     return found.distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """node, root: the smallest node of each component, for every node that has an edge.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014); each round is written to the shared folder. A node's
-    smallest neighbour is found by a partial aggregation, so a node with very many neighbours is no single task's work.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until nothing changes, which takes about log2(nodes) rounds;
+    if `rounds` were not enough, that is an error. Each round is written to the shared folder. A node's smallest neighbour is
+    found by a partial aggregation, and joined map-side for nodes with very many neighbours, so these are no single task's work.
     """
     e = write_table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    before = None
+    before, n = None, e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         # large star: each larger neighbour is linked with the smallest
-        e = write_table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large-star")
+        joined = join_counted(both.where("v > u"), low, "u", "n", n)
+        e = write_table(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large-star")
         # small star: the node and its smaller neighbours are linked with the smallest
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(low, "u")
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = join_counted(e, low, "u", "n", n)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         e = write_table(small, "small-star")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        n, check = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, check) == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = (n, check)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id, class_size and component_docs of every document."""
-    rows = write_table(fingerprints(docs), "fingerprints")
+    """doc_id, fingerprint (hex), component_id, class_size, component_docs, kept and text_hash of every document.
+
+    One row of each component is kept: that of the smallest doc_id; of rows that share it, that of the smallest fingerprint, then row.
+    """
+    rows = write_table(fingerprints(docs).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
     total = rows.count()
-    classes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
-    links = write_table(class_links(classes, radius, block), "links")
-    roots = components(links)
-    own = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    sums = own.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("class_size").alias("component_docs"), F.count("*").alias("n"))
-    own = write_table(own.join(sums.where("n > 1"), "root", "left").select("fp", "class_size", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component_docs", "class_size").alias("component_docs")), "class-components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))  # a null id comes last
+    classes = write_table(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("class_size")), "classes")
+    roots = components(write_table(class_links(classes, radius, block), "links"))
+    own = write_table(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    best = F.min(F.struct("first.none", "first.doc_id", "fp", "first.uid"))
+    sums = own.groupBy("root").agg(best.alias("best"), F.sum("class_size").alias("component_docs"), F.count("*").alias("n"))
+    joined = join_counted(own, sums, "root", "n", own.count())
+    own = write_table(joined.select("fp", "class_size", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("kept_uid"), "component_docs"), "class-components")
     return join_counted(rows, own, "fp", "class_size", total).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size", "component_docs",
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size", "component_docs", (F.col("uid") == F.col("kept_uid")).alias("kept"), "text_hash",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component of more than one: that of the smallest id. All columns as they were."""
-    found = write_table(near_duplicates(docs).select("doc_id", "component_id"), "near")
-    return drop_ids(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-
+    """docs with one document of each component, all columns as they were."""
+    return keep_rows(docs, write_table(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "near"))

@@ -34,7 +34,7 @@ def test_language_stage_keeps_texts_when_no_language_is_known(spark):
     texts = [None, "", " 12 %", "One two.", "été", "x"]
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()) == [3, 4, 5]
-    assert langid.rejected(docs.where("false"), langid.train(docs)).count() == 0
+    assert langid.keep_told(docs.where("false"), langid.train(docs)).count() == 0
 
 
 def test_repeats_of_a_template_are_spans_of_their_own(spark):
