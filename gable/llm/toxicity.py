@@ -1,265 +1,263 @@
 """Operator 6, toxicity from the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows (EXAMPLES) gives the terms: words, beginnings of words, runs of signs and capitals whose presence is
-associated with the label (chi-square). How densely such words stand in a text is a term too, by steps of its logarithm. Document
-frequencies of all terms are counted over all texts. Each example is a unit TF-IDF vector in an inverted index with block
-maxima: for each term and each block of 64 examples the largest weight in it. A text's blocks are visited from the highest
-upper bound down, until no block can hold a nearer example than the K found: the K nearest are exact. Votes weighted by cosine give a
-raw score, which a monotone curve fitted on the examples themselves (each without its own vote) turns into a probability. The
-nearest examples are returned as evidence.
-
-Cases: null and empty texts, and texts without any of the terms, have no neighbour and get the share of label 1 among examples like
-them; without labels every score is 0; repeated labels of one doc_id count once (toxic if any is); a null doc_id isn't learned from.
+Terms are the words and runs of signs of a text (lower-cased), and the beginnings (four characters) of longer words. All terms of a bounded
+sample of labelled rows (EXAMPLES) are columns, none is left out; terms that no example holds have no column. Document
+frequencies are counted over all texts. A term's weight is (1 + log tf) x idf x the strength of its association with the
+label in the examples (root of chi-square): over plain TF-IDF whole texts are near one another by what they have in common by chance
+(README gives both figures). Examples are unit vectors in an inverted index: for each term postings by blocks of 64 examples, and for each
+block of a term the largest weight in it; terms that many examples hold are whole columns, multiplied for a slice of texts at once. A
+text's blocks are visited from the highest upper bound down, and all whose bound reaches the K-th cosine found are read: the K nearest are exact. Votes weighted by cosine give a raw score, which a monotone curve fitted on
+the examples themselves (each without its own vote, weighted as its label is among all labelled rows) turns into a probability. The nearest
+examples are returned as evidence.
+
+Cases: null and empty texts, and texts without any of the terms, have no neighbour and get the share of label 1 among labelled
+rows; without labels every score is 0; with one label only, terms have their TF-IDF weight alone; repeated labels of one doc_id count once
+(toxic if any is); rows that repeat an example's doc_id are one example (the smallest text); a null doc_id isn't learned from.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, may_learn, slices, text_only, write_table
+from .common import Tokens, bounded_sample, by_bytes, held_out, joined_bytes, may_learn, slices, text_only, write_table
 
-#: Labelled rows of each label that examples are taken from, at most.
-EXAMPLES = 6000
-TERMS = 512
-#: Chi-square of a term's association with the label, at least.
-CHI2 = 40.0
+#: Labelled rows of each label that are examples, at most.
+EXAMPLES = 2000
 K = 15
-#: Distinct chunks of text that a worker remembers, about; then it begins anew.
-CACHE = 300_000
 BLOCK = 64
+#: Blocks that are read first, before the bound of the others is known.
+FIRST = 4
 THRESHOLD = 0.7
-_TOKEN = re.compile(r"\w+|[!?]{2,}")
-#: Lengths of the beginnings of words that can be terms.
-PREFIXES = (3, 4, 5, 6, 7)
-CAPITALS = "^capitals"
-#: Steps of density: each is 1.4 times the one before. Neighbouring steps share a term.
-STEPS, RATIO, DENSITY_WEIGHT = 24, 1.4, 2.5
+#: Terms that more than one in so many examples holds are whole columns.
+COMMON = 12
+#: Characters of a word's beginning that is a term of its own.
+BEGINNING = 4
 EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
-def features(token: str) -> list[str]:
-    """What a token of a text can be a term by."""
-    low = token.lower()
-    out = [low, *(low[:k] + "*" for k in PREFIXES if len(low) > k)]
-    return [*out, CAPITALS] if len(token) > 2 and token.isupper() else out
-
-
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold each feature, summed over the task."""
-    bad: Counter = Counter()
-    good: Counter = Counter()
+def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every occurrence of a term, and the index of its text."""
+    data, at = joined_bytes([(t or "").lower() for t in texts])
+    tokens = Tokens(data)
+    owner = np.searchsorted(at, tokens.starts, "right") - 1
+    # beginnings end where their fifth character starts
+    characters = np.nonzero((data & 0xC0) != 0x80)[0]
+    number = np.searchsorted(characters, tokens.starts)
+    stop = np.append(characters, np.full(BEGINNING, len(data)))[number + BEGINNING] if len(number) else tokens.starts
+    longer = tokens.word & (stop < tokens.ends)
+    whole = tokens.hashes(tokens.starts, tokens.ends)
+    begins = tokens.hashes(tokens.starts[longer], stop[longer], 1)
+    return np.concatenate([whole, begins]), np.concatenate([owner, owner[longer]])
+
+
+def term_counts(texts: list[str | None], vocabulary: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text in order: hash of each term (place in the vocabulary, if one is given), and how often it occurs; sorted."""
+    for i, j in by_bytes(texts):
+        h, owner = term_hashes(texts[i:j])
+        if vocabulary is not None:
+            place = np.searchsorted(vocabulary, h)
+            known = place < len(vocabulary)
+            known[known] = vocabulary[place[known]] == h[known]
+            h, owner = place[known], owner[known]
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        first = np.nonzero(new)[0]
+        tf = np.diff(np.append(first, len(h)))
+        cuts = np.searchsorted(owner[first], np.arange(j - i + 1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield h[first[a:b]], tf[a:b]
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            (bad if toxic else good).update({f for w in set(_TOKEN.findall(text or "")) for f in features(w)})
-    listed = list(bad.keys() | good.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(listed, pa.string()), pa.array([bad[w] for w in listed], pa.int64()), pa.array([good[w] for w in listed], pa.int64())], ["word", "bad", "good"])
-
-
-class Terms:
-    """Counts of the terms in texts. The last STEPS + 1 numbers are those of densities."""
-
-    def __init__(self, terms: list[str]):
-        self.terms = terms
-        self.place = {t: i for i, t in enumerate(terms)}
-        self.size = len(terms) + STEPS + 1
-        self.known: dict[str, int] = {}
-        self.kinds: list[tuple[int, list[tuple[int, ...]]]] = []  # number of tokens, and the terms of each that has any
-        self.kind_of: dict = {}
-
-    def _kind(self, chunk: str) -> int:
-        """What stands between white space, by its number of tokens and their terms; most chunks are of few kinds."""
-        tokens, place = _TOKEN.findall(chunk), self.place
-        found = [t for t in (tuple(place[f] for f in features(token) if f in place) for token in tokens) if t]
-        key = (len(tokens), tuple(found))
-        if key not in self.kind_of:
-            self.kind_of[key] = len(self.kinds)
-            self.kinds.append((len(tokens), found))
-        return self.kind_of[key]
-
-    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the terms and how often they occur (1 for a density), sorted by term. Each distinct chunk is looked at once."""
-        split = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
-        coded = split.flatten().dictionary_encode()
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        kinds = np.empty(len(coded.dictionary), np.int64)
-        for i, chunk in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist()):
-            k = known.get(chunk)
-            if k is None:
-                k = known[chunk] = self._kind(chunk)
-            kinds[i] = k
-        bounds = split.offsets.to_numpy()
-        own = kinds[coded.indices.to_numpy()] if len(kinds) else np.zeros(0, np.int64)
-        tokens = np.append(0, np.cumsum(np.array([n for n, _ in self.kinds], np.int64)[own] if len(own) else own))
-        hit = np.nonzero(np.array([bool(t) for _, t in self.kinds], bool)[own])[0] if len(own) else own
-        cuts = np.searchsorted(hit, bounds)
-        out = []
-        for d in range(len(texts)):
-            tf: Counter = Counter()
-            hits = 0
-            for k in own[hit[cuts[d] : cuts[d + 1]]].tolist():
-                for t in self.kinds[k][1]:
-                    hits += 1
-                    tf.update(t)
-            if not hits:
-                out.append((np.zeros(0, np.int64), np.zeros(0)))
-                continue
-            n = tokens[bounds[d + 1]] - tokens[bounds[d]]
-            step = int(np.clip(STEPS - 1 + np.floor(np.log(hits / n) / np.log(RATIO)), 0, STEPS - 1))
-            base = len(self.terms) + step
-            tf[base] = tf[base + 1] = 1
-            at = np.array(sorted(tf), np.int64)
-            out.append((at, np.array([tf[t] for t in at.tolist()], float)))
-        return out
+        for part in slices(batch, 200):
+            found = list(term_counts(part.column("text").to_pylist()))
+            cols = [pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *cols], ["doc_id", "toxic", "term", "tf"])
 
 
-def _counted(terms: Terms, *carried: str):
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many rows each term of the vocabulary occurs, and the number of rows. A task sends its sums, a row for each term met."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the terms of the examples, whatever the corpus
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        df, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
-            for part in slices(batch, 1000):
-                found = terms.counts(part.column("text").to_pylist())
-                cols = [pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *cols], [*carried, "term", "tf"])
-
-    return run
+            for part in slices(batch, 500):
+                for at, _ in term_counts(part.column("text").to_pylist(), known):
+                    df[at] += 1
+                    n += 1
+        met = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(df[met], n))], ["term", "df"])
+
+    counted = text_only(docs).select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row for each term
+    df = np.zeros(len(vocabulary), np.int64)
+    real = counted["term"].to_numpy(np.int64) >= 0
+    df[counted["term"].to_numpy(np.int64)[real]] = counted["df"].to_numpy(np.int64)[real]
+    return df, int(counted["df"].to_numpy(np.int64)[~real].sum())
+
+
+def association(at: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """Root of chi-square of each term's presence and the label, over the examples; 1 for all where there is one label only."""
+    bad, n = int(labels.sum()), len(labels)
+    if bad in (0, n):
+        return np.ones(size)
+    a = np.bincount(np.concatenate([x for x, y in zip(at, labels) if y]), minlength=size).astype(float)
+    b = np.bincount(np.concatenate([x for x, y in zip(at, labels) if not y]), minlength=size).astype(float)
+    below = (a + b) * (n - a - b) * bad * (n - bad)
+    return np.sqrt(n * (a * (n - bad - b) - b * (bad - a)) ** 2 / np.where(below > 0, below, 1)) * (below > 0)
 
 
 class Index:
-    """Exact nearest examples by cosine, with block maxima."""
+    """Exact nearest examples by cosine, from postings with block maxima. weight: of each term; counts: terms and tf of each example."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, ids: list[int], counts: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
-        self.terms, self.idf = terms, idf
-        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
+    def __init__(self, weight: np.ndarray, ids: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float = 0.0):
+        self.weight, self.prior = weight, prior
         vectors = [self.vector(*c) for c in counts]
-        keep = [i for i, (at, _) in enumerate(vectors) if len(at)]
-        self.rest = np.array([i for i, (at, _) in enumerate(vectors) if not len(at)], np.int64)
-        # examples alike stand in one block, which makes its maxima tight
-        keep.sort(key=lambda i: (tuple(vectors[i][0]), self.ids[i]))
-        self.order = np.array(keep, np.int64)
-        self.weights = np.zeros((len(keep), terms.size))
-        for row, i in enumerate(keep):
-            self.weights[row, vectors[i][0]] = vectors[i][1]
-        blocks = -(-len(keep) // BLOCK)
-        self.block_max = np.zeros((blocks, terms.size))
-        for b in range(blocks):
-            self.block_max[b] = self.weights[b * BLOCK : (b + 1) * BLOCK].max(axis=0)
-        self.prior = 0.0
+        # examples of the same strongest term stand together, which makes the maxima of their blocks tight
+        order = sorted((i for i, (at, _) in enumerate(vectors) if len(at)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()], ids[i]))
+        self.vectors = [vectors[i] for i in order]
+        self.ids, self.labels = np.asarray(ids, np.int64)[order], np.asarray(labels, np.int64)[order]
+        self.blocks = -(-len(order) // BLOCK)
+        term = np.concatenate([at for at, _ in self.vectors]) if order else np.zeros(0, np.int64)
+        value = np.concatenate([x for _, x in self.vectors]) if order else np.zeros(0)
+        row = np.repeat(np.arange(len(order)), [len(at) for at, _ in self.vectors])
+        common = np.bincount(term, minlength=len(weight)) * COMMON > len(order)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)  # of each common term in the whole columns
+        self.columns = np.zeros((int(common.sum()), len(order)))
+        whole = common[term]
+        self.columns[self.column[term[whole]], row[whole]] = value[whole]
+        term, value, row = term[~whole], value[~whole], row[~whole]
+        by = np.argsort(term, kind="stable")  # by term, then row
+        self.rows, self.values = row[by].astype(np.int32), value[by]
+        term, block = term[by], row[by] // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.starts = np.append(np.nonzero(new)[0], len(term))  # postings of each (term, block)
+        self.block_of = block[new].astype(np.int32)
+        self.block_max = np.maximum.reduceat(self.values, self.starts[:-1]) if len(term) else np.zeros(0)
+        self.entries = np.searchsorted(term[new], np.arange(len(weight) + 1))  # (term, block)s of each term
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.known: dict[bytes, tuple[float, list[dict]]] = {}
 
     def vector(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights of a whole text; tf is damped by a logarithm."""
-        if not len(at):
-            return at, tf
-        x = (1 + np.log(tf)) * self.idf[at] * np.where(at >= len(self.terms.terms), DENSITY_WEIGHT, 1.0)
-        return at, x / np.sqrt(x @ x)
-
-    def nearest(self, at: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples (positive cosines only), nearest first, ties to the smaller id."""
-        bounds = self.block_max[:, at] @ x
-        rows, sims, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(rows) >= k and bounds[b] < floor - 1e-12):
-                break
-            s = self.weights[b * BLOCK : (b + 1) * BLOCK][:, at] @ x
-            rows, sims = np.concatenate([rows, np.arange(b * BLOCK, b * BLOCK + len(s))]), np.concatenate([sims, s])
-            best = np.lexsort((self.ids[self.order[rows]], -np.round(sims, 12)))[:k]
-            rows, sims = rows[best], sims[best]
-            floor = sims[-1]
-        return rows[sims > 0], sims[sims > 0]
+        """Terms of positive weight and unit weights of a whole text."""
+        x = (1 + np.log(tf)) * self.weight[at]
+        at, x = at[x > 0], x[x > 0]
+        return at, x / np.sqrt(x @ x) if len(x) else x
+
+    def _cosines(self, entry: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """What the postings of some (term, block)s add to each example's cosine; x: the text's weight of each."""
+        first, n = self.starts[entry], self.starts[entry + 1] - self.starts[entry]
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.rows[at], weights=self.values[at] * np.repeat(x, n), minlength=len(self.ids))
+
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms of each vector add to each example's cosine."""
+        q = np.zeros((len(vectors), len(self.columns)))
+        for i, (at, x) in enumerate(vectors):
+            c = self.column[at]
+            q[i, c[c >= 0]] = x[c >= 0]
+        return q @ self.columns
+
+    def nearest(self, at: np.ndarray, x: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples (positive cosines only), nearest first, ties to the smaller id. base: its common part."""
+        rare = self.column[at] < 0
+        at, x = at[rare], x[rare]
+        n = self.entries[at + 1] - self.entries[at]
+        entry = np.repeat(self.entries[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        each = np.repeat(x, n)
+        block = self.block_of[entry]
+        bounds = np.bincount(block, weights=self.block_max[entry] * each, minlength=self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        ahead = np.zeros(self.blocks, bool)
+        ahead[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        now = ahead[block]
+        sims = base + self._cosines(entry[now], each[now])  # exact in the blocks read, a lower bound elsewhere
+        floor = np.partition(sims, len(sims) - k)[len(sims) - k] if len(sims) > k else 0.0
+        rest = ~ahead & (bounds > 0) & (bounds >= floor - 1e-12)
+        now = rest[block]
+        if now.any():
+            sims += self._cosines(entry[now], each[now])
+        some = np.nonzero(sims >= max(np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-11 if len(sims) > k else 0.0, 1e-300))[0]
+        best = some[np.lexsort((self.ids[some], -np.round(sims[some], 12)))[:k]]
+        return best, sims[best]
 
     def raw(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        labels = self.labels[self.order[rows]]
-        return float((sims * labels).sum() / sims.sum()) if len(rows) else 0.0
-
-    def calibrate(self) -> None:
-        """Fits the curve by pooling adjacent violators on each example's score without its own vote."""
-        self.prior = float(self.labels[self.rest].mean()) if len(self.rest) else 0.0
-        if not len(self.order):
-            return
-        scores = np.zeros(len(self.order))
-        for r in range(len(self.order)):
-            at = np.nonzero(self.weights[r])[0]
-            rows, sims = self.nearest(at, self.weights[r, at], K + 1)
-            scores[r] = self.raw(rows[rows != r][:K], sims[rows != r][:K])
-        by = np.argsort(scores, kind="stable")
-        levels: list[list[float]] = []  # sum of labels, rows, sum of scores
-        for s, y in zip(scores[by], self.labels[self.order[by]]):
-            levels.append([float(y), 1.0, float(s)])
+        return float((sims * self.labels[rows]).sum() / sims.sum()) if len(rows) else 0.0
+
+    def calibrate(self, share: dict[int, float]) -> None:
+        """Fits the curve by pooling adjacent violators on each example's score without its own vote. share: the weight of an example of each label."""
+        scores = np.zeros(len(self.ids))
+        for i in range(0, len(self.vectors), 500):
+            part = self.vectors[i : i + 500]
+            for r, ((at, x), base) in enumerate(zip(part, self.common_part(part)), i):
+                rows, sims = self.nearest(at, x, base, K + 1)
+                scores[r] = self.raw(rows[rows != r][:K], sims[rows != r][:K])
+        levels: list[list[float]] = []  # sums over examples, weighted: labels, examples, scores
+        for s, y in sorted(zip(scores.tolist(), self.labels.tolist())):
+            w = share.get(y, 1.0)
+            levels.append([w * y, w, w * s])
             while len(levels) > 1 and levels[-2][0] * levels[-1][1] >= levels[-1][0] * levels[-2][1]:
                 a = levels.pop()
                 levels[-1] = [p + q for p, q in zip(levels[-1], a)]
-        x = np.array([s / n for _, n, s in levels])
-        y = np.array([(t + 0.5 * self.prior) / (n + 0.5) for t, n, _ in levels])
-        self.curve = (x, np.maximum.accumulate(y))
-
-    def score(self, at: np.ndarray, tf: np.ndarray) -> tuple[float, list[dict]]:
-        at, x = self.vector(at, tf)
-        if not len(at):
-            return self.prior, []
-        key = at.tobytes() + np.round(x, 12).tobytes()
-        if key not in self.known:
-            rows, sims = self.nearest(at, x, K)
-            value = float(np.interp(self.raw(rows, sims), *self.curve)) if len(rows) else self.prior
-            i = self.order[rows[:3]]
-            found = value, [{"doc_id": int(d), "toxic": int(t), "cosine": float(c)} for d, t, c in zip(self.ids[i], self.labels[i], sims)]
-            if len(self.known) > 50_000:
-                self.known.clear()
-            self.known[key] = found
-        return self.known[key]
-
-
-def choose_terms(rows: DataFrame) -> list[str]:
-    """The TERMS features most associated with the label of the example rows (text, toxic), CHI2 at least."""
-    n_bad, n_good = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
-    seen = rows.mapInArrow(_presence, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("a"), F.sum("good").alias("b"))
-    n = float(n_bad + n_good)
-    c, d = F.lit(float(n_bad)) - F.col("a"), F.lit(float(n_good)) - F.col("b")
-    below = (F.col("a") + F.col("b")) * (c + d) * float(n_bad) * float(n_good)
-    seen = seen.withColumn("chi2", F.try_divide(n * F.pow(F.col("a") * d - F.col("b") * c, 2), below))
-    return [r["word"] for r in seen.where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).select("word").collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Index, DataFrame]:
-    """The index, and doc_id, held_out, term and tf of every row of docs: one pass over all texts, written for the counts and the scores."""
+        if levels:
+            x = np.array([s / n for _, n, s in levels])
+            y = np.array([(t + 0.5 * self.prior) / (n + 0.5) for t, n, _ in levels])
+            self.curve = (x, np.maximum.accumulate(y))
+
+    def scores(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[dict]]]:
+        """Score and evidence of each text, from its terms and tf."""
+        vectors = [self.vector(*c) for c in counts]
+        for (at, x), base in zip(vectors, self.common_part(vectors)):
+            rows, sims = self.nearest(at, x, base, K) if len(at) and len(base) else (at[:0], x[:0])
+            if not len(rows):
+                yield self.prior, []
+                continue
+            value = float(np.interp(self.raw(rows, sims), *self.curve))
+            yield value, [{"doc_id": int(self.ids[i]), "toxic": int(self.labels[i]), "cosine": float(c)} for i, c in zip(rows[:3], sims)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, associated: bool = True) -> tuple[np.ndarray, Index]:
+    """The vocabulary (sorted hashes) and the index. associated: terms are weighted by their association with the label, too."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(may_learn()).where("toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found_labels = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().limit(3).collect()}
+    if not set(found_labels) <= {0, 1}:
+        raise ValueError("toxic must be 0 or 1")
     sample = F.broadcast(bounded_sample(known, "toxic", examples))  # two labels: at most 2 x examples ids
-    rows = write_table(text_only(docs).join(sample, "doc_id"), "examples")
-    terms = Terms(choose_terms(rows))
-    counted = text_only(docs).withColumn("held_out", held_out()).mapInArrow(_counted(terms, "doc_id", "held_out"), "doc_id long, held_out boolean, term array<long>, tf array<double>")
-    counted = write_table(counted, "counts")
-    df, total = np.zeros(terms.size), counted.count()
-    for r in counted.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # a row for each term
-        df[r["term"]] = r["df"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    found = rows.mapInArrow(_counted(terms, "doc_id", "toxic"), "doc_id long, toxic int, term array<long>, tf array<double>").orderBy("doc_id").toPandas()  # the bounded examples
-    counts = [(np.array(a, np.int64), np.array(x, float)) for a, x in zip(found["term"], found["tf"])]
-    index = Index(terms, idf, found["doc_id"].tolist(), counts, found["toxic"].tolist())
-    index.calibrate()
-    return index, counted
+    rows = text_only(docs).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = write_table(rows.mapInArrow(_examples, "doc_id long, toxic int, term array<long>, tf array<long>"), "examples").orderBy("doc_id").toPandas()  # the bounded examples
+    terms = [np.array(t, np.int64).view(np.uint64) for t in found["term"]]
+    vocabulary = np.unique(np.concatenate(terms)) if terms else np.zeros(0, np.uint64)
+    y = found["toxic"].to_numpy(np.int64)
+    df, total = document_frequencies(docs, vocabulary)
+    counts = [(np.searchsorted(vocabulary, t), np.array(n, np.int64)) for t, n in zip(terms, found["tf"])]
+    weight = np.log((1 + total) / (1 + df)) + 1
+    if associated:
+        weight = weight * association([at for at, _ in counts], y, len(vocabulary))
+    index = Index(weight, found["doc_id"].to_numpy(np.int64), counts, y, found_labels.get(1, 0) / max(1, sum(found_labels.values())))
+    index.calibrate({k: n / max(1, int((y == k).sum())) for k, n in found_labels.items()})
+    return vocabulary, index
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the three nearest examples) of every row."""
-    index, counted = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most TERMS x 2 EXAMPLES weights, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # the examples' postings, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        vocabulary, index = shared.value
         for batch in batches:
-            found = [ix.score(np.array(a, np.int64), np.array(x, float)) for a, x in zip(batch.column("term").to_pylist(), batch.column("tf").to_pylist())]
-            s = np.clip([a for a, _ in found], 0, 1) if found else np.zeros(0)
-            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array([e for _, e in found], EVIDENCE)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "evidence"])
+            for part in slices(batch, 500):
+                found = list(index.scores(list(term_counts(part.column("text").to_pylist(), vocabulary))))
+                s = np.clip(np.array([a for a, _ in found], float), 0, 1)
+                cols = [part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array([e for _, e in found], EVIDENCE)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return counted.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    return text_only(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
