@@ -56,7 +56,7 @@ def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def term_counts(texts: list[str | None], vocabulary: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text in order: hash of each term (place in the vocabulary, if one is given), and how often it occurs; sorted."""
+    """For each text in order: the hash of each term (place in the vocabulary, if one is given), and how often it occurs; sorted."""
     for i, j in by_bytes(texts):
         h, owner = term_hashes(texts[i:j])
         if vocabulary is not None:
@@ -79,7 +79,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 200):
             found = list(term_counts(part.column("text").to_pylist()))
-            cols = [pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))]
+            cols = [pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *cols], ["doc_id", "toxic", "term", "tf"])
 
 
@@ -98,20 +98,21 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
         met = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(df[met], n))], ["term", "df"])
 
-    counted = text_only(docs).select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row for each term
+    counted = text_only(docs).select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each term
+    term, count = counted["term"].to_numpy(), counted["df"].to_numpy()
     df = np.zeros(len(vocabulary), np.int64)
-    real = counted["term"].to_numpy(np.int64) >= 0
-    df[counted["term"].to_numpy(np.int64)[real]] = counted["df"].to_numpy(np.int64)[real]
-    return df, int(counted["df"].to_numpy(np.int64)[~real].sum())
+    df[term[term >= 0]] = count[term >= 0]
+    return df, int(count[term < 0].sum())
 
 
-def association(at: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Root of chi-square of each term's presence and the label, over the examples; 1 for all where there is one label only."""
-    bad, n = int(labels.sum()), len(labels)
+def association(at: np.ndarray, labels: np.ndarray, bad: int, n: int, size: int) -> np.ndarray:
+    """Root of chi-square of each term's presence and the label, over the examples (bad of n); 1 for all where there is one label only.
+
+    at, labels: the term and its example's label, of each example's each term.
+    """
     if bad in (0, n):
         return np.ones(size)
-    a = np.bincount(np.concatenate([x for x, y in zip(at, labels) if y]), minlength=size).astype(float)
-    b = np.bincount(np.concatenate([x for x, y in zip(at, labels) if not y]), minlength=size).astype(float)
+    a, b = (np.bincount(at[labels == y], minlength=size).astype(float) for y in (1, 0))
     below = (a + b) * (n - a - b) * bad * (n - bad)
     return np.sqrt(n * (a * (n - bad - b) - b * (bad - a)) ** 2 / np.where(below > 0, below, 1)) * (below > 0)
 
@@ -125,6 +126,7 @@ class Index:
         # examples of the same strongest term stand together, which makes the maxima of their blocks tight
         order = sorted((i for i, (at, _) in enumerate(vectors) if len(at)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()], ids[i]))
         self.vectors = [vectors[i] for i in order]
+        del vectors
         self.ids, self.labels = np.asarray(ids, np.int64)[order], np.asarray(labels, np.int64)[order]
         self.blocks = -(-len(order) // BLOCK)
         term = np.concatenate([at for at, _ in self.vectors]) if order else np.zeros(0, np.int64)
@@ -141,10 +143,10 @@ class Index:
         term, block = term[by], row[by] // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.starts = np.append(np.nonzero(new)[0], len(term))  # postings of each (term, block)
+        self.starts = np.append(np.nonzero(new)[0], len(term)).astype(np.int32)  # postings of each (term, block)
         self.block_of = block[new].astype(np.int32)
         self.block_max = np.maximum.reduceat(self.values, self.starts[:-1]) if len(term) else np.zeros(0)
-        self.entries = np.searchsorted(term[new], np.arange(len(weight) + 1))  # (term, block)s of each term
+        self.entries = np.searchsorted(term[new], np.arange(len(weight) + 1)).astype(np.int32)  # (term, block)s of each term
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,17 +235,21 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, associated
         raise ValueError("toxic must be 0 or 1")
     sample = F.broadcast(bounded_sample(known, "toxic", examples))  # two labels: at most 2 x examples ids
     rows = text_only(docs).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = write_table(rows.mapInArrow(_examples, "doc_id long, toxic int, term array<long>, tf array<long>"), "examples").orderBy("doc_id").toPandas()  # the bounded examples
-    terms = [np.array(t, np.int64).view(np.uint64) for t in found["term"]]
-    vocabulary = np.unique(np.concatenate(terms)) if terms else np.zeros(0, np.uint64)
-    y = found["toxic"].to_numpy(np.int64)
+    found = write_table(rows.mapInArrow(_examples, "doc_id long, toxic int, term array<long>, tf array<int>"), "examples").orderBy("doc_id").toArrow()  # the bounded examples
+    ids, y = found["doc_id"].to_numpy(), found["toxic"].to_numpy().astype(np.int64)
+    terms, tf = (found[c].combine_chunks() for c in ("term", "tf"))
+    cuts = np.append(0, np.cumsum(terms.value_lengths().to_numpy().astype(np.int64)))
+    vocabulary, at = np.unique(terms.flatten().to_numpy().view(np.uint64), return_inverse=True)
     df, total = document_frequencies(docs, vocabulary)
-    counts = [(np.searchsorted(vocabulary, t), np.array(n, np.int64)) for t, n in zip(terms, found["tf"])]
     weight = np.log((1 + total) / (1 + df)) + 1
     if associated:
-        weight = weight * association([at for at, _ in counts], y, len(vocabulary))
-    index = Index(weight, found["doc_id"].to_numpy(np.int64), counts, y, found_labels.get(1, 0) / max(1, sum(found_labels.values())))
+        weight = weight * association(at, np.repeat(y, np.diff(cuts)), int(y.sum()), len(y), len(vocabulary))
+    tf = tf.flatten().to_numpy()
+    counts = [(at[a:b], tf[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    index = Index(weight, ids, counts, y, found_labels.get(1, 0) / max(1, sum(found_labels.values())))
+    del found, terms, tf, counts, at
     index.calibrate({k: n / max(1, int((y == k).sum())) for k, n in found_labels.items()})
+    index.vectors = []  # what follows needs the postings alone
     return vocabulary, index
 
 
