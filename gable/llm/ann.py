@@ -1,16 +1,18 @@
 """Operator 2, approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and codebooks are fitted by k-means on a bounded sample (SAMPLE vectors); every vector is then assigned, its residual
-quantised. Queries visit the lists whose centroids have the largest inner products with them. The lists' codes are dealt by id into
-blocks of bounded size, which hold a part of every list, so no list is too large for a task; queries are dealt into blocks too,
-and each pair of blocks is a task: the asymmetric distance table of a query (inner products with the codewords) scores the
-codes of the lists it visits. A code's score is wrong by at most the query's norm times the norm of what quantising left over, so
-every vector that may be among a block's k nearest is known, however many share a code; all of them, and the RERANK best by code, are
-ranked in the task by the exact inner product of the original vectors, in double precision, and a block's k nearest go on.
+Centroids (as many as the root of the number of vectors) and codebooks are fitted by k-means on a bounded sample (SAMPLE vectors); every
+vector is then assigned, its residual quantised. A query visits the lists whose centroids have the largest inner products with it: as many
+as sampled queries need to find RECALL of their true neighbours in the sample. So clustered vectors cost few lists a query, vectors
+without structure many. Lists are laid end to end, near ones beside one another, and cut into shards of bounded size (a large list
+spans several); a vector goes to one shard, a query to the shards that hold a list it visits, and nowhere else. A shard that very many
+queries visit is copied for every QUERIES of them. In a shard's task the asymmetric distance table of a query (inner products with the codewords)
+scores the codes of the lists it visits. A code's score is wrong by at most the query's norm times the norm of what quantising left
+over, so every vector that may be among a shard's k nearest is known, however many share a code; all of them are ranked in the
+task by the exact inner product of the original vectors, in double precision, and a shard's k nearest go on.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another length than the
-most common one; rows that repeat a vec_id count once (the smallest vector); ties go to the smaller vec_id; with fewer candidates than
-k all are returned; an empty table gives an empty result.
+most common one (no inner product with the others is defined); rows that repeat a vec_id count once (the smallest vector); ties go to the
+smaller vec_id; with fewer candidates than k all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import slices, write_table
 
 #: Vectors that centroids and codebooks are fitted on, at most: the first in the order of a hash of their ids.
 SAMPLE = 20_000
-LISTS = 128
+#: Lists, at least and at most.
+LISTS = (16, SAMPLE // 8)
 CODEWORDS = 256
 SUBSPACE = 4
-#: Share of the lists that a query visits, and candidates for each query and block that are reranked at least.
-PROBE = 0.75
-RERANK = 400
-#: Vectors in a block and queries in a block, about at most; blocks of queries, at least (so that small tables are searched in parallel).
-BLOCK, QUERIES, LEAST_BLOCKS = 100_000, 4096, 16
+#: Share of the true neighbours of TRIALS sampled queries that the visited lists must hold.
+RECALL, TRIALS = 0.97, 256
+#: Vectors in a shard, about at most, queries that a copy of it serves, and shards, at least (so that small tables are searched in parallel).
+BLOCK, QUERIES, LEAST_SHARDS = 100_000, 20_000, 16
 
 
 @dataclass
@@ -78,10 +80,12 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(x: np.ndarray, lists: int = LISTS) -> Codes:
+def fit(x: np.ndarray, lists: int) -> Codes:
     dim = x.shape[1]
     width = SUBSPACE if dim % SUBSPACE == 0 else 1
     centroids = kmeans(x, lists, 1)
+    # near lists beside one another: in order along the direction in which the centroids differ most
+    centroids = centroids[np.argsort(centroids @ np.linalg.svd(centroids - centroids.mean(axis=0), full_matrices=False)[2][0], kind="stable")]
     rest = (x - centroids[nearest(x, centroids)]).reshape(len(x), dim // width, width)
     books = [kmeans(np.ascontiguousarray(rest[:, m]), CODEWORDS, m) for m in range(dim // width)]
     return Codes(centroids, np.stack(books))
@@ -113,15 +117,49 @@ def _encode(codes: Codes):
     return run
 
 
-def visits(codes: Codes, q: np.ndarray, share: float, sizes: np.ndarray, least: int) -> np.ndarray:
-    """Which lists each query visits (queries x lists): a share of them, and as many more as it takes to meet `least` vectors."""
+def lists_to_visit(codes: Codes, x: np.ndarray, k: int, recall: float) -> int:
+    """How many lists the first TRIALS vectors of the sample x must visit to meet `recall` of their k nearest in it."""
+    q = x[:TRIALS]
+    s = x @ q.T
+    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = np.argpartition(-s, min(k, len(x) - 1), axis=0)[:k].T  # queries x k
     order = np.argsort(-(q @ codes.centroids.T), axis=1, kind="stable")
-    n = np.maximum(round(share * order.shape[1]), (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+    met = np.sort(np.take_along_axis(rank, nearest(x, codes.centroids)[near], axis=1).ravel())
+    return int(met[min(len(met) - 1, int(np.ceil(recall * len(met))) - 1)]) + 1 if len(met) else 1
+
+
+def visits(codes: Codes, q: np.ndarray, probe: int, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which lists each query visits (queries x lists): `probe` of them, and as many more as it takes to meet `least` vectors."""
+    order = np.argsort(-(q @ codes.centroids.T), axis=1, kind="stable")
+    n = np.maximum(probe, (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1)
     out = np.zeros(order.shape, bool)
     np.put_along_axis(out, order, np.arange(order.shape[1]) < n[:, None], axis=1)
     return out
 
 
+def _ask(codes: Codes, probe: int, sizes: np.ndarray, least: int, width: int):
+    """A row for each shard that holds a list which the query visits."""
+    ends = np.cumsum(sizes)
+    first, last = (ends - sizes) // width, np.maximum(ends - 1, 0) // width
+    shards = int(last.max(initial=0)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 256):
+                q = _stack(part.column("v"))
+                edge = np.zeros((len(q), shards + 1), np.int64)
+                i, at = np.nonzero(visits(codes, q, probe, sizes, least) & (sizes > 0))
+                np.add.at(edge, (i, first[at]), 1)
+                np.add.at(edge, (i, last[at] + 1), -1)
+                i, shard = np.nonzero(np.cumsum(edge, axis=1)[:, :-1])
+                raw = [v.tobytes() for v in q]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(i)), pa.array([raw[j] for j in i], pa.binary()), pa.array(shard)], ["query_id", "q", "shard"])
+
+    return run
+
+
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of the rows of x with q, added from the first component on: equal vectors have equal ones."""
     out = np.zeros(len(x))
@@ -135,28 +173,31 @@ def top(s: np.ndarray, k: int) -> float:
     return np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else s.min(initial=np.inf)
 
 
-def _scan(codes: Codes, share: float, sizes: np.ndarray, k: int, rerank: int):
-    def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+def _scan(codes: Codes, probe: int, sizes: np.ndarray, k: int):
+    def run(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(queries) or not len(block):
+        if not len(queries) or not len(shard):
             return empty
-        block = block.sort_values("vec_id")
-        ids, lists, err = block["vec_id"].to_numpy(np.int64), block["list"].to_numpy(np.int64), block["err"].to_numpy(float)
-        code = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(ids), -1)
+        shard = shard.sort_values(["list", "vec_id"])
+        ids, err = shard["vec_id"].to_numpy(np.int64), shard["err"].to_numpy(float)
+        lists, length = np.unique(shard["list"].to_numpy(np.int64), return_counts=True)  # codes of a list stand together
+        code = np.frombuffer(b"".join(shard["code"]), np.uint8).reshape(len(ids), -1)
         code = code + np.arange(code.shape[1]) * codes.books.shape[1]  # into a table laid flat
-        x = np.frombuffer(b"".join(block["x"]), np.float64).reshape(len(ids), -1)
-        del block
-        out = []
+        x = np.frombuffer(b"".join(shard["x"]), np.float64).reshape(len(ids), -1)
+        del shard
+        out = [empty]
         for i in range(0, len(queries), 64):
             part = queries.iloc[i : i + 64]
-            q = np.array(part["v"].tolist(), np.float64)
+            q = np.frombuffer(b"".join(part["q"]), np.float64).reshape(len(part), -1)
             all_exact = None
-            for n, (query, table, coarse, visited) in enumerate(zip(part["query_id"].to_numpy(np.int64), codes.tables(q), q @ codes.centroids.T, visits(codes, q, share, sizes, k + 1))):
-                met = np.nonzero(visited[lists] & (ids != query))[0]  # in order of id
-                s = coarse[lists[met]] + table.ravel()[code[met]].sum(axis=1)
+            for n, (query, table, coarse, visited) in enumerate(zip(part["query_id"].to_numpy(np.int64), codes.tables(q), q @ codes.centroids.T, visits(codes, q, probe, sizes, k + 1))):
+                met = np.nonzero(np.repeat(visited[lists], length) & (ids != query))[0]
+                if not len(met):
+                    continue
+                s = np.repeat(coarse[lists], length)[met] + table.ravel()[code[met]].sum(axis=1)
                 slack = np.linalg.norm(q[n]) * err[met]
                 # a vector whose highest possible score is below the k-th lowest possible one isn't among the k nearest
-                met = met[(s + slack >= top(s - slack, k)) | (s >= top(s, rerank))]
+                met = met[s + slack >= top(s - slack, k)]
                 if len(met) * 16 > len(ids):  # one matrix product for all queries is less work than picking rows for each
                     all_exact = x @ q.T if all_exact is None else all_exact
                     rough = all_exact[met, n]
@@ -172,25 +213,31 @@ def _scan(codes: Codes, share: float, sizes: np.ndarray, k: int, rerank: int):
     return run
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS, probe: float = PROBE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other vectors."""
     own = write_table(vectors(rows), "vectors")
+    spark, total = own.sparkSession, own.count()
     sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
-        return own.sparkSession.createDataFrame([], schema)
-    codes = fit(np.array(sample["v"].tolist(), np.float64), lists)
+        return spark.createDataFrame([], schema)
+    x = np.array(sample["v"].tolist(), np.float64)
+    codes = fit(x, int(np.clip(round(total**0.5), *LISTS)))
+    probe = lists_to_visit(codes, x, k, recall)
     coded = write_table(own.mapInArrow(_encode(codes), "vec_id long, list long, code binary, err double, x binary"), "codes")
-    queries = own.where(is_query)
     sizes = np.zeros(len(codes.centroids), np.int64)
     for r in coded.groupBy("list").count().collect():  # a row for each list
         sizes[r["list"]] = r["count"]
-    n_queries = queries.count()
-    q_blocks, c_blocks = max(LEAST_BLOCKS, -(-n_queries // QUERIES)), max(1, -(-int(sizes.sum()) // block))
-    dealt = coded.withColumn("c_block", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"))
-    asked = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-    found = asked.groupBy("q_block", "c_block").cogroup(dealt.groupBy("q_block", "c_block"))
-    near = found.applyInPandas(_scan(codes, probe, sizes, k, rerank), "query_id long, vec_id long, score double")
+    width = max(1, min(block, -(-total // LEAST_SHARDS)))
+    asked = write_table(own.where(is_query).mapInArrow(_ask(codes, probe, sizes, k + 1, width), "query_id long, q binary, shard long"), "asked")
+    loads = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(queries)).cast("int").alias("copies")))  # a row for each shard: total / width
+    place = spark.createDataFrame([(i, int(e - n), int(n)) for i, (n, e) in enumerate(zip(sizes, np.cumsum(sizes)))], "list long, before long, size long")
+    # where in its list a vector stands goes by a hash of its id
+    within = F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / float(1 << 40) * F.col("size"))
+    held = coded.join(F.broadcast(place), "list").withColumn("shard", F.floor((F.col("before") + within) / F.lit(width)).cast("long")).drop("before", "size")
+    held = held.join(loads, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    dealt = asked.join(loads, "shard").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")).drop("copies")
+    found = dealt.groupBy("shard", "copy").cogroup(held.groupBy("shard", "copy"))
+    near = found.applyInPandas(_scan(codes, probe, sizes, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
