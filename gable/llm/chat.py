@@ -8,8 +8,13 @@ chosen leaves' paths are enumerated by the same jumps from the largest down, and
 The template is `<|im_start|>role LF text<|im_end|> LF` for each turn. Inside roles and texts a backslash is doubled and `<|`
 becomes `<\\|`, so no control string can stand in a text, and reading back undoes both; a line feed in a role becomes `\\n`.
 
+A formatted conversation is a table of turns in order, one row each, so that none is held whole; reading back goes through the rows of
+a conversation in order and keeps running digests alone.
+
 Cases: null text and null role are empty; turns of equal number in one conversation stand in the order of role, then text; a null
-conv_id is a conversation of its own, a null turn comes first; an empty table gives only what the query itself adds.
+conv_id is a conversation of its own, a null turn comes first; an empty table gives only what the query itself adds. A conversation
+may be of any length: its turns are put in order by a range partitioning that cuts it, its offsets are sums over chunks of turns; only the
+digests of one conversation are one task's (they are sequential), in constant memory.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from .common import write_table
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+#: Turns whose offsets are summed in one group.
+CHUNK = 4096
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -38,11 +45,27 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
-def linear_tree(turns: DataFrame) -> DataFrame:
-    """Nodes of conversations without replies of their own: each turn answers the one before it. Score 0 for every node."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "node")
-    rows = write_table(turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).withColumn("node", F.monotonically_increasing_id()), "turns")
-    return rows.withColumn("parent", F.lag("node").over(w)).withColumn("score", F.lit(0.0))
+def linear_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (conv_id, node, role, text) and links (conv_id, node, parent, score) of conversations without replies of their own.
+
+    Each turn answers the one before it; every score is 0. Node numbers rise in the order of all turns, which a range partitioning by
+    conversation, turn, role, text (and row) gives: a conversation of many turns lies in several partitions.
+    """
+    rows = turns.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))).withColumn("row", F.monotonically_increasing_id())
+    order = ("conv_id", "turn", "role", "text", "row")
+    nodes = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", F.monotonically_increasing_id().alias("node"), "role", "text")
+    nodes = write_table(nodes, "turns")
+    own = nodes.select("node", "conv_id")
+    # the last node of the partition before, for the first of each
+    ends = own.groupBy(F.shiftright("node", 33).alias("part")).agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    ends = ends.select("node", F.lag("last").over(Window.orderBy("part")).alias("before"))  # a row for each partition
+    before = own.join(F.broadcast(ends), "node", "left").select("conv_id", "node", F.coalesce("before", F.col("node") - 1).alias("before"))
+    last = own.select(F.col("node").alias("before"), F.col("conv_id").alias("conv_before"))
+    parent = F.when(F.col("conv_id").eqNullSafe(F.col("conv_before")), F.col("before"))
+    # a node without one before it has no row on the right: the first of all
+    there = last.withColumn("there", F.lit(True))
+    links = before.join(there, "before", "left").select("conv_id", "node", F.when(F.col("there"), parent).alias("parent"), F.lit(0.0).alias("score"))
+    return nodes, links
 
 
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -54,7 +77,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     links = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = links.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
     links = links.join(known, "parent", "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
-    links = write_table(links, "links")
+    links = write_table(links, "known-links")
     # level k: nodes that have a 2^k-th ancestor, that ancestor, and the sum of scores on the way to it
     jumps, step = [], links.where("parent is not null").select("node", F.col("parent").alias("anc"), "score")
     while step.limit(1).count():
@@ -84,55 +107,91 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return path
 
 
-def format_paths(nodes: DataFrame, path: DataFrame) -> DataFrame:
-    """conv_id, branch, formatted, loss_spans (start and end, in code points of the formatted text, of each learned text)."""
+def format_turns(nodes: DataFrame, path: DataFrame) -> DataFrame:
+    """conv_id, branch, depth, piece, begin and stop: the formatted turns of each path. A conversation is its pieces in order of depth.
+
+    begin, stop: where in the piece (in code points) the text is that is learned; null where none is.
+    """
     turns = path.join(nodes.select("node", "role", "text"), "node")
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n"))
+    head = F.concat(F.lit(START), role, F.lit("\n"))
     body = escape(F.col("text"))
-    turns = turns.select("conv_id", "branch", F.struct("depth", F.concat(F.lit(START), role, F.lit("\n")).alias("head"), body.alias("body"), (F.coalesce("role", F.lit("")) == LEARNED).alias("learned")).alias("t"))
-    grouped = turns.groupBy("conv_id", "branch").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    end = END + "\n"
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,stop:bigint>>").alias("spans"))
+    begin = F.when(F.coalesce("role", F.lit("")) == LEARNED, F.length(head).cast("long"))
+    return turns.select("conv_id", "branch", "depth", F.concat(head, body, F.lit(END + "\n")).alias("piece"), begin.alias("begin"), (begin + F.length(body)).alias("stop"))
 
-    def add(acc, t):
-        first = acc["at"] + F.length(t["head"])
-        stop = first + F.length(t["body"])
-        span = F.array(F.struct(first.cast("long").alias("begin"), stop.cast("long").alias("stop")))
-        return F.struct((stop + len(end)).cast("long").alias("at"), F.when(t["learned"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return grouped.select(
-        "conv_id", "branch",
-        F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(end))), "").alias("formatted"),
-        F.aggregate("t", begin, add)["spans"].alias("loss_spans"),
-    )
+def with_offsets(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Formatted turns with `at`, where each piece begins in its conversation. Sums go by chunks of turns, then within them."""
+    of = F.col("depth") - F.pmod(F.col("depth"), F.lit(chunk))
+    own = turns.withColumn("chunk", of)
+    sums = own.groupBy("conv_id", "branch", "chunk").agg(F.sum(F.length("piece")).alias("chars"))
+    before = Window.partitionBy("conv_id", "branch").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("conv_id").alias("_conv"), F.col("branch").alias("_branch"), F.col("chunk").alias("_chunk"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("_base"))
+    joined = own.join(sums, own["conv_id"].eqNullSafe(sums["_conv"]) & (own["branch"] == sums["_branch"]) & (own["chunk"] == sums["_chunk"]))
+    inside = Window.partitionBy("conv_id", "branch", "chunk").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_base") + F.coalesce(F.sum(F.length("piece")).over(inside), F.lit(0))
+    return joined.withColumn("at", at).drop("_conv", "_branch", "_chunk", "_base", "chunk")
 
 
 def read_back(formatted: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], list[str]]:
-    """Turns (role, text) and the texts under the loss mask, from a formatted conversation."""
+    """Turns (role, text) and the texts under the loss mask, from formatted turns."""
     turns = [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
     return turns, [unescape(formatted[a:b]) for a, b in spans]
 
 
+class _Digest:
+    """Running digests of one conversation."""
+
+    def __init__(self):
+        self.turns = self.learned = self.chars = 0
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, piece: str, begin: int | None, stop: int | None) -> None:
+        turns, learned = read_back(piece, [(begin, stop)] if begin is not None else [])
+        self.turns += len(turns)
+        self.chars += len(piece)
+        for role, text in turns:
+            self.all.update(f"{role}\n{text}\n".encode())
+        for text in learned:
+            self.learned += len(text)
+            self.loss.update(text.encode())
+
+    def row(self, key: tuple) -> tuple:
+        return (*key, self.turns, self.all.hexdigest(), self.learned, self.loss.hexdigest(), self.chars)
+
+
+_DIGESTS = [("conv_id", pa.int64()), ("branch", pa.int32()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
-        for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist()):
-            turns, learned = read_back(text, [(s["begin"], s["stop"]) for s in spans])
-            joined = "".join(learned)
-            values = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(joined), hashlib.sha256(joined.encode()).hexdigest(), len(text))
-            for column, v in zip(out, values):
-                column.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    """Rows come by conversation and branch, in order of depth; a conversation may span batches."""
+    key, digest = None, _Digest()
 
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _DIGESTS)], [n for n, _ in _DIGESTS])
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from each formatted conversation."""
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    for batch in batches:
+        done = []
+        for conv, branch, piece, begin, stop in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "branch", "piece", "begin", "stop"))):
+            if (conv, branch) != key:
+                if key is not None:
+                    done.append(digest.row(key))
+                key, digest = (conv, branch), _Digest()
+            digest.add(piece, begin, stop)
+        if done:
+            yield out(done)
+    if key is not None:
+        yield out([digest.row(key)])
+
+
+def digests(turns: DataFrame) -> DataFrame:
+    """conv_id, branch, and what can be read back from each conversation's formatted turns."""
+    rows = turns.select("conv_id", F.col("branch").cast("int").alias("branch"), "depth", "piece", "begin", "stop")
+    rows = rows.repartition("conv_id", "branch").sortWithinPartitions("conv_id", "branch", "depth")
+    return rows.mapInArrow(_digests, "conv_id long, branch int, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """Every conversation of a table of turns (conv_id, turn, role, text), formatted."""
-    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    nodes = write_table(linear_tree(own), "nodes")
-    return format_paths(nodes, chosen_paths(nodes))
+    """Every conversation of a table of turns (conv_id, turn, role, text), formatted turn by turn."""
+    nodes, links = linear_tree(turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text"))
+    return format_turns(nodes, chosen_paths(write_table(links, "links")))

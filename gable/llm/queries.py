@@ -57,7 +57,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
-    return chat.digests(chat.format_conversations(turns.unionByName(added)))
+    return chat.digests(chat.format_conversations(turns.unionByName(added))).drop("branch")
 
 
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
