@@ -43,6 +43,16 @@ def negotiation_score(signals: Column, dropped: Column, config: ScoreConfig = Sc
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), points))
 
 
+def signals(in_text: Column, from_model: Column, config: ScoreConfig = ScoreConfig()) -> Column:
+    """Signals of negotiation: the larger of those in the text and those a model's answer (a list, or null) names, so none counts twice."""
+    return F.greatest(F.least(in_text, F.lit(config.max_signals)), F.least(F.coalesce(F.size(F.coalesce(from_model, F.array().cast("array<string>"))), F.lit(0)), F.lit(config.max_signals)))
+
+
+def contributions(parts: dict[str, Column], config: ScoreConfig = ScoreConfig()) -> Column:
+    """What each part adds to the composite score."""
+    return F.struct(*((parts[k] * w).alias(k) for k, w in config.weights.items()))
+
+
 def vacancy_score(tension: Column, config: ScoreConfig = ScoreConfig()) -> Column:
     high, mid = config.tension
     a, b, c = config.vacancy

@@ -175,7 +175,7 @@ def money(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.format_string("%.1f%%", c)
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", c))
 
 
 def escape_markdown(c: Column) -> Column:

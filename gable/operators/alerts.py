@@ -70,3 +70,30 @@ def message(level: Column, title: Column, district: Column, price: Column, surfa
 def drop_message(title: Column, old: Column, new: Column) -> Column:
     diff, pct = finance.price_change(old, new)
     return F.concat_ws("\n", F.concat(F.lit("BAISSE DE PRIX - "), text.escape_markdown(title)), F.concat(text.money(old), F.lit(" -> "), text.money(new), F.lit(" ("), text.percent(pct), F.lit(")")))
+
+
+def selected(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n top and the first n good alerts by `order`; if there is neither, the row of the best score, as a top one."""
+    sent = first_per_level(rows.where(F.col("level").isin("top", "bon")), order, n).drop("place")
+    best = rows.orderBy(F.desc("score"), order).limit(1).withColumn("level", F.lit("top"))
+    some = F.broadcast(sent.limit(1).select(F.lit(1).alias("_some")))
+    return sent.unionByName(best.join(some, F.lit(True), "left_anti"))
+
+
+def system_message(event: Column, detail: Column, at: Column) -> Column:
+    return F.concat_ws(
+        "\n", F.lit("*ALERTE SYSTEME*"), F.concat(F.lit("*Evenement:* "), text.escape_markdown(event)), F.concat(F.lit("*Detail:* "), detail), F.concat(F.lit("*Date:* "), F.date_format(at, "dd/MM/yyyy")),
+    )
+
+
+def digest(best: DataFrame, stats: DataFrame, day: dt.date) -> DataFrame:
+    """The day's message as one row: a few best listings (id, district, price, score) and the pipeline's numbers (one row: scraped, fresh, errors, sources)."""
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # the few rows of a report
+    lines = best.select(place.alias("n"), F.concat(place.cast("string"), F.lit(". "), F.coalesce("district", F.lit("?")), F.lit(" - "), text.money(F.col("price"))).alias("line"))
+    listed = lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("listed"))
+    said = F.when(F.col("listed") == "", "Aucune opportunite aujourd'hui.").otherwise(F.col("listed"))
+    count = lambda words, c: F.concat(F.lit(words), F.coalesce(F.col(c), F.lit(0)).cast("string"))
+    return stats.crossJoin(listed).select(F.concat_ws(
+        "\n", F.lit(f"DIGEST QUOTIDIEN - {day:%d/%m/%Y}"), F.lit("Top 3 du jour:"), said, F.lit("Stats pipeline:"), count("Annonces scrapees: ", "scraped"), count("Nouvelles: ", "fresh"), count("Erreurs: ", "errors"),
+        F.when(F.size("sources") > 0, F.concat(F.lit("Sources actives: "), F.array_join("sources", ", "))),
+    ).alias("message"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,25 @@ def newest(files: DataFrame, as_of: dt.datetime, hours: int = 48) -> DataFrame:
     out = files.agg(F.max_by("path", F.struct("modified", "path")).alias("path"), F.max("modified").alias("modified"))
     old = F.timestamp_diff("HOUR", F.col("modified"), F.lit(as_of).cast("timestamp_ntz"))
     return out.withColumn("status", F.when(F.col("path").isNull(), "critical").when(old > hours, "warning").otherwise("ok"))
+
+
+def expired(at: Column, as_of: dt.datetime, days: int) -> Column:
+    """Whether a date is more than `days` old; a missing one isn't."""
+    return F.coalesce(at < F.lit(as_of - dt.timedelta(days=days)).cast("timestamp_ntz"), F.lit(False))
+
+
+def without_parents(children: DataFrame, purged: DataFrame, key: str) -> DataFrame:
+    """The children whose parent isn't purged."""
+    return children.join(purged.select(key), key, "left_anti")
+
+
+def keep_newest(rows: DataFrame, by: str, newest_first: list[str], n: int) -> DataFrame:
+    """The n newest rows of each group."""
+    w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in newest_first))
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def cached(entries: DataFrame, key: str, at: str) -> DataFrame:
+    """A cache after appending: of each key the newest entry."""
+    rest = [c for c in entries.columns if c != key]
+    return entries.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("_e")).select(key, *(F.col(f"_e.{c}").alias(c) for c in rest))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ObservatoryConfig
@@ -91,3 +91,9 @@ def coverage(reference: DataFrame, min_rows: int = 5) -> DataFrame:
     share = F.try_divide(F.col("reliable") * 100, F.col("segments"))
     text = F.concat(F.round(share).cast("int").cast("string"), F.lit("% fiable ("), F.col("reliable").cast("string"), F.lit("/"), F.col("segments").cast("string"), F.lit(")"))
     return out.withColumn("summary", F.when(F.col("segments") > 0, text).otherwise("Aucune reference"))
+
+
+def fallback_rent(median: Column, per_m2: Column, kind: Column, surface: Column, config: ObservatoryConfig = ObservatoryConfig()) -> tuple[Column, Column]:
+    """Rent and reliability of a segment without enough rows: its stated median, adjusted; else its rent per square metre times the surface; else none."""
+    rent = F.coalesce(finance.surface_adjusted(median, kind, surface, config), per_m2 * surface)
+    return rent, F.when(rent.isNotNull(), F.lit("preliminaire")).otherwise(F.lit("indisponible"))

@@ -64,3 +64,26 @@ def anomalies(price: Column, surface: Column, rooms: Column, description: Column
         F.when((sd > 0) & (F.abs(F.try_divide(price, surface) - median) > 2 * sd), "price per m2"), F.when(surface < least, "surface for rooms"),
         F.when(text.contains_count(description, bounds.agency_words) >= bounds.agency_hits, "agency"),
     )
+
+
+def _value_texts(raw: Column, field: str, words: dict[str, str], low: float, high: float, whole: bool, positive: bool = True) -> Column:
+    """What is wrong with a value that came as text: missing, no number, not positive, below or above its bounds; the value stands in the text."""
+    number = raw.try_cast("double")
+    said = number.cast("long").cast("string") if whole else number.cast("string")
+    value = F.floor(number) if whole else number
+    bound = (lambda x: str(int(x))) if whole else (lambda x: str(float(x)))
+    out = F.when(raw.isNull(), f"{field} {words['missing']}").when(number.isNull(), f"{field} invalide (type str)")
+    if positive:
+        out = out.when(value <= 0, F.concat(F.lit(f"{field} {words['negative']} ("), said, F.lit(")")))
+    out = out.when(value < low, F.concat(F.lit(f"{field} {words['low']} ("), said, F.lit(f" < {bound(low)})")))
+    return out.when(value > high, F.concat(F.lit(f"{field} {words['high']} ("), said, F.lit(f" > {bound(high)})")))
+
+
+def sale_reason_texts(price: Column, surface: Column, rooms: Column, energy: Column, bounds: Bounds = Bounds()) -> Column:
+    """Every reason in words, from values as they came (texts): types first, then bounds."""
+    return reasons(
+        _value_texts(price, "prix", {"missing": "manquant", "negative": "negatif ou nul", "low": "trop bas", "high": "trop eleve"}, *bounds.price, True),
+        _value_texts(surface, "surface", {"missing": "manquante", "negative": "negative ou nulle", "low": "trop petite", "high": "trop grande"}, *bounds.surface, False),
+        _value_texts(rooms, "nb_pieces", {"missing": "manquant", "low": "trop petit", "high": "trop grand"}, *bounds.rooms, True, False),
+        F.when(energy.isNotNull() & ~energy.isin(*bounds.energy), F.concat(F.lit("dpe invalide ('"), energy, F.lit("' hors A-G)"))),
+    )

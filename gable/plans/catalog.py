@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import expressions, geo, observatory, operations, scoring, sources, streams
+from . import details, expressions, geo, observatory, operations, scoring, sources, streams
 
-MODULES = (expressions, observatory, scoring, geo, operations, sources, streams)
+MODULES = (expressions, observatory, scoring, geo, operations, sources, streams, details)
 
 
 def queries() -> dict:

@@ -153,7 +153,7 @@ def money_format(spark, sf_dir):
     return own.select("id", text.money(C("price")).alias("money"), text.percent(C("rooms") * 1.5).alias("share"))
 
 
-@query()
+@query(views.sql("""SELECT id, replace(format('{:,}', CAST(round_even(price, 0) AS BIGINT)), ',', ' ') || '€' AS money, CASE WHEN rooms IS NOT NULL THEN format('{:.1f}%', rooms * 1.5::DOUBLE) END AS share FROM listings""", "listings"))
 def money_format_all(spark, sf_dir):
     """Every listing, prices at a half too: rounded half to even."""
     return views.listings(spark, sf_dir).select("id", text.money(C("price")).alias("money"), text.percent(C("rooms") * 1.5).alias("share"))
@@ -175,7 +175,9 @@ _SALE = """list_filter([
     CASE WHEN price IS NULL THEN 'price missing' WHEN price < 10000 THEN 'price low' WHEN price > 500000 THEN 'price high' END,
     CASE WHEN surface IS NULL THEN 'surface missing' WHEN surface < 10 THEN 'surface low' WHEN surface > 300 THEN 'surface high' END,
     CASE WHEN rooms IS NULL THEN 'rooms missing' WHEN rooms < 1 THEN 'rooms low' WHEN rooms > 10 THEN 'rooms high' END,
-    CASE WHEN energy NOT IN ('A', 'B', 'C', 'D', 'E', 'F', 'G') THEN 'energy invalid' END], lambda r: r IS NOT NULL)"""
+    CASE WHEN energy NOT IN ('A', 'B', 'C', 'D', 'E', 'F', 'G') THEN 'energy invalid' END,
+    CASE WHEN NOT regexp_matches(url, '^(?i)https?://[^/?#]*\\.[^/?#]*') THEN 'url invalid' END,
+    CASE WHEN NOT (contains(lower(address), 'besançon') OR contains(lower(address), 'besancon') OR regexp_matches(address, '\\b25[0-9]{3}\\b')) THEN 'address outside' END], lambda r: r IS NOT NULL)"""
 
 
 @query(views.sql(f"SELECT id, array_to_string({_SALE}, '|') AS reasons, len({_SALE}) = 0 AS valid FROM listings", "listings"))

@@ -13,6 +13,7 @@ from . import views
 from .expressions import _CANONICAL, _URLS
 from .registry import registrar
 from .scoring import _SCORED, graded
+from .scoring import _negotiation as negotiation  # noqa: F401
 
 REGISTER: dict = {}
 query = registrar(REGISTER)
@@ -38,7 +39,19 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = """a.surface IS NOT NULL AND b.surface IS NOT NULL AND a.id < b.id AND (abs(a.surface - b.surface) <= 2 OR (a.price > 0 AND abs(b.price - a.price) * 100.0::DOUBLE <= a.price * 5.0::DOUBLE))"""
-_SOLD = "sold AS (SELECT id, surface, price, seller, district, regexp_replace(lower(address), '^.*besançon$', (id % 97) || ' av ' || lower(district) || ' 25' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') || ' besancon') AS key FROM listings)"
+
+
+def _key_sql(address: str) -> str:
+    """The address key in SQL, from the address."""
+    out = f"translate(lower(trim({address})), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}')"
+    for full, short in text.SHORT_STREETS.items():
+        out = f"regexp_replace({out}, '\\b{full}\\b', '{short}', 'g')"
+    words = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+    kept = f"array_to_string(list_filter(string_split_regex({out}, '\\s+'), lambda w: w NOT IN ({words})), ' ')"
+    return f"trim(regexp_replace(regexp_replace({kept}, '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+_SOLD = f"sold AS (SELECT id, surface, price, seller, district, {_key_sql('address')} AS key FROM listings)"
 
 
 @query(views.sql(f"WITH {_SOLD} SELECT a.seller % 10 AS bucket, count(*) AS pairs, sum(a.id * 7 + b.id)::BIGINT AS checksum FROM sold a JOIN sold b ON a.seller = b.seller AND {_NEAR} GROUP BY 1", "listings"))
@@ -160,9 +173,14 @@ def _said():
     return alerts.message(C("level"), title, C("district"), C("price"), C("surface"), C("y"), C("score"))
 
 
-@query()
+_TENTH = "CAST(round(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 20)), 1) AS VARCHAR)"
+
+
+@query(views.sql(f"""WITH {_SCORED} SELECT id, CASE level WHEN 'top' THEN 'TOP OPPORTUNITE' WHEN 'bon' THEN 'BONNE AFFAIRE' ELSE 'VEILLE' END || ' - v\\.' || id || chr(10) || 'Quartier: ' || replace(district, '_', '\\_') || chr(10) || 'Prix: '
+    || replace(format('{{:,}}', CAST(round_even(price, 0) AS BIGINT)), ',', ' ') || '€ (' || CASE WHEN surface > 0 THEN CAST(round_even(price / surface, 0) AS BIGINT) ELSE 0 END || '€/m2)' || chr(10)
+    || 'Rendement: ' || {_TENTH.format('y')} || '%' || chr(10) || 'Score: ' || {_TENTH.format('score')} AS message FROM graded""", "listings"))
 def alert_messages_all(spark, sf_dir):
-    """The whole message of every graded listing; SQL has no rounding half to even for it, so golden rows check it."""
+    """The whole message of every graded listing: prices rounded half to even, yield and score half up."""
     return graded(spark, sf_dir).select("id", _said().alias("message"))
 
 
@@ -197,12 +215,13 @@ def health_report(spark, sf_dir):
     return health.report(views.run_log(spark, sf_dir).select(F.when(g == 2, "critical").when(g == 1, "warning").otherwise("ok").alias("status")))
 
 
-@query(views.sql("""SELECT day, calls FROM (SELECT CAST("at" AS DATE) AS day, id, row_number() OVER (PARTITION BY CAST("at" AS DATE) ORDER BY "at", id) AS calls FROM run_log) WHERE calls = 300""", "run_log"))
+@query(views.sql("""SELECT day, id, calls FROM (SELECT CAST("at" AS DATE) AS day, id, row_number() OVER (PARTITION BY CAST("at" AS DATE) ORDER BY "at", id) AS calls FROM run_log) WHERE calls <= 300""", "run_log"))
 def daily_call_limit(spark, sf_dir):
+    """The calls of each day that are within the limit."""
     from pyspark.sql import Window
 
     own = views.run_log(spark, sf_dir).withColumn("day", C("at").cast("date"))
-    return own.withColumn("calls", F.row_number().over(Window.partitionBy("day").orderBy("at", "id"))).where("calls = 300").select("day", C("calls").cast("long").alias("calls"))
+    return own.withColumn("calls", F.row_number().over(Window.partitionBy("day").orderBy("at", "id"))).where("calls <= 300").select("day", "id", C("calls").cast("long").alias("calls"))
 
 
 @query(views.sql('SELECT id, source, "at" FROM run_log ORDER BY "at" DESC, id DESC LIMIT 100', "run_log"))

@@ -18,7 +18,7 @@ AD = "list_id long, url string, subject string, body string, price array<int>, f
 CONDITIONS = {"1": "neuf", "2": "tres_bon_etat", "3": "bon_etat", "4": "a_rafraichir", "5": "a_renover"}
 STATES = ("neuf", "tres_bon_etat", "bon_etat", "correct", "a_rafraichir", "travaux_importants", "a_renover", "inconnu")
 ANSWER_KEYS = ("signaux_nego", "etat_bien", "equipements", "red_flags", "info_copro", "estimation_travaux", "scenarios_location", "prix_m2_marche", "resume")
-ANSWER = "signaux_nego array<string>, etat_bien string, equipements array<string>, red_flags array<string>, info_copro struct<nb_lots:int,charges_annuelles_copro:double,charges_annuelles_lot:double,charges_annuelles:double>, resume string"
+ANSWER = "signaux_nego array<string>, etat_bien string, equipements array<string>, red_flags array<string>, info_copro struct<nb_lots:int,charges_annuelles_copro:double,charges_annuelles_lot:double,charges_annuelles:double>, estimation_travaux struct<necessaire:boolean,description:string,budget_bas:double,budget_haut:double>, scenarios_location struct<standard:struct<loyer_nu:double,loyer_meuble:double>,colocation:struct<nb_chambres:int,loyer_par_chambre:double,loyer_total:double>>, prix_m2_marche struct<fourchette_basse:double,fourchette_haute:double>, resume string"
 
 
 def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -169,6 +169,14 @@ def lot_charges(info: Column) -> Column:
     return F.coalesce(info["charges_annuelles_lot"], info["charges_annuelles"], F.try_divide(info["charges_annuelles_copro"], info["nb_lots"]))
 
 
+def condo(info: Column) -> Column:
+    """lots, lot and whole (charges a year): a lot's share as stated, by the older key where nothing else is, or from the whole; the whole as stated or from the lot's."""
+    lots, whole, lot = info["nb_lots"], info["charges_annuelles_copro"], info["charges_annuelles_lot"]
+    lot = F.coalesce(lot, F.when(whole.isNull(), info["charges_annuelles"]))
+    own = F.coalesce(lot, F.when((whole != 0) & (lots > 0), F.round(whole / lots, 2)))
+    return F.struct(lots.alias("lots"), own.alias("lot"), F.coalesce(whole, F.when((own != 0) & (lots > 0), F.round(own * lots, 2))).alias("whole"))
+
+
 def with_cached(rows: DataFrame, cache: DataFrame, address: str, since) -> tuple[DataFrame, DataFrame]:
     """rows with a cached place no older than `since`, and the rows that have none. cache: key, lat, lon, cached_at."""
     key = F.sha2(F.lower(F.trim(F.col(address))), 256)
