@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words whose ids a worker keeps from batch to batch, about; then it begins anew.
-CACHE = 400_000
+CACHE = 120_000
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space beside other white space, or at the end, isn't a place to cut.
 _NO_CUT = f"{_SPACE} | {_SPACE}| $"

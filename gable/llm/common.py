@@ -202,7 +202,7 @@ class Tokens:
             return mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts], seed)
 
 
-def by_bytes(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def by_bytes(texts: list, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `size` characters, a longer text alone."""
     i = 0
     while i < len(texts):
