@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Rows of an id table that may be broadcast (8 bytes each, so 8 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows in an Arrow batch, at most: whole texts, of any length, are sent to Python in these.
+BATCH_ROWS = 2000
 #: A join key with more than 1/HOT_SHARE of all rows is joined map-side. There can be at most HOT_SHARE such keys.
 HOT_SHARE = 1000
 
@@ -26,7 +28,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python path has it already (PYTHONPATH or the working folder)."""
+    """Send this package to the executors, unless their Python path has it already (PYTHONPATH or the working folder).
+
+    Arrow batches of the session are bounded by BATCH_ROWS: a batch of long texts is held by the JVM and by Python at once.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
     root = Path(__file__).resolve().parents[2]
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     if root in known or Path.cwd() == root or spark.sparkContext.applicationId in _shipped:
