@@ -52,8 +52,22 @@ def disk(free: Column, config: HealthConfig = HealthConfig()) -> Column:
     return F.when(free < low, "critical").when(free < fair, "warning").otherwise("ok")
 
 
+def checks(log: DataFrame, as_of: dt.datetime, calls: int, free: float, config: HealthConfig = HealthConfig()) -> DataFrame:
+    """name and status of every check: each source, parsing, freshness, the day's calls against their limit, the free share of the disk."""
+    since = F.lit(as_of - dt.timedelta(hours=24)).cast("timestamp_ntz")
+    day = log.where(F.col("at") >= since).agg(F.count("*").alias("n"))
+    own = streaks(log, config).select(F.concat(F.lit("source_"), "source").alias("name"), "status")
+    for name, found in (
+        ("parsing_rate", parsing_rate(log, config)), ("new_listings", freshness(log, as_of, config.fresh_hours)), ("api_budget", day.select(budget(F.col("n"), calls, config).alias("status"))),
+        ("disk_space", log.sparkSession.range(1).select(disk(F.lit(free), config).alias("status"))),
+    ):
+        own = own.unionByName(found.select(F.lit(name).alias("name"), F.col("status")))
+    return own
+
+
 def report(checks: DataFrame) -> DataFrame:
-    """The worst status and how many there are of each. checks: name, status."""
+    """The worst status, how many there are of each, and all of it as text. checks: name, status."""
     grade = F.when(F.col("status") == "critical", 2).when(F.col("status") == "warning", 1).otherwise(0)
     out = checks.agg(F.max(grade).alias("g"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warning", "critical")])
-    return out.select(F.when(F.col("g") == 2, "critical").when(F.col("g") == 1, "warning").otherwise("ok").alias("status"), "ok", "warning", "critical")
+    out = out.select(F.when(F.col("g") == 2, "critical").when(F.col("g") == 1, "warning").otherwise("ok").alias("status"), "ok", "warning", "critical")
+    return out.withColumn("summary", F.format_string("Sante globale: %s - %d OK, %d avertissement(s), %d critique(s).", F.upper("status"), "ok", "warning", "critical"))

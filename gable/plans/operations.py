@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import RetentionConfig
 from ..functions import text
 from ..operators import alerts, dedup, health, maintenance
 from . import views
@@ -160,12 +161,10 @@ def registry_purge(spark, sf_dir):
     return alerts.purge(_registry(spark, sf_dir), views.AS_OF, 730).select("url")
 
 
-@query(views.sql(f"""WITH {_SCORED} SELECT id, CASE level WHEN 'top' THEN 'TOP OPPORTUNITE' WHEN 'bon' THEN 'BONNE AFFAIRE' ELSE 'VEILLE' END || ' - v\\.' || id || chr(10) || 'Quartier: ' || replace(district, '_', '\\_') || chr(10) || 'Prix: '
-    || replace(format('{{:,}}', CAST(price AS BIGINT)), ',', ' ') || '€ (' || CAST(round(price / surface) AS BIGINT) || '€/m2)' AS message FROM graded WHERE surface > 0 AND abs(price - floor(price) - 0.5) > 0.001 AND abs(price / surface - floor(price / surface) - 0.5) > 0.001""", "listings"))
-def alert_messages(spark, sf_dir):
-    """The first three lines, where no price is near a half: what its SQL states. alert_messages_all has the whole."""
-    own = graded(spark, sf_dir).where("surface > 0 and abs(price - floor(price) - 0.5) > 0.001 and abs(price / surface - floor(price / surface) - 0.5) > 0.001")
-    return own.select("id", F.substring_index(_said(), "\n", 3).alias("message"))
+@query(views.sql(f"WITH {_REGISTRY} SELECT url FROM registry WHERE first_sent >= TIMESTAMP '2001-08-02' - INTERVAL 60 DAY", "listings"))
+def registry_purge_60(spark, sf_dir):
+    """What the configured 60 days leave on the day of the last listing."""
+    return alerts.purge(_registry(spark, sf_dir), dt.datetime(2001, 8, 2), RetentionConfig().registry_days).select("url")
 
 
 def _said():
@@ -179,7 +178,7 @@ _TENTH = "CAST(round(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 20)), 1) AS VARCHAR
 @query(views.sql(f"""WITH {_SCORED} SELECT id, CASE level WHEN 'top' THEN 'TOP OPPORTUNITE' WHEN 'bon' THEN 'BONNE AFFAIRE' ELSE 'VEILLE' END || ' - v\\.' || id || chr(10) || 'Quartier: ' || replace(district, '_', '\\_') || chr(10) || 'Prix: '
     || replace(format('{{:,}}', CAST(round_even(price, 0) AS BIGINT)), ',', ' ') || '€ (' || CASE WHEN surface > 0 THEN CAST(round_even(price / surface, 0) AS BIGINT) ELSE 0 END || '€/m2)' || chr(10)
     || 'Rendement: ' || {_TENTH.format('y')} || '%' || chr(10) || 'Score: ' || {_TENTH.format('score')} AS message FROM graded""", "listings"))
-def alert_messages_all(spark, sf_dir):
+def alert_messages(spark, sf_dir):
     """The whole message of every graded listing: prices rounded half to even, yield and score half up."""
     return graded(spark, sf_dir).select("id", _said().alias("message"))
 
@@ -209,10 +208,20 @@ def budgets(spark, sf_dir):
     return own.select("day", "calls", health.budget(C("calls"), 400).alias("budget"), health.disk(C("v") / 100).alias("disk"))
 
 
-@query(views.sql("SELECT CASE WHEN max(g) = 2 THEN 'critical' WHEN max(g) = 1 THEN 'warning' ELSE 'ok' END AS status, count(*) FILTER (WHERE g = 0) AS ok, count(*) FILTER (WHERE g = 1) AS warning, count(*) FILTER (WHERE g = 2) AS critical FROM (SELECT id % 3 AS g FROM run_log)", "run_log"))
+_GRADE = "CASE WHEN {0} THEN 2 WHEN {1} THEN 1 ELSE 0 END"
+
+
+@query(views.sql(f"""WITH runs AS (SELECT *, sum(CASE WHEN errors > 0 AND scraped = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY "at" DESC, id DESC ROWS UNBOUNDED PRECEDING) AS good FROM run_log),
+    checks AS (SELECT {_GRADE.format("count(*) FILTER (WHERE good = 0) >= 3", "count(*) FILTER (WHERE good = 0) > 0")} AS g FROM runs GROUP BY source
+      UNION ALL SELECT {_GRADE.format("sum(scraped) / sum(scraped + errors)::DOUBLE < 0.5", "sum(scraped) / sum(scraped + errors)::DOUBLE < 0.65")} FROM run_log
+      UNION ALL SELECT {_GRADE.format("coalesce(sum(fresh), 0) = 0", "false")} FROM run_log WHERE "at" >= TIMESTAMP '2024-01-30'
+      UNION ALL SELECT {_GRADE.format("count(*) >= 300", "count(*) >= 240")} FROM run_log WHERE "at" >= TIMESTAMP '2024-01-30'
+      UNION ALL SELECT 1),
+    n AS (SELECT CASE max(g) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'ok' END AS status, count(*) FILTER (WHERE g = 0) AS ok, count(*) FILTER (WHERE g = 1) AS warning, count(*) FILTER (WHERE g = 2) AS critical FROM checks)
+    SELECT *, 'Sante globale: ' || upper(status) || ' - ' || ok || ' OK, ' || warning || ' avertissement(s), ' || critical || ' critique(s).' AS summary FROM n""", "run_log"))
 def health_report(spark, sf_dir):
-    g = C("id") % 3
-    return health.report(views.run_log(spark, sf_dir).select(F.when(g == 2, "critical").when(g == 1, "warning").otherwise("ok").alias("status")))
+    """All checks of the log: its sources, parsing, fresh listings, calls of the last day; a quarter of the disk is free."""
+    return health.report(health.checks(views.run_log(spark, sf_dir), views.LOG_AS_OF, 300, 0.25))
 
 
 @query(views.sql("""SELECT day, id, calls FROM (SELECT CAST("at" AS DATE) AS day, id, row_number() OVER (PARTITION BY CAST("at" AS DATE) ORDER BY "at", id) AS calls FROM run_log) WHERE calls <= 300""", "run_log"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import RetentionConfig
 from ..streaming import twins
 from . import views
 from .registry import registrar
@@ -18,7 +19,12 @@ C = F.col
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gable-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='gable-')}"
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
@@ -42,6 +48,16 @@ def alert_state_stream(spark, sf_dir):
     return drained(twins.alert_decisions(own))
 
 
+@query("""WITH RECURSIVE o AS (SELECT 'u' || (o_custkey % 500) AS url, o_totalprice AS price, o_orderkey AS seq, o_orderdate AS t, row_number() OVER (PARTITION BY o_custkey % 500 ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    r AS (SELECT url, price, seq, n, price AS stored, t AS began, 'new' AS action FROM o WHERE n = 1
+      UNION ALL SELECT o.url, o.price, o.seq, o.n, CASE WHEN o.t > began + INTERVAL 60 DAY THEN o.price ELSE least(o.price, stored) END, CASE WHEN o.t > began + INTERVAL 60 DAY THEN o.t ELSE began END,
+        CASE WHEN o.t > began + INTERVAL 60 DAY THEN 'new' WHEN o.price < stored THEN 'drop' ELSE 'skip' END FROM r JOIN o ON o.url = r.url AND o.n = r.n + 1)
+    SELECT url, price, seq, action FROM r""")
+def alert_expiry_stream(spark, sf_dir):
+    own = stream(spark, sf_dir, "orders").select(F.concat(F.lit("u"), (C("o_custkey") % 500).cast("string")).alias("url"), C("o_totalprice").alias("price"), C("o_orderkey").alias("seq"), C("o_orderdate").cast("timestamp").alias("at"))
+    return drained(twins.expiring_decisions(own, RetentionConfig().registry_days))
+
+
 @query("SELECT DISTINCT event_id FROM events")
 def dedup_watermark_stream(spark, sf_dir):
     own = stream(spark, sf_dir, "events").select("event_id", C("ts").cast("timestamp").alias("at"))

@@ -4,6 +4,7 @@ import datetime as dt
 
 from gable.operators import alerts, health, maintenance
 from gable.sources import tables
+from pyspark.sql import functions as F
 
 NOW = dt.datetime(2026, 3, 10)
 
@@ -53,3 +54,52 @@ def test_newest_file(spark):
     df = spark.createDataFrame([("a", NOW - dt.timedelta(days=3)), ("b", NOW - dt.timedelta(days=4))], "path string, modified timestamp_ntz")
     assert maintenance.newest(df, NOW).first() == ("a", NOW - dt.timedelta(days=3), "warning")
     assert maintenance.newest(df.where("false"), NOW).first()["status"] == "critical"
+
+
+class _State:
+    """A group's state, by hand."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_entries_of_the_stream_expire():
+    import pandas as pd
+    from gable.streaming import twins
+
+    decide, state, day = twins._decide_within(60), _State(), dt.timedelta(days=1)
+
+    def said(url, *rows):
+        batch = pd.DataFrame([(url, p, i, pd.Timestamp(NOW) + d * day) for i, (p, d) in enumerate(rows)], columns=["url", "price", "seq", "at"])
+        return [a for part in decide((url,), iter([batch]), state) for a in part["action"]]
+
+    assert said("a", (100.0, 0), (90.0, 1), (95.0, 2)) == ["new", "drop", "skip"]
+    assert said("a", (95.0, 60), (80.0, 61), (80.0, 62)) == ["skip", "new", "skip"]  # kept for 60 days after the first alert, then new
+    assert state.timeout == state.value[1] + 60 * 86_400_000 + 1
+    state.hasTimedOut = True
+    assert said("a") == [] and not state.exists
+    state.hasTimedOut = False
+    assert said("", (5.0, 0), (5.0, 1)) == ["new", "new"] and not state.exists
+
+
+def test_budget_without_limit_is_critical(spark):
+    assert spark.range(1).select(health.budget(F.lit(0), 0).alias("s")).first()["s"] == "critical"
+    log = spark.createDataFrame([(1, "s", NOW, 1, 0, 1)], "id int, source string, at timestamp_ntz, scraped int, errors int, fresh int")
+    found = {r["name"]: r["status"] for r in health.checks(log, NOW, 300, 0.1).collect()}
+    assert found == {"source_s": "ok", "parsing_rate": "ok", "new_listings": "ok", "api_budget": "ok", "disk_space": "critical"}
+    assert health.report(health.checks(log, NOW, 300, 0.1)).first()["summary"] == "Sante globale: CRITICAL - 4 OK, 0 avertissement(s), 1 critique(s)."
