@@ -19,9 +19,27 @@ def segments(rents: DataFrame) -> DataFrame:
     return own.where("district is not null and rooms is not null and furnished is not null and rent is not null")
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], n: str) -> DataFrame:
+    """Exact linear-interpolated quantiles (name: share) of each group's values and their number n; nulls don't count.
+
+    Rows are counted by value first, in the map tasks already, and ranked by running sums: a group's values are sorted (and may
+    spill), not held in one buffer.
+    """
+    by_value = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    ranked = by_value.withColumn("_run", F.sum("_n").over(group.orderBy("_v"))).withColumn("_all", F.sum("_n").over(group))
+    place = {name: (F.col("_all") - 1) * F.lit(q) for name, q in wanted.items()}
+    ends = [F.min(F.when(F.col("_run") > side(at), F.col("_v"))).alias(f"_{end}_{name}") for name, at in place.items() for end, side in (("lo", F.floor), ("hi", F.ceil))]
+    out = ranked.groupBy(*by).agg(F.max("_all").alias("_all"), *ends)
+    between = [
+        F.when(F.floor(at) == F.ceil(at), F.col(f"_lo_{name}")).otherwise((F.ceil(at) - at) * F.col(f"_lo_{name}") + (at - F.floor(at)) * F.col(f"_hi_{name}")).alias(name) for name, at in place.items()
+    ]
+    return out.select(*by, *between, F.col("_all").alias(n))
+
+
 def quartiles(rows: DataFrame, value: str = "rent") -> DataFrame:
     """Linear-interpolated quartiles of each segment."""
-    return rows.groupBy(*SEGMENT).agg(F.count("*").alias("n_all"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    return quantiles(rows, SEGMENT, value, {"q1": 0.25, "q3": 0.75}, "n_all")
 
 
 def without_outliers(rows: DataFrame, config: ObservatoryConfig = ObservatoryConfig()) -> DataFrame:
@@ -49,10 +67,8 @@ def medians(rents: DataFrame, as_of: dt.datetime, config: ObservatoryConfig = Ob
     kept = without_outliers(segments(rents), config)
     kept = kept.withColumn("w", dates.decay(F.col("seen_at"), as_of, config.half_life_days, config.unknown_weight))
     kept = kept.withColumn("rent_m2", F.when(F.col("surface") > 0, F.col("rent") / F.col("surface")))
-    stats = kept.groupBy(*SEGMENT).agg(
-        F.percentile("rent", F.lit(0.25)).alias("rent_q1"), F.percentile("rent", F.lit(0.75)).alias("rent_q3"),
-        F.count("*").alias("n"), F.when(F.count("*") >= config.min_rows, "fiable").otherwise("preliminaire").alias("reliability"),
-    )
+    stats = quantiles(kept, SEGMENT, "rent", {"rent_q1": 0.25, "rent_q3": 0.75}, "n")
+    stats = stats.withColumn("reliability", F.when(F.col("n") >= config.min_rows, "fiable").otherwise("preliminaire"))
     by_rent, by_m2 = weighted_median(kept, "rent", "w", "rent_median"), weighted_median(kept, "rent_m2", "w", "rent_m2_median")
     out = stats.join(by_rent, SEGMENT).join(by_m2, SEGMENT, "left")  # a row for each segment
     return out.select(*SEGMENT, "rent_median", "rent_q1", "rent_q3", "rent_m2_median", "n", "reliability")

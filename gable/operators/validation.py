@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Bounds
 from ..functions import text
+from .observatory import quantiles
 
 
 def _range(c: Column, lo: float, hi: float, name: str) -> Column:
@@ -54,8 +55,10 @@ def reason_text(field: str, value: Column, bound: Column, below: Column) -> Colu
 
 def district_stats(rows: DataFrame, district: str, price: str, surface: str) -> DataFrame:
     """Exact median and sample deviation of the price per square metre of each district."""
-    per = F.try_divide(F.col(price), F.col(surface))
-    return rows.groupBy(F.col(district).alias("district")).agg(F.median(per).alias("median_m2"), F.stddev_samp(per).alias("sd_m2"), F.count(per).alias("n"))
+    own = rows.select(F.col(district).alias("district"), F.try_divide(F.col(price), F.col(surface)).alias("_per"))
+    stats = own.groupBy("district").agg(F.stddev_samp("_per").alias("sd_m2"), F.count("_per").alias("n"))
+    middle = quantiles(own, ["district"], "_per", {"median_m2": 0.5}, "_n").select(F.col("district").alias("_d"), "median_m2")
+    return stats.join(middle, stats["district"].eqNullSafe(middle["_d"]), "left").select("district", "median_m2", "sd_m2", "n")  # a row for each district
 
 
 def anomalies(price: Column, surface: Column, rooms: Column, description: Column, median: Column, sd: Column, bounds: Bounds = Bounds()) -> Column:

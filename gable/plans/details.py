@@ -208,9 +208,10 @@ def cache_append(spark, sf_dir):
 
 
 @query("WITH " + ", ".join(f"q{i} AS ({operations.REGISTER[n][1]})" for i, n in enumerate(("source_streaks", "parsing_rate", "freshness", "newest_file"))) + """,
-    s AS (SELECT status FROM q0 UNION ALL SELECT status FROM q1 UNION ALL SELECT status FROM q2 UNION ALL SELECT status FROM q3)
-    SELECT CASE WHEN count(*) FILTER (WHERE status = 'critical') > 0 THEN 'critical' WHEN count(*) FILTER (WHERE status = 'warning') > 0 THEN 'warning' ELSE 'ok' END AS status,
-      count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'warning') AS warning, count(*) FILTER (WHERE status = 'critical') AS critical FROM s""")
+    s AS (SELECT status FROM q0 UNION ALL SELECT status FROM q1 UNION ALL SELECT status FROM q2 UNION ALL SELECT status FROM q3),
+    n AS (SELECT CASE WHEN count(*) FILTER (WHERE status = 'critical') > 0 THEN 'critical' WHEN count(*) FILTER (WHERE status = 'warning') > 0 THEN 'warning' ELSE 'ok' END AS status,
+      count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'warning') AS warning, count(*) FILTER (WHERE status = 'critical') AS critical FROM s)
+    SELECT *, 'Sante globale: ' || upper(status) || ' - ' || ok || ' OK, ' || warning || ' avertissement(s), ' || critical || ' critique(s).' AS summary FROM n""")
 def health_checks(spark, sf_dir):
     """The report over the checks' own statuses."""
     found = [getattr(operations, n)(spark, sf_dir).select("status") for n in ("source_streaks", "parsing_rate", "freshness", "newest_file")]

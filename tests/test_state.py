@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from gable.operators import alerts, health, maintenance
+from gable.operators import alerts, health, maintenance, observatory, validation
 from gable.sources import tables
 from pyspark.sql import functions as F
 
@@ -103,3 +103,19 @@ def test_budget_without_limit_is_critical(spark):
     found = {r["name"]: r["status"] for r in health.checks(log, NOW, 300, 0.1).collect()}
     assert found == {"source_s": "ok", "parsing_rate": "ok", "new_listings": "ok", "api_budget": "ok", "disk_space": "critical"}
     assert health.report(health.checks(log, NOW, 300, 0.1)).first()["summary"] == "Sante globale: CRITICAL - 4 OK, 0 avertissement(s), 1 critique(s)."
+
+
+def test_quantiles_of_ties_nulls_and_single_values(spark):
+    import numpy as np
+
+    values = {"a": [1.0, 1.0, 1.0, 9.0], "b": [5.0], "c": [3.0, 1.0, 2.0], "d": [None], None: [4.0, 8.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, v double")
+    got = {r["k"]: (r["q1"], r["m"], r["n"]) for r in observatory.quantiles(rows, ["k"], "v", {"q1": 0.25, "m": 0.5}, "n").collect()}
+    kept = {k: [v for v in vs if v is not None] for k, vs in values.items()}
+    assert got == {k: (float(np.quantile(vs, 0.25)), float(np.median(vs)), len(vs)) for k, vs in kept.items() if vs}
+
+
+def test_district_stats_keep_districts_without_a_name_or_a_price(spark):
+    rows = spark.createDataFrame([("x", 10.0, 2.0), ("x", 30.0, 2.0), (None, 8.0, 4.0), ("y", None, 4.0), ("y", 5.0, 0.0)], "d string, p double, s double")
+    got = {r["district"]: (r["median_m2"], r["n"]) for r in validation.district_stats(rows, "d", "p", "s").collect()}
+    assert got == {"x": (10.0, 2), None: (2.0, 1), "y": (None, 0)}
