@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, langid, licenses, packing, pieces, quality, simhash, toxicity
+from . import ann, automaton, ballcodes, chat, exact_dedup, langid, licenses, packing, pieces, quality, runs, simhash, toxicity
 from .common import documents, ship
 
 
@@ -64,8 +64,62 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("member", "text_hash")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.detect(runs.planted(documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    found = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_ballcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = ballcodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ballcodes.label_errors(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(ballcodes.books_sha256(books)).alias("codebooks_sha256")
+    )
+
+
+def op13_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = automaton.round_trip(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_neighbours, op3_packing, op4_pieces, op5_quality, op6_toxicity, op7_simhash, op8_licenses, op9_chat, op10_exact)}
+    return {f.__name__: f for f in (op1_language, op2_neighbours, op3_packing, op4_pieces, op5_quality, op6_toxicity, op7_simhash, op8_licenses, op9_chat, op10_exact, op11_runs, op12_ballcodes, op13_automaton)}
+
+
+def _balls_sql() -> str:
+    """Two rounds of comparing every part with every entry, in DuckDB's SQL."""
+
+    def assign(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+              SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+                SELECT p.row, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+                FROM p JOIN b{k} b USING (part)) GROUP BY row, part)"""
+
+    def move(k: int) -> str:
+        return f"""m{k} AS MATERIALIZED (
+              SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS x FROM (
+                SELECT part, entry, i, sum(v)::DOUBLE AS s, count(*) AS n FROM (
+                  SELECT p.part, a.entry, unnest(p.x) AS v, generate_subscripts(p.x, 1) AS i FROM p JOIN a{k} a USING (row, part)) GROUP BY part, entry, i) GROUP BY part, entry),
+            b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+
+    return f"""
+            WITH e AS MATERIALIZED (
+              SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+              FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            p AS MATERIALIZED (
+              SELECT row, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM e, range(16) t(part)),
+            b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM p WHERE row <= 64),
+            {assign(0)}, {move(0)}, {assign(1)}, {move(1)}, {assign(2)},
+            f AS (SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY row),
+            s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+            SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN e USING (row), s"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,4 +140,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY sha256(coalesce(text, '')))""",
+        "op12_ballcodes": _balls_sql(),
     }
