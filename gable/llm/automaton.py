@@ -7,21 +7,21 @@ from (a merge whose pair the automaton can't read adds nothing). Since a state o
 pieces that the arc's piece begins with, each as it stood when the next was made; found once, it is put into the transition table. The
 automaton has one state for each merge and one more, and each merge's pieces must be older than it (a list of merges that BPE training makes).
 
-A pre-split word is encoded by walking its letters: from each place, arcs are taken over all pieces that are spelled there. As the automaton
-accepts one string of pieces for every prefix, each place is reached by exactly one arc, and the arcs into the last place, followed back, are the
-ids. Decoding emits the labels of the arcs. Normalising and splitting into words follow the vocabulary file: a text is cut at white space, which no word
+A pre-split word is encoded by walking its letters: from each place the arcs of the pieces that are spelled there are tried, the longest first. As the
+automaton accepts one string of pieces for every prefix, a place that can be reached is reached in one state only, so a place from which no arc led
+on needn't be tried again. The arcs of the path to the word's end are the ids. Decoding emits the labels of the arcs. Normalising and splitting into words follow the vocabulary file: a text is cut at white space, which no word
 holds, each distinct cut of a batch is encoded once, and its ids are gathered for every occurrence.
 
 Cases: null is an empty text, an empty text has no ids; added tokens (`<|endoftext|>`) in a text are one id each, as the library reads the file;
 repeated rows and null ids give one row each; an empty table gives an empty result; other columns are left out. A word's work grows with its
-length times the longest piece's.
+length times the longest piece's at most.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,8 @@ from .common import by_bytes, text_only
 
 #: Distinct cuts whose ids, and transitions, that a worker keeps from batch to batch, about; then it begins anew.
 CACHE, TRANSITIONS = 200_000, 1_000_000
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: The splitting of lower-case text without white space whose characters are all under 256; other text is left to the library.
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -65,19 +66,14 @@ class Automaton:
             self.after[x] = rank + 1
             self.gadget[x * self.width + y] = rank
         self.table: dict[int, int] = {}
-        self.trie: dict[int, int] = {}
-        self.piece_at = [-1]
+        self.trie: dict = {}  # by letter the next node; under None (arc, number of letters) of the piece that is spelled so
 
-    def spell(self, arc: int, spelling: tuple[int, ...]) -> None:
-        """Give an arc's spelling in letters (numbers under 65,536)."""
-        node = 0
+    def spell(self, arc: int, spelling: Sequence[str]) -> None:
+        """Give an arc's spelling in letters."""
+        node = self.trie
         for c in spelling:
-            key = node << 16 | c
-            node = self.trie.get(key, -1)
-            if node < 0:
-                node = self.trie[key] = len(self.piece_at)
-                self.piece_at.append(-1)
-        self.piece_at[node] = arc
+            node = node.setdefault(c, {})
+        node[None] = (arc, len(spelling))
 
     def has_arc(self, state: int, arc: int) -> bool:
         if arc in self.dead:
@@ -101,30 +97,44 @@ class Automaton:
             to = self.table[key] = self.after[arc] if self.has_arc(state, arc) else -1
         return to
 
-    def encode(self, letters: list[int]) -> list[int]:
-        """The arcs of the only path over these letters."""
-        n = len(letters)
-        state, via, back = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        state[0] = 0
-        trie, piece_at = self.trie, self.piece_at
-        for i in range(n):
-            node, own = 0, state[i]
-            for j in range(i, n):
-                node = trie.get(node << 16 | letters[j], -1)
-                if node < 0:
+    def encode(self, letters: list[str]) -> list[int]:
+        """The arcs of the only path over these letters: the longest piece first, and back from where no piece goes on."""
+        n, width, table, trie = len(letters), self.width, self.table, self.trie
+        out: list[int] = []
+        tried: list[tuple[int, int, list]] = []  # places on the path, their states, and the pieces that are left to try
+        dead: set[int] = set()  # no path goes on from these
+        at = state = 0
+        while at < n:
+            node, pieces = trie, []
+            for j in range(at, n):
+                node = node.get(letters[j])
+                if node is None:
                     break
-                arc = piece_at[node]
-                if arc >= 0 and state[j + 1] < 0:
-                    to = self.step(own, arc)
+                piece = node.get(None)
+                if piece is not None:
+                    pieces.append(piece)
+            while True:
+                while pieces:
+                    arc, size = pieces.pop()
+                    if at + size in dead:
+                        continue
+                    to = table.get(state * width + arc)
+                    if to is None:
+                        to = self.step(state, arc)
                     if to >= 0:
-                        state[j + 1], via[j + 1], back[j + 1] = to, arc, i
-            if state[i + 1] < 0:
-                raise ValueError("a letter that the vocabulary lacks")
-        out, at = [], n
-        while at:
-            out.append(via[at])
-            at = back[at]
-        return out[::-1]
+                        break
+                else:
+                    dead.add(at)
+                    if not tried:
+                        raise ValueError("a letter that the vocabulary lacks")
+                    at, state, pieces = tried.pop()
+                    out.pop()
+                    continue
+                tried.append((at, state, pieces))
+                out.append(arc)
+                at, state = at + size, to
+                break
+        return out
 
 
 class WordEncoder:
@@ -147,14 +157,12 @@ class WordEncoder:
         letters = byte_letters()
         base = [p for c in letters for p in (c, c + self.suffix) if p in model["vocab"] and p not in made]
         self.automaton = Automaton(base, merges)
-        number = {c: b for c, b in letters.items()}
         for arc, piece in enumerate(self.automaton.pieces):
-            body = piece.removesuffix(self.suffix)
-            spelling = [number[c] for c in body]
-            if body != piece:
-                spelling[-1] += 256  # a letter at a word's end
-            self.automaton.spell(arc, tuple(spelling))
-        self.number = number
+            spelling = list(piece.removesuffix(self.suffix))
+            if piece.endswith(self.suffix):
+                spelling[-1] += self.suffix  # a letter at a word's end is another letter
+            self.automaton.spell(arc, spelling)
+        self.letter = {b: c for c, b in letters.items()}
         self.ids = np.array([model["vocab"][p] for p in self.automaton.pieces], np.uint32)
         self.labels = {i: p.encode() for p, i in model["vocab"].items()} | {i: t.encode() for t, i in self.added.items()}
         library = Tokenizer.from_file(vocabulary)
@@ -165,23 +173,28 @@ class WordEncoder:
 
     def _split(self, cut: str) -> list[str]:
         """The words of a stretch without white space, in byte letters."""
-        if cut.isascii() and cut.isprintable():
-            return _ASCII_WORDS.findall(cut.lower())
+        if cut.isprintable():
+            if cut.isascii():
+                return _LATIN_WORDS.findall(cut.lower())
+            if max(cut) < "\u0100":
+                return ["".join(map(self.letter.__getitem__, w.encode())) for w in _LATIN_WORDS.findall(cut.lower())]
         text = self.normalizer.normalize_str(cut) if self.normalizer else cut
         return [w for w, _ in self.splitter.pre_tokenize_str(text)]
 
     def _word(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            letters = [self.number[c] for c in word]
-            letters[-1] += 256
+            letters = list(word)
+            letters[-1] += self.suffix
             ids = self.words[word] = self.ids[self.automaton.encode(letters)].tolist()
         return ids
 
     def _places(self, cuts: list[str]) -> np.ndarray:
         """Where each distinct cut stands in first and count; new ones are encoded."""
-        if len(self.cache) > CACHE or len(self.automaton.table) > TRANSITIONS:
-            self.cache, self.words, self.automaton.table = {}, {}, {}
+        if len(self.automaton.table) > TRANSITIONS:
+            self.automaton.table = {}
+        if len(self.cache) > CACHE:
+            self.cache, self.words = {}, {}
             self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         get = self.cache.get
         at = np.fromiter((get(c, -1) for c in cuts), np.int64, len(cuts))
