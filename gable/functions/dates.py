@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Names of months.
 MONTHS = {
     "janvier": 1, "fevrier": 2, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "août": 8,
@@ -21,20 +23,21 @@ def _at(c: Column, pattern: str, year: int, month: int, day: int) -> Column:
 
 def listing_date(c: Column, as_of: dt.date) -> Column:
     """A date as listings give it (today, yesterday, ISO, day first, month by name); null if it is none. as_of: the day read."""
-    low = F.lower(F.trim(c))
+    own = strip(c)
+    low = F.lower(own)
     iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"
-    clock = F.regexp_extract(low, iso + r"t([0-9]{2}:[0-9]{2}:[0-9]{2})", 4)
-    iso_date = _at(low, iso, 1, 2, 3)
-    iso_at = F.when(clock != "", F.try_to_timestamp(F.concat(F.regexp_extract(low, iso, 0), F.lit(" "), clock)).cast("timestamp_ntz"))
+    clock = F.regexp_extract(own, iso + r"T([0-9]{2}:[0-9]{2}:[0-9]{2})", 4)
+    iso_at = F.try_to_timestamp(F.concat(F.regexp_extract(low, iso, 0), F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    iso_date = F.when(clock != "", iso_at).otherwise(_at(low, iso, 1, 2, 3))  # a time that is none makes the whole none
     slash = _at(low, r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})", 3, 2, 1)
     named = r"(?U)^([0-9]{1,2})\s+(\w+)\s+([0-9]{4})"
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
     month = F.try_element_at(months, F.regexp_extract(low, named, 2)).cast("string")
     by_name = F.to_timestamp_ntz(F.try_to_date(F.concat_ws("-", F.regexp_extract(low, named, 3), F.lpad(month, 2, "0"), F.lpad(F.regexp_extract(low, named, 1), 2, "0")), "yyyy-MM-dd"))
     return (
-        F.when(low.isin("aujourd'hui", "aujourd’hui"), F.lit(as_of).cast("timestamp_ntz"))
+        F.when(low.isin("aujourd'hui", "aujourd hui", "aujourdhui"), F.lit(as_of).cast("timestamp_ntz"))
         .when(low == "hier", F.lit(as_of - dt.timedelta(days=1)).cast("timestamp_ntz"))
-        .otherwise(F.coalesce(iso_at, iso_date, slash, F.when(month.isNotNull(), by_name)))
+        .otherwise(F.coalesce(iso_date, slash, F.when(month.isNotNull(), by_name)))
     )
 
 

@@ -73,11 +73,12 @@ def alert_level(score: Column, y: Column, best_yield: Column, config: ScoreConfi
 
 
 def surface_adjusted(rent: Column, kind: Column, surface: Column, config: ObservatoryConfig = ObservatoryConfig()) -> Column:
-    """The rent, moved by what the surface exceeds the dead zone around the typical one, at most by the cap."""
+    """The rent, moved by what the surface exceeds the dead zone around the typical one, at most by the cap; as it is where there is no surface."""
     typical = F.try_element_at(F.create_map(*[F.lit(x) for pair in config.typical_surface.items() for x in pair]), kind)
-    off = (surface - typical) / typical
-    beyond = F.when(off > config.dead_zone, off - config.dead_zone).when(off < -config.dead_zone, off + config.dead_zone).otherwise(0.0)
-    return F.coalesce(rent * (1 + F.least(F.lit(config.cap), F.greatest(F.lit(-config.cap), beyond))), rent)
+    off = F.when(surface > 0, (surface - typical) / typical)
+    beyond = F.when(off > config.dead_zone, off - config.dead_zone).when(off < -config.dead_zone, off + config.dead_zone).when(off.isNotNull(), 0.0)
+    # least() and greatest() skip nulls, so a rent without a typical surface is told apart first
+    return F.when(beyond.isNull(), rent).otherwise(rent * (1 + F.least(F.lit(config.cap), F.greatest(F.lit(-config.cap), beyond))))
 
 
 def any_drop(history: Column) -> Column:

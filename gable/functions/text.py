@@ -1,9 +1,13 @@
-"""Column expressions over raw listing text: numbers, addresses, URLs, HTML, messages. All stay in the JVM."""
+"""Column expressions over raw listing text: numbers, addresses, URLs, HTML, messages. All stay in the JVM but for the decoding of HTML entities."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DedupConfig
 
@@ -31,7 +35,6 @@ FURNISHED_WORDS = (
 FURNISHED_YES = ("true", "oui", "1", "meublé", "meuble", "meublée", "meublee")
 FURNISHED_NO = ("false", "non", "0", "vide", "nu", "nue")
 GROUND_FLOOR = ("rdc", "rez-de-chaussee", "rez-de-chaussée", "rez de chaussee", "rez de chaussée")
-MARKDOWN = r"_*[]()~`>#+-=|{}.!\,"
 
 
 def strip(c: Column) -> Column:
@@ -66,7 +69,7 @@ def energy_any(c: Column) -> Column:
 
 def energy_strict(c: Column) -> Column:
     """A letter from A to G that ends the text and stands alone."""
-    return F.nullif(F.regexp_extract(F.upper(F.trim(c)), r"(?:^|[\s:])([A-G])$", 1), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(strip(c), r"(?:^|[\s:])\s*([A-Ga-g])$", 1)), F.lit(""))
 
 
 def floor_number(c: Column) -> Column:
@@ -80,8 +83,8 @@ def amount(c: Column) -> Column:
 
 
 def amount_last_separator(c: Column) -> Column:
-    """A number whose last comma or point is the decimal point."""
-    bare = F.regexp_replace(c, r"[^0-9.,-]", "")
+    """A number whose last comma or point is the decimal point; all other signs are left out, a minus too."""
+    bare = F.regexp_replace(c, r"[^0-9.,]", "")
     whole = F.regexp_replace(F.regexp_replace(bare, r"[.,][0-9]*$", ""), "[.,]", "")
     part = F.regexp_extract(bare, r"[.,]([0-9]*)$", 1)
     return F.concat(whole, F.lit("."), part).try_cast("double")
@@ -142,11 +145,15 @@ def with_page(c: Column, page: int) -> Column:
     return F.concat(bare, F.when(bare.contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit(f"page={page}"))
 
 
+@F.pandas_udf(T.StringType())
+def unescape_html(c: pd.Series) -> pd.Series:
+    """Every named and numeric HTML entity as its characters: the rule and the table of over 2,000 names are those of HTML 5."""
+    return c.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
 def html_text(c: Column) -> Column:
-    """HTML as text: breaks are new lines, tags spaces, the common entities decoded, spaces collapsed; empty is null."""
-    out = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&eacute;", "é"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    """HTML as text: breaks are new lines, tags spaces, every entity decoded, spaces collapsed; empty is null."""
+    out = unescape_html(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", " "))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.nullif(strip(out), F.lit(""))
 
@@ -166,7 +173,26 @@ def furnished(flag: Column, *texts: Column) -> Column:
 
 def completeness(*fields: Column) -> Column:
     """Share of filled fields: blank texts don't count (pass arrays as null if empty)."""
-    return F.round(sum((F.coalesce(F.trim(f.cast("string")) != "", F.lit(False)).cast("int") for f in fields), F.lit(0)) / len(fields), 2)
+    return round_half_even(sum((F.coalesce(strip(f.cast("string")) != "", F.lit(False)).cast("int") for f in fields), F.lit(0)) / len(fields))
+
+
+def round_half_even(c: Column) -> Column:
+    """A double to two places by its exact binary value, halves to the even digit: the double nearest to the decimal that comes out.
+
+    Beside a whole part the fraction has at most 52 bits, so a hundred times it is exact in a long.
+    """
+    size = F.abs(c)
+    whole = F.floor(size)
+    bits = ((size - whole) * float(1 << 52)).cast("long") * 100
+    cents, rest = F.shiftright(bits, 52), bits.bitwiseAND((1 << 52) - 1)
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (cents % 2 == 1))
+    return F.when(size < float(1 << 46), F.signum(c) * (whole * 100 + cents + up.cast("int")) / 100.0).otherwise(c)
+
+
+def float_text(c: Column) -> Column:
+    """A double as text, without an exponent below 10^16 (`5.0`, `12345678.25`)."""
+    plain = F.regexp_replace(c.cast("decimal(38,9)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    return F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), plain).otherwise(c.cast("string"))
 
 
 def money(c: Column) -> Column:
@@ -179,12 +205,12 @@ def percent(c: Column) -> Column:
 
 
 def escape_markdown(c: Column) -> Column:
-    return F.regexp_replace(c, r"([_*\[\]()~`>#+\-=|{}.!\\,])", r"\\$1")
+    return F.regexp_replace(c, r"([_*\[\]()~`>#+\-=|{}.!\\])", r"\\$1")
 
 
 def escape_markdown_once(c: Column) -> Column:
-    """Escapes what isn't escaped yet."""
-    return F.regexp_replace(c, r"(?<!\\)([_\[\]()~>#+\-=|{}.!])", r"\\$1")
+    """Escapes what isn't escaped yet; the signs of bold and of links stay."""
+    return F.regexp_replace(c, r"(?<!\\)([_~`>#+\-=|{}.!])", r"\\$1")
 
 
 def url_in_text(c: Column) -> Column:

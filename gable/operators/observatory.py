@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ObservatoryConfig
-from ..functions import dates, finance
+from ..functions import dates, finance, text
 
 SEGMENT = ["district", "kind", "furnished"]
+#: Bins of the histogram that order statistics are looked for in.
+BINS = 1024
 
 
 def segments(rents: DataFrame) -> DataFrame:
@@ -19,22 +23,56 @@ def segments(rents: DataFrame) -> DataFrame:
     return own.where("district is not null and rooms is not null and furnished is not null and rent is not null")
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], n: str) -> DataFrame:
-    """Exact linear-interpolated quantiles (name: share) of each group's values and their number n; nulls don't count.
+def order_statistics(rows: DataFrame, by: list[str], value: str, measures: dict[str, Column], wanted: dict[str, tuple[str, Callable[[Column], Column]]], bins: int = BINS) -> DataFrame:
+    """Of each group: the totals of the measures (`all_` and the name), and for each wanted name (measure, target from its total) the smallest
+    value up to which the measure's running sum reaches the target. Exact; null values don't count, a null in `by` is a group of its own.
 
-    Rows are counted by value first, in the map tasks already, and ranked by running sums: a group's values are sorted (and may
-    spill), not held in one buffer.
+    Measures are summed by value in the map tasks already. A histogram of each group's values tells the bin that holds a target, and only the values of
+    such bins are put in order, a task for each bin: no group is ordered as a whole, however many rows or values it has.
     """
-    by_value = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    ranked = by_value.withColumn("_run", F.sum("_n").over(group.orderBy("_v"))).withColumn("_all", F.sum("_n").over(group))
-    place = {name: (F.col("_all") - 1) * F.lit(q) for name, q in wanted.items()}
-    ends = [F.min(F.when(F.col("_run") > side(at), F.col("_v"))).alias(f"_{end}_{name}") for name, at in place.items() for end, side in (("lo", F.floor), ("hi", F.ceil))]
-    out = ranked.groupBy(*by).agg(F.max("_all").alias("_all"), *ends)
-    between = [
-        F.when(F.floor(at) == F.ceil(at), F.col(f"_lo_{name}")).otherwise((F.ceil(at) - at) * F.col(f"_lo_{name}") + (at - F.floor(at)) * F.col(f"_hi_{name}")).alias(name) for name, at in place.items()
+    by_value = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(*(F.sum(m).alias(name) for name, m in measures.items()))
+    totals = by_value.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), *(F.sum(m).alias(f"all_{m}") for m in measures))
+    place = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
+    place = F.when(F.isnan("_v"), bins - 1).when(F.col("_high") > F.col("_low"), F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))).otherwise(0)
+    binned = _attach(by_value, totals, by).withColumn("_bin", place)
+    group, target = Window.partitionBy(*by), {name: of(F.col(f"all_{m}")) for name, (m, of) in wanted.items()}
+    counted = binned.groupBy(*by, "_bin").agg(*(F.sum(m).alias(m) for m in measures), *(F.max(f"all_{m}").alias(f"all_{m}") for m in measures))
+    counted = counted.withColumns({f"_run_{m}": F.sum(m).over(group.orderBy("_bin")) for m in measures})  # `bins` rows a group
+    first = [
+        F.min(F.when(F.col(f"_run_{m}") >= target[name], F.struct(F.col("_bin").alias("bin"), (F.col(f"_run_{m}") - F.col(m)).alias("before")))).alias(f"_at_{name}") for name, (m, _) in wanted.items()
     ]
-    return out.select(*by, *between, F.col("_all").alias(n))
+    held = _attach(binned, counted.groupBy(*by).agg(*first), by)
+    inside = {name: F.col("_bin") == F.col(f"_at_{name}.bin") for name in wanted}
+    held = held.where(reduce(Column.__or__, inside.values()))
+    held = held.withColumns({f"_run_{m}": F.sum(m).over(Window.partitionBy(*by, "_bin").orderBy("_v")) for m in measures})
+    reached = {name: inside[name] & (F.col(f"_at_{name}.before") + F.col(f"_run_{m}") >= target[name]) for name, (m, _) in wanted.items()}
+    # sums of fractions may miss the target by rounding at a bin's last value
+    found = [F.coalesce(F.min(F.when(reached[name], F.col("_v"))), F.max(F.when(inside[name], F.col("_v")))).alias(name) for name in wanted]
+    return held.groupBy(*by).agg(*found, *(F.max(f"all_{m}").alias(f"all_{m}") for m in measures))
+
+
+def _attach(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the other columns of groups, which has a row for each group."""
+    own = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return rows.join(own, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by))).drop(*(f"_of_{c}" for c in by))
+
+
+def _ends(wanted: dict[str, float]) -> dict[str, tuple[str, Callable[[Column], Column]]]:
+    """The two ranks (from 1) that each quantile lies between, as targets of the measure n."""
+    ends = (("low", F.floor), ("high", F.ceil))
+    return {f"_{end}_{name}": ("n", lambda n, q=q, side=side: side((n - 1) * F.lit(q)) + 1) for name, q in wanted.items() for end, side in ends}
+
+
+def _between(wanted: dict[str, float]) -> list[Column]:
+    """The quantiles, interpolated between their two ranks' values."""
+    place = {name: (F.col("all_n") - 1) * F.lit(q) for name, q in wanted.items()}
+    low, high = (lambda name: F.col(f"_low_{name}")), (lambda name: F.col(f"_high_{name}"))
+    return [F.when(F.floor(at) == F.ceil(at), low(name)).otherwise((F.ceil(at) - at) * low(name) + (at - F.floor(at)) * high(name)).alias(name) for name, at in place.items()]
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], n: str, bins: int = BINS) -> DataFrame:
+    """Exact linear-interpolated quantiles (name: share) of each group's values and their number n; nulls don't count."""
+    return order_statistics(rows, by, value, {"n": F.lit(1)}, _ends(wanted), bins).select(*by, *_between(wanted), F.col("all_n").alias(n))
 
 
 def quartiles(rows: DataFrame, value: str = "rent") -> DataFrame:
@@ -50,16 +88,13 @@ def without_outliers(rows: DataFrame, config: ObservatoryConfig = ObservatoryCon
     return own.where(keep).drop("q1", "q3", "n_all")
 
 
-def weighted_median(rows: DataFrame, value: str, weight: str, name: str) -> DataFrame:
-    """The lower weighted median of each segment.
+def _half(total: Column) -> Column:
+    return total / 2
 
-    Weights are summed by value before anything is ordered, in the map tasks already, so a segment that holds a large share of all
-    rows costs one window over its distinct values, not over its rows.
-    """
-    by_value = rows.where(F.col(value).isNotNull()).groupBy(*SEGMENT, value).agg(F.sum(weight).alias("_w"))
-    running = F.sum("_w").over(Window.partitionBy(*SEGMENT).orderBy(value))
-    total = F.sum("_w").over(Window.partitionBy(*SEGMENT))
-    return by_value.withColumn("_run", running).withColumn("_all", total).groupBy(*SEGMENT).agg(F.min(F.when(F.col("_run") >= F.col("_all") / 2, F.col(value))).alias(name))
+
+def weighted_median(rows: DataFrame, value: str, weight: str, name: str, bins: int = BINS) -> DataFrame:
+    """The lower weighted median of each segment."""
+    return order_statistics(rows, SEGMENT, value, {"w": F.col(weight)}, {name: ("w", _half)}, bins).drop("all_w")
 
 
 def medians(rents: DataFrame, as_of: dt.datetime, config: ObservatoryConfig = ObservatoryConfig()) -> DataFrame:
@@ -67,10 +102,11 @@ def medians(rents: DataFrame, as_of: dt.datetime, config: ObservatoryConfig = Ob
     kept = without_outliers(segments(rents), config)
     kept = kept.withColumn("w", dates.decay(F.col("seen_at"), as_of, config.half_life_days, config.unknown_weight))
     kept = kept.withColumn("rent_m2", F.when(F.col("surface") > 0, F.col("rent") / F.col("surface")))
-    stats = quantiles(kept, SEGMENT, "rent", {"rent_q1": 0.25, "rent_q3": 0.75}, "n")
+    shares = {"rent_q1": 0.25, "rent_q3": 0.75}
+    stats = order_statistics(kept, SEGMENT, "rent", {"n": F.lit(1), "w": F.col("w")}, {**_ends(shares), "rent_median": ("w", _half)})
+    stats = stats.select(*SEGMENT, "rent_median", *_between(shares), F.col("all_n").alias("n"))
     stats = stats.withColumn("reliability", F.when(F.col("n") >= config.min_rows, "fiable").otherwise("preliminaire"))
-    by_rent, by_m2 = weighted_median(kept, "rent", "w", "rent_median"), weighted_median(kept, "rent_m2", "w", "rent_m2_median")
-    out = stats.join(by_rent, SEGMENT).join(by_m2, SEGMENT, "left")  # a row for each segment
+    out = stats.join(weighted_median(kept, "rent_m2", "w", "rent_m2_median"), SEGMENT, "left")  # a row for each segment
     return out.select(*SEGMENT, "rent_median", "rent_q1", "rent_q3", "rent_m2_median", "n", "reliability")
 
 
@@ -82,7 +118,7 @@ def match_district(rows: DataFrame, districts: DataFrame, column: str = "distric
     names = rows.select(F.col(column).alias("_name")).where(f"{column} is not null and {column} != ''").distinct()
     listed = F.broadcast(districts.select(F.col("district").alias("_d"), "pos"))
     low, other = F.lower("_name"), F.lower("_d")
-    grade = F.when(low == other, 1).when(low.contains(other) | other.contains(low), 2)
+    grade = F.when(F.col("_name") == F.col("_d"), 1).when(low.contains(other) | other.contains(low), 2)
     best = names.join(listed, grade.isNotNull()).groupBy("_name").agg(F.min_by("_d", F.struct(grade.alias("g"), "pos")).alias("_best"))
     return rows.join(best, rows[column] == best["_name"], "left").withColumn("matched", F.coalesce("_best", F.lit(default))).drop("_name", "_best")
 
@@ -90,14 +126,14 @@ def match_district(rows: DataFrame, districts: DataFrame, column: str = "distric
 def estimate(rows: DataFrame, reference: DataFrame, fallback: DataFrame, config: ObservatoryConfig = ObservatoryConfig()) -> DataFrame:
     """rows (district, kind, furnished, surface, matched) with `estimate` and `reliability`.
 
-    A reference of enough rows gives its median; else the fallback rent of the matched district, adjusted for the surface.
+    A reference of enough rows gives its median, else the matched district its fallback rent; either is adjusted for the surface and rounded to two places.
     """
     ref = reference.where((F.col("n") >= config.min_rows) & F.col("rent_median").isNotNull()).select(*SEGMENT, "rent_median")
     fall = F.broadcast(fallback.select(F.col("district").alias("matched"), "kind", "furnished", "fallback"))
     own = rows.join(ref, SEGMENT, "left").join(fall, ["matched", "kind", "furnished"], "left")
-    adjusted = finance.surface_adjusted(F.col("fallback"), F.col("kind"), F.col("surface"), config)
-    return own.withColumn("estimate", F.coalesce("rent_median", adjusted)).withColumn(
-        "reliability", F.when(F.col("rent_median").isNotNull(), "fiable").when(F.col("fallback").isNotNull(), "estimation").otherwise("indisponible")
+    adjusted = finance.surface_adjusted(F.coalesce("rent_median", "fallback"), F.col("kind"), F.col("surface"), config)
+    return own.withColumn("estimate", text.round_half_even(adjusted)).withColumn(
+        "reliability", F.when(F.col("rent_median").isNotNull(), "fiable").when(F.col("fallback").isNotNull(), "preliminaire").otherwise("indisponible")
     )
 
 
@@ -105,11 +141,11 @@ def coverage(reference: DataFrame, min_rows: int = 5) -> DataFrame:
     """How many segments there are and are reliable, and as text."""
     out = reference.agg(F.count("*").alias("segments"), F.count_if(F.col("n") >= min_rows).alias("reliable"))
     share = F.try_divide(F.col("reliable") * 100, F.col("segments"))
-    text = F.concat(F.round(share).cast("int").cast("string"), F.lit("% fiable ("), F.col("reliable").cast("string"), F.lit("/"), F.col("segments").cast("string"), F.lit(")"))
-    return out.withColumn("summary", F.when(F.col("segments") > 0, text).otherwise("Aucune reference"))
+    said = F.concat(F.round(share).cast("int").cast("string"), F.lit("% fiable ("), F.col("reliable").cast("string"), F.lit("/"), F.col("segments").cast("string"), F.lit(")"))
+    return out.withColumn("summary", F.when(F.col("segments") > 0, said).otherwise("Aucune reference"))
 
 
 def fallback_rent(median: Column, per_m2: Column, kind: Column, surface: Column, config: ObservatoryConfig = ObservatoryConfig()) -> tuple[Column, Column]:
     """Rent and reliability of a segment without enough rows: its stated median, adjusted; else its rent per square metre times the surface; else none."""
-    rent = F.coalesce(finance.surface_adjusted(median, kind, surface, config), per_m2 * surface)
+    rent = text.round_half_even(F.coalesce(finance.surface_adjusted(median, kind, surface, config), per_m2 * surface))
     return rent, F.when(rent.isNotNull(), F.lit("preliminaire")).otherwise(F.lit("indisponible"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Bounds
 from ..functions import text
+from ..sources import listings
 from .observatory import quantiles
 
 
@@ -28,14 +29,14 @@ def reasons(*found: Column) -> Column:
 
 def sale_reasons(price: Column, surface: Column, rooms: Column, energy: Column, url: Column, address: Column, bounds: Bounds = Bounds()) -> Column:
     return reasons(
-        _range(price, *bounds.price, "price"), _range(surface, *bounds.surface, "surface"), _range(rooms, *bounds.rooms, "rooms"),
-        F.when(energy.isNotNull() & ~F.upper(energy).isin(*bounds.energy), "energy invalid"), F.when(~text.valid_url(url), "url invalid"), F.when(~in_city(address, bounds), "address outside"),
+        _range(price.cast("long"), *bounds.price, "price"), _range(surface, *bounds.surface, "surface"), _range(rooms.cast("long"), *bounds.rooms, "rooms"),
+        F.when(energy.isNotNull() & ~energy.isin(*bounds.energy), "energy invalid"), F.when(~text.valid_url(url), "url invalid"), F.when(~in_city(address, bounds), "address outside"),
     )
 
 
 def rent_reasons(rent: Column, surface: Column, rooms: Column, url: Column, address: Column, bounds: Bounds = Bounds()) -> Column:
     return reasons(
-        _range(rent, *bounds.rent, "rent"), _range(surface, *bounds.surface, "surface"), _range(rooms, *bounds.rooms, "rooms"),
+        _range(rent, *bounds.rent, "rent"), _range(surface, *bounds.surface, "surface"), _range(rooms.cast("long"), *bounds.rooms, "rooms"),
         F.when(~text.valid_url(url), "url invalid"), F.when(~in_city(address, bounds), "address outside"),
     )
 
@@ -69,24 +70,63 @@ def anomalies(price: Column, surface: Column, rooms: Column, description: Column
     )
 
 
-def _value_texts(raw: Column, field: str, words: dict[str, str], low: float, high: float, whole: bool, positive: bool = True) -> Column:
-    """What is wrong with a value that came as text: missing, no number, not positive, below or above its bounds; the value stands in the text."""
-    number = raw.try_cast("double")
-    said = number.cast("long").cast("string") if whole else number.cast("string")
-    value = F.floor(number) if whole else number
-    bound = (lambda x: str(int(x))) if whole else (lambda x: str(float(x)))
-    out = F.when(raw.isNull(), f"{field} {words['missing']}").when(number.isNull(), f"{field} invalide (type str)")
+def _value_texts(field: str, kind: Column, number: Column, words: dict[str, str], low: float, high: float, whole: bool, positive: bool = True, name: str | None = None) -> Column:
+    """What is wrong with a value: missing (no kind), of a type that is no number, not positive, below or above its bounds; the value stands in the text."""
+    value = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)) if whole else number
+    said, bound = (value.cast("long").cast("string"), lambda x: str(int(x))) if whole else (text.float_text(value), lambda x: str(float(x)))
+    name = name or field
+    out = F.when(kind.isNull(), f"{field} {words['missing']}").when(number.isNull(), F.concat(F.lit(f"{field} invalide (type "), kind, F.lit(")")))
     if positive:
-        out = out.when(value <= 0, F.concat(F.lit(f"{field} {words['negative']} ("), said, F.lit(")")))
-    out = out.when(value < low, F.concat(F.lit(f"{field} {words['low']} ("), said, F.lit(f" < {bound(low)})")))
-    return out.when(value > high, F.concat(F.lit(f"{field} {words['high']} ("), said, F.lit(f" > {bound(high)})")))
+        out = out.when(value <= 0, F.concat(F.lit(f"{name} {words['negative']} ("), said, F.lit(")")))
+    out = out.when(value < low, F.concat(F.lit(f"{name} {words['low']} ("), said, F.lit(f" < {bound(low)})")))
+    return out.when(value > high, F.concat(F.lit(f"{name} {words['high']} ("), said, F.lit(f" > {bound(high)})")))
+
+
+# The words of the reasons.
+_PRICE = {"missing": "manquant", "negative": "negatif ou nul", "low": "trop bas", "high": "trop eleve"}
+_SURFACE = {"missing": "manquante", "negative": "negative ou nulle", "low": "trop petite", "high": "trop grande"}
+_ROOMS = {"missing": "manquant", "low": "trop petit", "high": "trop grand"}
+
+
+def url_text(url: Column) -> Column:
+    return F.when(F.coalesce(text.strip(url), F.lit("")) == "", "url_source manquante ou vide").when(~text.valid_url(url), F.concat(F.lit("url_source invalide ("), url, F.lit(")")))
+
+
+def address_text(address: Column, bounds: Bounds = Bounds()) -> Column:
+    outside = F.concat(F.lit("adresse hors Besancon ('"), address, F.lit("' ne contient pas 'Besancon'/'Besançon' ni CP 25xxx)"))
+    return F.when(F.coalesce(text.strip(address), F.lit("")) == "", "adresse manquante ou vide").when(~in_city(address, bounds), outside)
+
+
+def _energy_text(energy: Column, bounds: Bounds) -> Column:
+    return F.when(energy.isNotNull() & ~energy.isin(*bounds.energy), F.concat(F.lit("dpe invalide ('"), energy, F.lit("' hors A-G)")))
+
+
+def _typed(raw: Column) -> tuple[Column, Column]:
+    """Kind and number of a value that came as text: numbers in texts are read."""
+    return F.when(raw.isNotNull(), "str"), raw.try_cast("double")
 
 
 def sale_reason_texts(price: Column, surface: Column, rooms: Column, energy: Column, bounds: Bounds = Bounds()) -> Column:
     """Every reason in words, from values as they came (texts): types first, then bounds."""
     return reasons(
-        _value_texts(price, "prix", {"missing": "manquant", "negative": "negatif ou nul", "low": "trop bas", "high": "trop eleve"}, *bounds.price, True),
-        _value_texts(surface, "surface", {"missing": "manquante", "negative": "negative ou nulle", "low": "trop petite", "high": "trop grande"}, *bounds.surface, False),
-        _value_texts(rooms, "nb_pieces", {"missing": "manquant", "low": "trop petit", "high": "trop grand"}, *bounds.rooms, True, False),
-        F.when(energy.isNotNull() & ~energy.isin(*bounds.energy), F.concat(F.lit("dpe invalide ('"), energy, F.lit("' hors A-G)"))),
+        _value_texts("prix", *_typed(price), _PRICE, *bounds.price, True), _value_texts("surface", *_typed(surface), _SURFACE, *bounds.surface, False),
+        _value_texts("nb_pieces", *_typed(rooms), _ROOMS, *bounds.rooms, True, False), _energy_text(energy, bounds),
+    )
+
+
+def sale_variant_texts(price: Column, surface: Column, rooms: Column, energy: Column, url: Column, address: Column, bounds: Bounds = Bounds()) -> Column:
+    """Every reason that a sale is rejected for, in words, from parsed JSON values (price, surface and rooms are variants): a text isn't a number."""
+    kind, number = listings.variant_kind, listings.variant_number
+    return reasons(
+        _value_texts("prix", kind(price), number(price), _PRICE, *bounds.price, True), _value_texts("surface", kind(surface), number(surface), _SURFACE, *bounds.surface, False),
+        _value_texts("nb_pieces", kind(rooms), number(rooms), _ROOMS, *bounds.rooms, True, False), _energy_text(energy, bounds), url_text(url), address_text(address, bounds),
+    )
+
+
+def rent_variant_texts(rent: Column, surface: Column, rooms: Column, url: Column, address: Column, bounds: Bounds = Bounds()) -> Column:
+    """The same of a letting."""
+    kind, number = listings.variant_kind, listings.variant_number
+    return reasons(
+        _value_texts("loyer_cc", kind(rent), number(rent), _PRICE, *bounds.rent, False, name="loyer"), _value_texts("surface", kind(surface), number(surface), _SURFACE, *bounds.surface, False),
+        _value_texts("nb_pieces", kind(rooms), number(rooms), _ROOMS, *bounds.rooms, True, False), url_text(url), address_text(address, bounds),
     )

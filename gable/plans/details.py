@@ -55,8 +55,8 @@ def detail_needed(spark, sf_dir):
     return views.listings(spark, sf_dir).select("id", src.needs_detail(F.lit(True), C("url"), title, C("price"), C("surface"), C("rooms"), C("address")).alias("needed"))
 
 
-@query(views.sql("""SELECT id, CAST(surface AS INTEGER) + 0.5::DOUBLE AS surface, CAST(id % 6 AS INTEGER) AS rooms, CAST(id % 9 AS INTEGER) AS floor, CAST(id % 100 AS DOUBLE) AS charges, CASE WHEN id % 3 > 0 THEN substr('ABCDEFG', CAST(id % 7 + 1 AS INTEGER), 1) END AS energy,
-    CASE WHEN id % 2 = 0 THEN id % 4 = 0 END AS furnished, CASE WHEN id % 2 = 0 THEN 400.0::DOUBLE + id % 50 END AS rent FROM listings WHERE surface IS NOT NULL""", "listings"))
+@query(views.sql("""SELECT id, CAST(surface AS INTEGER) + 0.5::DOUBLE AS surface, CAST(id % 6 AS INTEGER) AS rooms, CAST(id % 9 AS INTEGER) AS floor, 1000.0::DOUBLE + id % 100 + 0.5 AS charges, CASE WHEN id % 3 > 0 THEN substr('ABCDEFG', CAST(id % 7 + 1 AS INTEGER), 1) END AS energy,
+    CASE WHEN id % 2 = 0 THEN id % 4 = 0 END AS furnished, CASE WHEN id % 2 = 0 THEN 400.0::DOUBLE + id % 50 END AS rent FROM listings""", "listings"))
 def detail_fields(spark, sf_dir):
     """Criteria of detail pages: labels dispatch to fields; repeated ones by the rule of each field."""
     k = C("id").cast("string")
@@ -64,13 +64,14 @@ def detail_fields(spark, sf_dir):
     def item(label: str, value) -> F.Column:
         return F.concat(F.lit(f'<div data-qa-id="criteria_item"><div data-qa-id="criteria_item_label">{label}</div>\n <div data-qa-id="criteria_item_value">'), value, F.lit("</div></div>"))
 
+    letter = F.substring(F.lit("ABCDEFG"), (C("id") % 7 + 1).cast("int"), F.lit(1))
     page = F.concat(
-        item("Surface habitable", F.concat(C("surface").cast("int").cast("string"), F.lit(",5 m²"))), item("SURFACE du terrain", F.lit("900 m²")), item("Nombre de pièces", (C("id") % 6).cast("string")), item("Pieces", F.lit("77")),
-        item("Étage", F.lit("88")), item("Etage de votre bien", F.concat((C("id") % 9).cast("string"), F.lit("e"))), item("Charges annuelles", F.concat((C("id") % 100).cast("string"), F.lit(" €"))),
-        item("Classe énergie", F.when(C("id") % 3 == 0, "?").otherwise(F.substring(F.lit("ABCDEFG"), (C("id") % 7 + 1).cast("int"), F.lit(1)))), item("GES", F.when(C("id") % 3 == 0, "").otherwise(F.lit("G"))),
-        item("Meublé", F.when(C("id") % 4 == 0, "Oui").otherwise("Non")), item("Loyer", F.concat((F.lit(400) + C("id") % 50).cast("string"), F.lit(" €"))), item("Autre", k),
+        item("Surface habitable", F.when(C("surface").isNull(), "inconnue").otherwise(F.concat(C("surface").cast("int").cast("string"), F.lit(",5 m²")))), item("SURFACE du terrain", F.lit("900 m²")), item("Nombre de pièces", (C("id") % 6).cast("string")), item("Pieces", F.lit("77")),
+        item("Étage", F.lit("88")), item("Etage de votre bien", F.concat((C("id") % 9).cast("string"), F.lit("e"))), item("Charges annuelles", F.concat((F.lit(1000) + C("id") % 100).cast("string"), F.lit(",50 € / an"))),
+        item("Classe énergie", F.when(C("id") % 3 == 0, "NON COMMUNIQUE").otherwise(F.concat(F.lit("classe : "), letter))), item("GES", F.when(C("id") % 3 == 0, "").otherwise(F.lit("G"))),
+        item("Meublé", F.when(C("id") % 4 == 0, "Oui").otherwise("Non")), item("Loyer", F.concat((F.lit(400) + C("id") % 50).cast("string"), F.lit(" € / mois"))), item("Autre", k),
     )
-    own = views.listings(spark, sf_dir).where("surface is not null").select("id", src.criteria(page).alias("c"), (C("id") % 2 == 0).alias("letting"))
+    own = views.listings(spark, sf_dir).select("id", src.criteria(page).alias("c"), (C("id") % 2 == 0).alias("letting"))
     return own.select("id", *(c.alias(n) for n, c in src.detail_fields(C("c"), C("letting")).items()))
 
 

@@ -22,8 +22,8 @@ _RAW = """raw AS (SELECT id, price, surface, rooms,
       CASE id % 3 WHEN 0 THEN 'T' || rooms WHEN 1 THEN rooms || ' pièces' ELSE 'studio' END AS rooms_text,
       CASE id % 6 WHEN 0 THEN 'RDC' WHEN 1 THEN '1er' WHEN 2 THEN (id % 9) || 'ème étage' WHEN 3 THEN 'rez-de-chaussée' WHEN 4 THEN 'dernier' ELSE CAST(id % 7 AS VARCHAR) END AS floor_text,
       CASE id % 5 WHEN 0 THEN energy WHEN 1 THEN lower(energy) WHEN 2 THEN 'DPE: ' || energy WHEN 3 THEN 'NON COMMUNIQUE' ELSE '' END AS energy_text,
-      CASE id % 5 WHEN 0 THEN '1.234,56 €' WHEN 1 THEN '1 500,5' WHEN 2 THEN '$ 99.' || (id % 90 + 10) WHEN 3 THEN '1.500' ELSE 'abc' END AS amount_text,
-      CASE id % 8 WHEN 0 THEN 'Aujourd''hui' WHEN 1 THEN 'hier' WHEN 2 THEN strftime(published, '%Y-%m-%d') WHEN 3 THEN strftime(published, '%Y-%m-%d') || 'T10:20:30' WHEN 4 THEN strftime(published, '%d/%m/%Y') WHEN 5 THEN day(published) || ' février ' || year(published) WHEN 6 THEN '31/02/2001' ELSE day(published) || ' Mars 1999 a midi' END AS date_text,
+      CASE id % 5 WHEN 0 THEN '1.234,56 €' WHEN 1 THEN '1 500,5' WHEN 2 THEN '$ 99.' || (id % 90 + 10) WHEN 3 THEN '5-7 €' ELSE 'abc' END AS amount_text,
+      CASE id % 8 WHEN 0 THEN CASE id % 3 WHEN 0 THEN 'Aujourd''hui' WHEN 1 THEN 'aujourd hui' ELSE 'Aujourdhui' END WHEN 1 THEN 'hier' WHEN 2 THEN strftime(published, '%Y-%m-%d') WHEN 3 THEN strftime(published, '%Y-%m-%d') || CASE WHEN id % 3 = 0 THEN 'T99:99:99' ELSE 'T10:20:30' END WHEN 4 THEN strftime(published, '%d/%m/%Y') WHEN 5 THEN day(published) || ' février ' || year(published) WHEN 6 THEN '31/02/2001' ELSE day(published) || ' Mars 1999 a midi' END AS date_text,
       published, address, description, url, district, energy, source FROM listings)"""
 
 
@@ -45,8 +45,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rooms_text": pick(3, F.concat(F.lit("T"), r), F.concat(r, F.lit(" pièces")), F.lit("studio")),
         "floor_text": pick(6, F.lit("RDC"), F.lit("1er"), F.concat((k % 9).cast("string"), F.lit("ème étage")), F.lit("rez-de-chaussée"), F.lit("dernier"), (k % 7).cast("string")),
         "energy_text": pick(5, C("energy"), F.lower("energy"), F.concat(F.lit("DPE: "), C("energy")), F.lit("NON COMMUNIQUE"), F.lit("")),
-        "amount_text": pick(5, F.lit("1.234,56 €"), F.lit("1 500,5"), F.concat(F.lit("$ 99."), (k % 90 + 10).cast("string")), F.lit("1.500"), F.lit("abc")),
-        "date_text": pick(8, F.lit("Aujourd'hui"), F.lit("hier"), iso, F.concat(iso, F.lit("T10:20:30")), F.date_format("published", "dd/MM/yyyy"), F.concat(day, F.lit(" février "), year), F.lit("31/02/2001"), F.concat(day, F.lit(" Mars 1999 a midi"))),
+        "amount_text": pick(5, F.lit("1.234,56 €"), F.lit("1 500,5"), F.concat(F.lit("$ 99."), (k % 90 + 10).cast("string")), F.lit("5-7 €"), F.lit("abc")),
+        "date_text": pick(8, pick(3, F.lit("Aujourd'hui"), F.lit("aujourd hui"), F.lit("Aujourdhui")), F.lit("hier"), iso, F.concat(iso, F.when(k % 3 == 0, "T99:99:99").otherwise("T10:20:30")), F.date_format("published", "dd/MM/yyyy"), F.concat(day, F.lit(" février "), year), F.lit("31/02/2001"), F.concat(day, F.lit(" Mars 1999 a midi"))),
     })
 
 
@@ -67,7 +67,7 @@ def clean_surface_text(spark, sf_dir):
 
 @query(over_raw(r"""SELECT id, TRY_CAST(regexp_extract(rooms_text, '([0-9]+)', 1) AS INTEGER) AS rooms_found,
     CASE WHEN lower(trim(floor_text)) IN ('rdc', 'rez-de-chaussee', 'rez-de-chaussée', 'rez de chaussee', 'rez de chaussée') THEN 0 ELSE TRY_CAST(regexp_extract(floor_text, '([0-9]+)', 1) AS INTEGER) END AS floor,
-    nullif(regexp_extract(upper(trim(energy_text)), '[A-G]'), '') AS energy_any, nullif(regexp_extract(upper(trim(energy_text)), '(?:^|[\s:])([A-G])$', 1), '') AS energy_strict FROM raw"""))
+    nullif(regexp_extract(upper(trim(energy_text)), '[A-G]'), '') AS energy_any, nullif(upper(regexp_extract(trim(energy_text), '(?:^|[\s:])\s*([A-Ga-g])$', 1)), '') AS energy_strict FROM raw"""))
 def rooms_floor_energy(spark, sf_dir):
     return raw(spark, sf_dir).select(
         "id", text.first_int(C("rooms_text")).alias("rooms_found"), text.floor_number(C("floor_text")).alias("floor"),
@@ -77,12 +77,12 @@ def rooms_floor_energy(spark, sf_dir):
 
 @query(over_raw(r"""SELECT id, TRY_CAST(replace(regexp_replace(amount_text, '[€$\s]', '', 'g'), ',', '.') AS DOUBLE) AS amount,
     TRY_CAST(CASE WHEN regexp_matches(bare, '[.,]') THEN regexp_replace(regexp_replace(bare, '[.,][0-9]*$', ''), '[.,]', '', 'g') || '.' || regexp_extract(bare, '[.,]([0-9]*)$', 1) ELSE bare || '.' END AS DOUBLE) AS amount_last
-    FROM (SELECT *, regexp_replace(amount_text, '[^0-9.,-]', '', 'g') AS bare FROM raw)"""))
+    FROM (SELECT *, regexp_replace(amount_text, '[^0-9.,]', '', 'g') AS bare FROM raw)"""))
 def float_text(spark, sf_dir):
     return raw(spark, sf_dir).select("id", text.amount(C("amount_text")).alias("amount"), text.amount_last_separator(C("amount_text")).alias("amount_last"))
 
 
-@query(over_raw(r"""SELECT id, CASE id % 8 WHEN 0 THEN TIMESTAMP '2001-12-01' WHEN 1 THEN TIMESTAMP '2001-11-30' WHEN 2 THEN date_trunc('day', published) WHEN 3 THEN date_trunc('day', published) + INTERVAL '10:20:30' HOUR TO SECOND
+@query(over_raw(r"""SELECT id, CASE id % 8 WHEN 0 THEN TIMESTAMP '2001-12-01' WHEN 1 THEN TIMESTAMP '2001-11-30' WHEN 2 THEN date_trunc('day', published) WHEN 3 THEN CASE WHEN id % 3 <> 0 THEN date_trunc('day', published) + INTERVAL '10:20:30' HOUR TO SECOND END
     WHEN 4 THEN date_trunc('day', published) WHEN 5 THEN TRY_CAST(year(published) || '-02-' || lpad(CAST(day(published) AS VARCHAR), 2, '0') AS TIMESTAMP) WHEN 6 THEN NULL
     ELSE TRY_CAST('1999-03-' || lpad(CAST(day(published) AS VARCHAR), 2, '0') AS TIMESTAMP) END AS published_at FROM raw""".replace("INTERVAL '10:20:30' HOUR TO SECOND", "INTERVAL 37230 SECONDS")))
 def french_dates(spark, sf_dir):
@@ -90,11 +90,14 @@ def french_dates(spark, sf_dir):
 
 
 _FILLED = "(CASE WHEN trim(coalesce(CAST({} AS VARCHAR), '')) <> '' THEN 1 ELSE 0 END)"
+_OPTIONAL = ("energy_text", "surface", "address", "district", "rooms", "price_text", "blank", "even")
 
 
-@query(over_raw("SELECT id, round((" + " + ".join(_FILLED.format(c) for c in ("energy_text", "surface", "address", "district", "rooms", "price_text")) + ") / 6.0::DOUBLE, 2) AS completeness FROM raw"))
+@query(over_raw("SELECT id, CAST(format('{:.2f}', (" + " + ".join(_FILLED.format(c) for c in _OPTIONAL[:-2]) + " + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END) / 8.0::DOUBLE) AS DOUBLE) AS completeness FROM raw"))
 def completeness(spark, sf_dir):
-    return raw(spark, sf_dir).select("id", text.completeness(*(C(c) for c in ("energy_text", "surface", "address", "district", "rooms", "price_text"))).alias("completeness"))
+    """Eight fields: half a hundredth goes to the even digit, and a text of white space alone isn't filled."""
+    own = raw(spark, sf_dir).withColumns({"blank": F.lit("\t\n "), "even": F.when(C("id") % 2 == 0, "x")})
+    return own.select("id", text.completeness(*(C(c) for c in _OPTIONAL)).alias("completeness"))
 
 
 _CANONICAL = r"""lower(regexp_extract(u, '^([^:/?#]+):', 1)) || '://' || lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1))
@@ -153,7 +156,7 @@ def money_format(spark, sf_dir):
     return views.listings(spark, sf_dir).select("id", text.money(C("price")).alias("money"), text.percent(C("rooms") * 1.5).alias("share"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace(text, '([_*\[\]()~`>#+\-=|{}.!\\,])', '\\\1', 'g') AS escaped FROM conversations""")
+@query(r"""SELECT conv_id, turn, regexp_replace(text, '([_*\[\]()~`>#+\-=|{}.!\\])', '\\\1', 'g') AS escaped FROM conversations""")
 def md_escape(spark, sf_dir):
     return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.escape_markdown(C("text")).alias("escaped"))
 
@@ -166,7 +169,7 @@ def address_forms(spark, sf_dir):
 
 
 _SALE = """list_filter([
-    CASE WHEN price IS NULL THEN 'price missing' WHEN price < 10000 THEN 'price low' WHEN price > 500000 THEN 'price high' END,
+    CASE WHEN price IS NULL THEN 'price missing' WHEN trunc(price) < 10000 THEN 'price low' WHEN trunc(price) > 500000 THEN 'price high' END,
     CASE WHEN surface IS NULL THEN 'surface missing' WHEN surface < 10 THEN 'surface low' WHEN surface > 300 THEN 'surface high' END,
     CASE WHEN rooms IS NULL THEN 'rooms missing' WHEN rooms < 1 THEN 'rooms low' WHEN rooms > 10 THEN 'rooms high' END,
     CASE WHEN energy NOT IN ('A', 'B', 'C', 'D', 'E', 'F', 'G') THEN 'energy invalid' END,

@@ -96,15 +96,16 @@ def _values(rows) -> str:
 
 _FALLBACK = "fallback(matched, kind, furnished, fallback) AS (VALUES " + _values([(d[0], f"T{t}", f, d[6 + 2 * (t - 1) + (0 if f else 1)]) for d in dims.DISTRICTS for t in (1, 2, 3) for f in (True, False)]) + ")"
 _TYPICAL = "CASE kind WHEN 'T1' THEN 25.0::DOUBLE WHEN 'T2' THEN 45.0::DOUBLE WHEN 'T3' THEN 65.0::DOUBLE WHEN 'T4' THEN 85.0::DOUBLE WHEN 'T5' THEN 105.0::DOUBLE END"
-_ADJUSTED = f"""coalesce(fallback * (1 + least(0.15::DOUBLE, greatest(-0.15::DOUBLE, CASE WHEN (surface - {_TYPICAL}) / {_TYPICAL} > 0.2::DOUBLE THEN (surface - {_TYPICAL}) / {_TYPICAL} - 0.2::DOUBLE
-    WHEN (surface - {_TYPICAL}) / {_TYPICAL} < -0.2::DOUBLE THEN (surface - {_TYPICAL}) / {_TYPICAL} + 0.2::DOUBLE WHEN surface IS NULL THEN NULL ELSE 0 END))), fallback)"""
+_BASE = "coalesce(rent_median, fallback)"
+_ADJUSTED = f"""coalesce(CASE WHEN surface > 0 AND {_TYPICAL} IS NOT NULL THEN {_BASE} * (1 + least(0.15::DOUBLE, greatest(-0.15::DOUBLE, CASE WHEN (surface - {_TYPICAL}) / {_TYPICAL} > 0.2::DOUBLE THEN (surface - {_TYPICAL}) / {_TYPICAL} - 0.2::DOUBLE
+    WHEN (surface - {_TYPICAL}) / {_TYPICAL} < -0.2::DOUBLE THEN (surface - {_TYPICAL}) / {_TYPICAL} + 0.2::DOUBLE ELSE 0 END))) END, {_BASE})"""
 _ASKED = f"""asked AS (SELECT id, surface, 'T' || rooms AS kind, id % 2 = 0 AS furnished, {_MATCHED} AS matched, CASE WHEN id % 5 = 4 THEN district END AS district FROM listings)"""
 
 
-@query(views.sql(f"""WITH {_MEDIANS}, {_FALLBACK}, {_ASKED} SELECT id, round(coalesce(rent_median, {_ADJUSTED}), 4) AS estimate,
-    CASE WHEN rent_median IS NOT NULL THEN 'fiable' WHEN fallback IS NOT NULL THEN 'estimation' ELSE 'indisponible' END AS reliability
+@query(views.sql(f"""WITH {_MEDIANS}, {_FALLBACK}, {_ASKED} SELECT id, CAST(format('{{:.2f}}', {_ADJUSTED}) AS DOUBLE) AS estimate,
+    CASE WHEN rent_median IS NOT NULL THEN 'fiable' WHEN fallback IS NOT NULL THEN 'preliminaire' ELSE 'indisponible' END AS reliability
     FROM asked LEFT JOIN (SELECT district, kind, furnished, rent_median FROM reference WHERE n >= 5) r USING (district, kind, furnished) LEFT JOIN fallback f USING (matched, kind, furnished)""", "rents", "listings"))
 def estimate_rent(spark, sf_dir):
     rows = obs.match_district(_named(spark, sf_dir), dims.districts(spark))
     out = obs.estimate(rows, reference(spark, sf_dir), dims.fallback_rents(spark))
-    return out.select("id", F.round("estimate", 4).alias("estimate"), "reliability")
+    return out.select("id", "estimate", "reliability")

@@ -62,7 +62,10 @@ def band_candidates(spark, sf_dir):
     return found.groupBy((C("block") % 10).alias("bucket")).agg(F.count("*").alias("pairs"), F.sum(C("rank_a") * 7 + C("rank_b")).alias("checksum"))
 
 
-@query()
+_ALIKE = """(coalesce(abs(a.surface - b.surface) <= 2, false) OR coalesce(a.price > 0 AND abs(b.price - a.price) * 100.0::DOUBLE <= a.price * 5.0::DOUBLE, false))"""
+
+
+@query(views.sql(f"SELECT b.id % 10 AS bucket, count(*) AS pairs, sum(a.id * 7 + b.id)::BIGINT AS checksum FROM listings a JOIN listings b ON a.id < b.id AND {_ALIKE} GROUP BY 1", "listings"))
 def band_candidates_all(spark, sf_dir):
     """Candidate pairs among all listings, of any seller, by surface or price."""
     found = dedup.band_candidates(_arrivals(spark, sf_dir))
@@ -82,10 +85,24 @@ def levenshtein_duplicates(spark, sf_dir):
     return dedup.fuzzy_duplicates(_keyed(spark, sf_dir), exact=False, block="seller").select("rank", F.array_join("duplicates", ",").alias("duplicates"))
 
 
-@query()
+_CLASSES = f"""{_SOLD}, classes AS (SELECT key, surface, price, min(id) AS class_id, max(id) AS last, count(*) AS members FROM sold GROUP BY ALL),
+    links AS (SELECT b.class_id, count(*) AS n_links, min(a.class_id) AS first_link FROM classes a JOIN classes b ON a.class_id < b.last AND {_ALIKE} AND a.key <> '' AND b.key <> ''
+      AND (a.key = b.key OR 1 - levenshtein(b.key, a.key) / greatest(length(a.key), length(b.key))::DOUBLE >= 0.7::DOUBLE) GROUP BY 1)"""
+
+
+@query(views.sql(f"""WITH {_CLASSES} SELECT s.id AS rank, c.class_id, members, coalesce(n_links, 0) AS n_links, CASE WHEN first_link < s.id THEN first_link END AS repeats
+    FROM sold s JOIN classes c ON s.key IS NOT DISTINCT FROM c.key AND s.surface IS NOT DISTINCT FROM c.surface AND s.price IS NOT DISTINCT FROM c.price LEFT JOIN links l ON c.class_id = l.class_id""", "listings"))
 def levenshtein_duplicates_all(spark, sf_dir):
-    """By the edit ratio, among all listings."""
-    return dedup.fuzzy_duplicates(_arrivals(spark, sf_dir), exact=False).select("rank", F.array_join("duplicates", ",").alias("duplicates"))
+    """By the edit ratio, among all listings: every listing's class, the classes it is linked with, counted, and the first listing it repeats."""
+    own = _arrivals(spark, sf_dir)
+    return dedup.class_duplicates(own, dedup.duplicate_classes(own, exact=False))
+
+
+@query()
+def duplicate_classes(spark, sf_dir):
+    """By the exact matching-blocks ratio, among all listings, a row for each listing."""
+    own = _arrivals(spark, sf_dir)
+    return dedup.class_duplicates(own, dedup.duplicate_classes(own))
 
 
 @query(views.sql(f"WITH {_SOLD} SELECT id AS rank, key FROM sold WHERE surface IS NOT NULL", "listings"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import validation
 from ..sources import listings as src
 from . import views
 from .registry import registrar
@@ -15,7 +16,7 @@ query = registrar(REGISTER)
 C = F.col
 
 _CLEAN = r"regexp_replace(regexp_replace({}, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&eacute;", "é"), ("&amp;", "&")):
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&eacute;", "é"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _CLEAN = f"replace({_CLEAN}, '{_entity}', '{_char}')"
 
 
@@ -65,6 +66,55 @@ def ad_json_flatten(spark, sf_dir):
     return src.flatten_ad(parsed).select("list_id", "url", "price", "surface", "rooms", "energy", "address", "condition", F.size("history").alias("n_history"))
 
 
+def _variants(spark, sf_dir) -> DataFrame:
+    """Listings as JSON ads: prices as numbers, lists, texts, objects and nothing; the other values as sources write them."""
+    k, text_price = C("id"), C("price").cast("decimal(18,2)").cast("string")
+    price = (
+        F.when(k % 8 == 0, text_price).when(k % 8 == 1, F.concat(F.lit("["), text_price, F.lit("]"))).when(k % 8 == 2, F.concat(F.lit('["'), C("price").cast("long").cast("string"), F.lit('"]')))
+        .when(k % 8 == 3, F.concat(F.lit('"'), text_price, F.lit('"'))).when(k % 8 == 4, F.lit("[]")).when(k % 8 == 5, F.lit("null")).when(k % 8 == 6, F.lit('{"value": 1}')).otherwise(C("price").cast("long").cast("string"))
+    )
+    item = lambda key, value: F.concat(F.lit(f'{{"key": "{key}", "value": '), F.coalesce(value, F.lit("null")), F.lit("}"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    attributes = F.concat_ws(
+        ", ", item("square", quoted(F.concat(C("surface").cast("long").cast("string"), F.lit(",5")))), item("rooms", F.lit("77")), item("rooms", quoted(F.when(k % 9 == 0, "x").otherwise(C("rooms").cast("string")))),
+        item("energy_rate", quoted(F.when(k % 3 == 0, "Vierge").otherwise(F.lower("energy")))), item("old_price", quoted(F.lit("90000"))), item("charges_included", F.lit("12.5")), item("furnished", F.lit("true")), item("", F.lit("1")),
+    )
+    ad = F.concat(
+        F.lit('{"list_id": '), k.cast("string"), F.lit(', "price": '), price, F.lit(', "attributes": ['), attributes, F.lit('], "index_date": "2001-11-01", "location": {"city": "'), C("district"), F.lit('", "zipcode": "25000", "lat": '),
+        F.when(k % 4 == 0, "0").otherwise("47.25"), F.lit(', "lng": 6}, "images": {"urls": ["a", "b"]}, "rooms": '), F.when(k % 5 == 0, F.lit('"3"')).otherwise(F.coalesce(C("rooms").cast("string"), F.lit("null"))), F.lit("}"),
+    )
+    return views.listings(spark, sf_dir).select("id", "district", "energy", "url", "address", F.parse_json(ad).alias("ad"))
+
+
+_PRICES = "CASE WHEN id % 8 IN (0, 1, 2, 7) THEN CAST(trunc(price) AS INTEGER) END"
+
+
+@query(views.sql(f"""SELECT id AS list_id, {_PRICES} AS price, {_PRICES}::DOUBLE AS rent, CASE WHEN surface IS NOT NULL THEN CAST(CAST(surface AS BIGINT) AS DOUBLE) + 0.5 END AS surface, CASE WHEN id % 9 <> 0 THEN CAST(rooms AS INTEGER) END AS rooms,
+    CASE WHEN id % 3 <> 0 AND energy <> 'X' THEN energy END AS energy, true AS furnished, 12.5::DOUBLE AS charges, district || ', 25000' AS address, CASE WHEN id % 4 <> 0 THEN 47.25::DOUBLE END AS lat,
+    CASE WHEN {_PRICES} <> 90000 THEN '90000:-|' || {_PRICES} || ':2001-11-01' ELSE '' END AS history, 2 AS n_photos FROM listings""", "listings"))
+def ad_variants(spark, sf_dir):
+    """Every listing as an ad in JSON, flattened path by path."""
+    out = src.flatten_variant(_variants(spark, sf_dir), letting=True)
+    held = F.array_join(F.transform("history", lambda h: F.concat(h["price"].cast("string"), F.lit(":"), F.coalesce(h["date"], F.lit("-")))), "|")
+    return out.select("list_id", "price", "rent", "surface", "rooms", "energy", "furnished", "charges", "address", "lat", held.alias("history"), F.size("photos").alias("n_photos"))
+
+
+@query(views.sql("""SELECT id, array_to_string(list_filter([
+      CASE WHEN id % 8 IN (1, 2, 4) THEN 'prix invalide (type list)' WHEN id % 8 = 3 THEN 'prix invalide (type str)' WHEN id % 8 = 5 THEN 'prix manquant' WHEN id % 8 = 6 THEN 'prix invalide (type dict)'
+        WHEN trunc(price) < 10000 THEN 'prix trop bas (' || CAST(trunc(price) AS BIGINT) || ' < 10000)' WHEN trunc(price) > 500000 THEN 'prix trop eleve (' || CAST(trunc(price) AS BIGINT) || ' > 500000)' END,
+      'surface manquante', CASE WHEN id % 5 = 0 THEN 'nb_pieces invalide (type str)' WHEN rooms IS NULL THEN 'nb_pieces manquant' WHEN rooms > 10 THEN 'nb_pieces trop grand (' || rooms || ' > 10)' END,
+      CASE WHEN energy = 'X' THEN 'dpe invalide (''X'' hors A-G)' END,
+      CASE WHEN id % 7 = 0 THEN 'url_source manquante ou vide' WHEN id % 7 = 1 THEN 'url_source invalide (ftp://x.org/' || id || ')' END,
+      CASE WHEN id % 6 = 0 THEN 'adresse manquante ou vide' WHEN id % 6 = 1 THEN 'adresse hors Besancon (' || chr(39) || district || chr(39) || ' ne contient pas ' || '''Besancon''/''Besançon'' ni CP 25xxx)' END], lambda r: r IS NOT NULL), '; ') AS reasons FROM listings""", "listings"))
+def ad_reject_texts(spark, sf_dir):
+    """Every reason in words that an ad's values, as parsed, are rejected for."""
+    own, at = _variants(spark, sf_dir), lambda path: F.try_variant_get("ad", path, "variant")
+    url = F.when(C("id") % 7 == 0, " ").when(C("id") % 7 == 1, F.concat(F.lit("ftp://x.org/"), C("id").cast("string"))).otherwise(C("url"))
+    address = F.when(C("id") % 6 == 0, F.lit(None)).when(C("id") % 6 == 1, C("district")).otherwise(C("address"))
+    found = validation.sale_variant_texts(at("$.price"), at("$.square"), at("$.rooms"), C("energy"), url, address)
+    return own.select("id", F.array_join(found, "; ").alias("reasons"))
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bon_etat' WHEN 1 THEN 'inconnu' END AS state, CASE event_id % 4 WHEN 0 THEN 100.0::DOUBLE WHEN 1 THEN 1200.0::DOUBLE / (event_id % 9 + 1) END AS lot_charges FROM events""")
 def llm_json_parse(spark, sf_dir):
     k = C("event_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RetentionConfig
-from ..streaming import twins
+from ..streaming import registry, twins
 from . import views
 from .registry import registrar
 
@@ -69,3 +69,35 @@ def dedup_watermark_stream(spark, sf_dir):
 def freshness_window_stream(spark, sf_dir):
     own = stream(spark, sf_dir, "events").select(C("ts").cast("timestamp").alias("at"), (C("event_type") == "signup").cast("long").alias("fresh"))
     return drained(twins.daily_freshness(own)).select(C("window.start").cast("timestamp_ntz").alias("day"), "runs", "fresh")
+
+
+_LEVEL = "CASE o_orderkey % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'bon' ELSE 'veille' END"
+
+
+def _alert_rows(spark: SparkSession, sf_dir: str, urls: int) -> DataFrame:
+    level = F.when(C("o_orderkey") % 3 == 0, "top").when(C("o_orderkey") % 3 == 1, "bon").otherwise("veille")
+    url = F.concat(F.lit("u"), (C("o_custkey") % urls).cast("string"))
+    return stream(spark, sf_dir, "orders").select(url.alias("url"), level.alias("level"), C("o_totalprice").alias("price"), C("o_orderkey").alias("seq"), C("o_orderdate").cast("timestamp").alias("at"))
+
+
+@query(f"""WITH o AS (SELECT 'u' || (o_custkey % 900) AS url, {_LEVEL} AS level, o_totalprice AS price, o_orderkey AS seq FROM orders),
+    r AS (SELECT *, min(price) OVER (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored FROM o)
+    SELECT url, level, price, seq, CASE WHEN stored IS NULL THEN 'new' ELSE 'drop' END AS action FROM r WHERE stored IS NULL OR price < stored""")
+def alert_sink_stream(spark, sf_dir):
+    """Alerts of every order as a listing, as the sink has written them by batch."""
+    return _sunk(spark, sf_dir).alerts().drop("batch")
+
+
+@query(f"""WITH o AS (SELECT 'u' || (o_custkey % 900) AS url, {_LEVEL} AS level, o_totalprice AS price, o_orderkey AS seq FROM orders)
+    SELECT url, arg_min(level, (price, seq)) AS level, min(price) AS price, TIMESTAMP '2001-12-01' AS first_sent, TIMESTAMP '2001-12-01' AS last_sent FROM o GROUP BY url""")
+def alert_sink_registry(spark, sf_dir):
+    """The registry that those alerts lead to: an alert for each URL's first price and for each lower one, the last and lowest of which is held."""
+    out = _sunk(spark, sf_dir).registry()
+    return out.withColumns({c: C(c).cast("timestamp_ntz") for c in ("first_sent", "last_sent")})
+
+
+def _sunk(spark: SparkSession, sf_dir: str) -> registry.AlertSink:
+    folder = _folder(spark)
+    sink = registry.AlertSink(spark, f"{folder}/sink", lambda number: views.AS_OF)
+    _alert_rows(spark, sf_dir, 900).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return sink

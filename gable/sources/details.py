@@ -64,10 +64,10 @@ def detail_fields(found: Column, letting: Column) -> dict[str, Column]:
     def value(name: str, last: bool = False) -> Column:
         return F.try_element_at(F.filter(found, lambda x: F.coalesce(field(x["label"]) == name, F.lit(False))), F.lit(-1 if last else 1))["value"]
 
-    letters = F.filter(F.transform(F.filter(found, lambda x: F.coalesce(field(x["label"]) == "energy", F.lit(False))), lambda x: text.energy_any(x["value"])), lambda x: x.isNotNull())
+    letters = F.filter(F.transform(F.filter(found, lambda x: F.coalesce(field(x["label"]) == "energy", F.lit(False))), lambda x: text.energy_strict(x["value"])), lambda x: x.isNotNull())
     return {
-        "surface": text.surface_in_text(value("surface")), "rooms": text.first_int(value("rooms")), "floor": text.first_int(value("floor", True)), "charges": text.amount(value("charges", True)),
-        "energy": F.try_element_at(letters, F.lit(1)), "furnished": F.when(letting, F.lower(value("furnished", True)).isin("oui", "meublé", "meuble")), "rent": F.when(letting, text.amount(value("rent"))),
+        "surface": text.surface_in_text(value("surface")), "rooms": text.first_int(value("rooms")), "floor": text.first_int(value("floor", True)), "charges": text.amount_last_separator(value("charges", True)),
+        "energy": F.try_element_at(letters, F.lit(1)), "furnished": F.when(letting, F.lower(value("furnished", True)).isin("oui", "meublé", "meuble")), "rent": F.when(letting, text.amount_last_separator(value("rent"))),
     }
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -17,6 +16,8 @@ AD = "list_id long, url string, subject string, body string, price array<int>, f
 # Codes of the state of a dwelling.
 CONDITIONS = {"1": "neuf", "2": "tres_bon_etat", "3": "bon_etat", "4": "a_rafraichir", "5": "a_renover"}
 STATES = ("neuf", "tres_bon_etat", "bon_etat", "correct", "a_rafraichir", "travaux_importants", "a_renover", "inconnu")
+#: A price that a listing had.
+HELD = "struct<price:int,date:string>"
 ANSWER_KEYS = ("signaux_nego", "etat_bien", "equipements", "red_flags", "info_copro", "estimation_travaux", "scenarios_location", "prix_m2_marche", "resume")
 ANSWER = "signaux_nego array<string>, etat_bien string, equipements array<string>, red_flags array<string>, info_copro struct<nb_lots:int,charges_annuelles_copro:double,charges_annuelles_lot:double,charges_annuelles:double>, estimation_travaux struct<necessaire:boolean,description:string,budget_bas:double,budget_haut:double>, scenarios_location struct<standard:struct<loyer_nu:double,loyer_meuble:double>,colocation:struct<nb_chambres:int,loyer_par_chambre:double,loyer_total:double>>, prix_m2_marche struct<fourchette_basse:double,fourchette_haute:double>, resume string"
 
@@ -75,6 +76,55 @@ def flatten_ad(rows: DataFrame, ad: str = "ad") -> DataFrame:
     )
 
 
+def variant_kind(v: Column) -> Column:
+    """What a variant holds: number, str, list, dict or bool; null for a JSON null and for nothing."""
+    found = F.schema_of_variant(v)
+    return (
+        F.when(found.startswith("ARRAY"), "list").when(found.startswith("OBJECT"), "dict").when(found == "STRING", "str").when(found == "BOOLEAN", "bool")
+        .when(found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number")
+    )
+
+
+def variant_number(v: Column) -> Column:
+    """The double in a variant, or 1 and 0 for true and false; null for text, lists and objects."""
+    return F.when(variant_kind(v).isin("number", "bool"), F.try_variant_get(v, "$", "double"))
+
+
+def variant_price(v: Column) -> Column:
+    """A price as ads give it: a number, or a list whose first is a number or a whole number as text; decimals are cut off."""
+    first = F.try_variant_get(v, "$[0]", "variant")
+    listed = F.coalesce(variant_number(first), F.when(variant_kind(first) == "str", F.try_variant_get(first, "$", "string").try_cast("long").cast("double")))
+    return F.when(variant_kind(v) == "list", listed).otherwise(variant_number(v)).cast("long").try_cast("int")
+
+
+def flatten_variant(rows: DataFrame, ad: str = "ad", letting: bool = False) -> DataFrame:
+    """Flat listings of ads held as variants. Each path is read by itself: one of another type, or missing, is null and leaves the others alone.
+
+    Of a repeated attribute the last value counts. Rent and furnishing are read of lettings only.
+    """
+    at = lambda path, kind: F.try_variant_get(F.col(ad), path, kind)
+    pair = lambda x: F.struct(F.try_variant_get(x, "$.key", "string").alias("key"), F.try_variant_get(x, "$.value", "string").alias("value"))
+    listed = F.transform(F.coalesce(at("$.attributes", "array<variant>"), F.array().cast("array<variant>")), pair)
+    own = rows.withColumn("_listed", listed).withColumn("_price", variant_price(at("$.price", "variant")))
+    get = lambda key: F.nullif(F.try_element_at(F.filter("_listed", lambda a: F.coalesce(a["key"] == key, F.lit(False))), F.lit(-1))["value"], F.lit(""))
+    decimal = lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
+    letter = lambda c: F.when(F.upper(c).rlike("^[A-G]$"), F.upper(c))
+    price, old, condition = F.col("_price"), get("old_price").try_cast("int"), get("global_condition")
+    place = F.filter(F.array(*(at(f"$.location.{c}", "string") for c in ("address", "city", "zipcode"))), lambda p: F.coalesce(p, F.lit("")) != "")
+    lat, lon = at("$.location.lat", "double"), at("$.location.lng", "double")
+    held = F.array(F.struct(old.alias("price"), F.lit(None).cast("string").alias("date")), F.struct(price.alias("price"), at("$.index_date", "string").alias("date")))
+    return own.select(
+        at("$.list_id", "long").alias("list_id"), at("$.url", "string").alias("url"), at("$.subject", "string").alias("title"), F.nullif(at("$.body", "string"), F.lit("")).alias("description"), price.alias("price"),
+        decimal(get("square")).alias("surface"), get("rooms").try_cast("int").alias("rooms"), letter(get("energy_rate")).alias("energy"), letter(get("ges")).alias("emissions"), get("floor_number").try_cast("int").alias("floor"),
+        (F.lower(get("furnished")).isin("1", "true", "oui") if letting else F.lit(None).cast("boolean")).alias("furnished"), (F.when(price != 0, price.cast("double")) if letting else F.lit(None).cast("double")).alias("rent"),
+        F.coalesce(decimal(get("annual_charges")), decimal(get("charges_included"))).alias("charges"), get("price_per_square_meter").try_cast("int").alias("price_m2"),
+        F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CONDITIONS.items() for x in p]), condition), condition).alias("condition"),
+        F.nullif(F.array_join(place, ", "), F.lit("")).alias("address"), F.nullif(at("$.location.district", "string"), F.lit("")).alias("district"),
+        F.when((lat != 0) & (lon != 0), lat).alias("lat"), F.when((lat != 0) & (lon != 0), lon).alias("lon"), F.when((price != 0) & (old != price), held).otherwise(F.array().cast(f"array<{HELD}>")).alias("history"),
+        F.coalesce(at("$.images.urls", "array<string>"), F.array().cast("array<string>")).alias("photos"), F.nullif(at("$.first_publication_date", "string"), F.lit("")).alias("published"),
+    )
+
+
 def embedded_json(page: Column, schema: str) -> Column:
     """The JSON a page embeds for its own script, parsed."""
     return F.from_json(F.nullif(F.regexp_extract(page, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), F.lit("")), schema)
@@ -92,12 +142,6 @@ def links(page: Column) -> Column:
     return F.transform(listed, lambda a: F.struct(F.regexp_extract(a, r'href="([^"]*)"', 1).alias("href"), F.regexp_extract(a, r">([^<]*)</a>", 1).alias("label")))
 
 
-@F.pandas_udf(T.StringType())
-def unescape_html(c: pd.Series) -> pd.Series:
-    """Every HTML entity; the native text function covers the common ones."""
-    return c.map(lambda t: None if t is None else html.unescape(t))
-
-
 @F.pandas_udf(T.StringType())
 def absolute_url(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", u) if u and (b or "://" in u) else None for u, b in zip(url, base)])
