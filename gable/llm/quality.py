@@ -4,8 +4,8 @@ Two generative models over hashed token unigrams and bigrams (BUCKETS columns, a
 good, on the learning side) and of raw text (all documents). The importance weight of a document is the ratio of the two; its
 logarithm, taken for each n-gram, ranks documents whatever their length (sums over n-grams would let long texts win or lose by length
 alone). Documents are drawn without replacement by Gumbel top-k: the k largest of log weight / temperature + Gumbel noise, the noise a
-function of the row's id and text, so that a repeated task draws alike. At this temperature documents near the k-th weight are
-drawn by chance, those far from it are not (README gives figures for others).
+function of the row's id and text, so that a repeated task draws alike. The temperature is fitted: the highest of TEMPERATURES at which the draw is expected
+to keep GOOD_KEPT of the labelled good documents. So chance decides as widely around the k-th weight as the labels bear.
 
 k is no constant: it is the share of documents above the weight that parts good from bad labels best (see `keep_share`). The k-th key is
 found by counting keys in a fixed number of bins, then ranking inside one bin; no task sorts all rows.
@@ -30,8 +30,9 @@ from .common import Tokens, bounded_sample, by_bytes, joined_bytes, keep_rows, m
 BUCKETS = 1 << 16
 #: Labelled documents that the target model is fitted on, at most (their ids are broadcast: 8 MB).
 TARGET = 1_000_000
-#: Log weights for each n-gram are divided by this before the noise is added.
-TEMPERATURE = 1 / 30
+#: Log weights for each n-gram are divided by one of these before the noise is added: the first that keeps so much of the labelled good documents.
+TEMPERATURES = tuple(2.0 ** (-i / 2) for i in range(17))
+GOOD_KEPT = 0.995
 #: Bins in which keys are counted to find the k-th largest.
 BINS = 4096
 #: Rows among which the k-th largest is found by sorting, at most (but for equal keys).
@@ -137,33 +138,48 @@ def top_k(rows: DataFrame, k: int, total: int, few: int = EDGE) -> DataFrame:
     return rows.withColumn("selected", (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & same))
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, text_hash, n_grams, log_weight, key and selected of every document. Labels are learned from rows that may be learned from only."""
+def resample(docs: DataFrame, labels: DataFrame, temperature: float | None = None) -> DataFrame:
+    """doc_id, text_hash, n_grams, log_weight, temperature, key and selected of every document. Labels are learned from rows that may be learned from only.
+
+    temperature: that of the draw, fitted if it isn't given.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(may_learn()).where("quality is not null and doc_id is not null")
     good = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = good.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     target = bounded_sample(good.where("quality = 1"), "quality", TARGET)
     scored = write_table(weights(docs, log_ratio(docs, target)), "weights")
-    scored = scored.withColumn("key", F.col("log_weight") / temperature + gumbel())
-    total = scored.count()
-    # Labels may cover other documents than these: the share is of labelled documents that are here and good.
-    keep = keep_share(scored, good) if share[0] else 1.0
-    return top_k(scored, round(keep * total), total)
-
-
-def keep_share(scored: DataFrame, good: DataFrame) -> float:
-    """The share of these documents to draw: of all rows, those whose weight is over the weight that parts good from bad labels best."""
-    pairs = scored.join(good, "doc_id").select(F.round("log_weight", 4).alias("w"), "quality").groupBy("w").agg(F.count("*").alias("n"), F.sum("quality").alias("g"))
-    rows = pairs.orderBy("w").collect()  # one row for each rounded weight: some thousands, whatever the corpus
-    if not rows or sum(r["g"] for r in rows) in (0, sum(r["n"] for r in rows)):
+    # Labels may cover other documents than these: what is fitted is fitted on labelled documents that are here.
+    spread = scored.groupBy(F.round("log_weight", 4).alias("w")).agg(F.count("*").alias("n"))
+    labelled = scored.join(good, "doc_id").groupBy(F.round("log_weight", 4).alias("w")).agg(F.count("*").alias("labelled"), F.sum("quality").alias("good"))
+    # a row for each rounded weight: some thousands, whatever the corpus
+    found = np.array([[float(x or 0) for x in r] for r in spread.join(labelled, "w", "left").select("w", "n", "labelled", "good").orderBy("w").collect()]).reshape(-1, 4)
+    w, n, good_n, bad_n = found[:, 0], found[:, 1], found[:, 3], found[:, 2] - found[:, 3]
+    k = round(keep_share(n, good_n, bad_n) * n.sum())
+    if temperature is None:
+        temperature = next((t for t in TEMPERATURES if expected_kept(w, n, good_n, k, t) >= GOOD_KEPT), TEMPERATURES[-1])
+    scored = scored.withColumn("temperature", F.lit(float(temperature))).withColumn("key", F.col("log_weight") / temperature + gumbel())
+    return top_k(scored, k, int(n.sum()))
+
+
+def keep_share(n: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The share of all documents to draw: those over the weight that parts good from bad labels best. All by ascending weight."""
+    if not good.sum() or not bad.sum():
         return 1.0
-    n, g = np.array([r["n"] for r in rows], float), np.array([r["g"] for r in rows], float)
-    kept_good, dropped_bad = 1 - np.cumsum(g) / g.sum(), np.cumsum(n - g) / (n - g).sum()
+    kept_good, dropped_bad = 1 - np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
     # a good document lost weighs as much as several bad ones kept
     k = int((20 * kept_good + dropped_bad).argmax())
-    cut = rows[k]["w"] if 20 * kept_good[k] + dropped_bad[k] > 20 else -float("inf")
-    share = scored.agg(F.avg((F.col("log_weight") > cut + 5e-5).cast("double"))).first()[0]
-    return share if share is not None else 1.0
+    return float(n[k + 1 :].sum() / n.sum()) if 20 * kept_good[k] + dropped_bad[k] > 20 else 1.0
+
+
+def expected_kept(w: np.ndarray, n: np.ndarray, good: np.ndarray, k: int, temperature: float) -> float:
+    """The share of good documents among the k drawn of n documents by weight, expected."""
+    if k >= n.sum() or not good.sum():
+        return 1.0
+    drawn = lambda t: -np.expm1(-np.exp(np.minimum(w / temperature - t, 700)))  # noqa: E731  P(noise > t - w / temperature)
+    low, high = w.min() / temperature - 50, w.max() / temperature + 50
+    for _ in range(80):  # the key that k documents are expected to exceed
+        t = (low + high) / 2
+        low, high = (t, high) if (n * drawn(t)).sum() > k else (low, t)
+    return float((good * drawn(low)).sum() / good.sum())
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -88,22 +88,34 @@ def test_quality_top_k_is_exact(spark, few):
 
 
 def test_quality_draw_is_gumbel_top_k(docs, labels):
-    """The draw equals a brute-force one, and isn't the cut at the k-th weight."""
-    apart = {}
-    for temperature in (quality.TEMPERATURE, 1.0):
-        out = quality.resample(docs, labels, temperature).withColumn("noise", quality.gumbel()).toPandas()
-        k, key = int(out["selected"].sum()), out["log_weight"] / temperature + out["noise"]
-        assert np.allclose(key, out["key"])
-        order = np.lexsort((out["doc_id"], -out["key"]))
-        assert out["selected"].to_numpy()[order].tolist() == [True] * k + [False] * (len(out) - k)
-        cut = np.zeros(len(out), bool)
-        cut[np.argsort(-out["log_weight"].to_numpy(), kind="stable")[:k]] = True
-        apart[temperature] = int((cut != out["selected"]).sum())
-    assert apart[1.0] > 50
+    """The draw equals a brute-force one, and isn't the cut at the k-th weight, at the temperature that is fitted."""
+    out = quality.resample(docs, labels).withColumn("noise", quality.gumbel()).toPandas()
+    (temperature,) = set(out["temperature"])
+    assert temperature in quality.TEMPERATURES
+    k, key = int(out["selected"].sum()), out["log_weight"] / temperature + out["noise"]
+    assert np.allclose(key, out["key"]) and 0 < k < len(out)
+    order = np.lexsort((out["doc_id"], -out["key"]))
+    assert out["selected"].to_numpy()[order].tolist() == [True] * k + [False] * (len(out) - k)
+    cut = np.zeros(len(out), bool)
+    cut[np.argsort(-out["log_weight"].to_numpy(), kind="stable")[:k]] = True
+    assert (cut != out["selected"]).sum() >= 2
     noise = out["noise"].to_numpy()
     assert abs(noise.mean() - 0.5772) < 0.15 and abs(noise.std() - 1.2825) < 0.15
 
 
+def test_temperature_is_the_highest_that_keeps_the_good():
+    """What is expected to be kept of the good agrees with draws, and falls as the temperature rises."""
+    rng = np.random.default_rng(9)
+    w, n, good = np.linspace(-1, 1, 41), np.full(41, 50.0), np.r_[np.zeros(20), np.full(21, 5.0)]
+    flat, weight = np.repeat(w, 50), np.repeat(good / 50, 50)
+    shares = []
+    for t in (1.0, 0.3, 0.1, 0.03):
+        drawn = [np.argsort(-(flat / t + rng.gumbel(size=len(flat))))[:1000] for _ in range(60)]
+        shares.append(quality.expected_kept(w, n, good, 1000, t))
+        assert abs(shares[-1] - np.mean([weight[d].sum() for d in drawn]) / good.sum()) < 0.01
+    assert shares == sorted(shares) and quality.expected_kept(w, n, good, 2050, 1.0) == 1.0
+
+
 def test_quality_weights_are_ratios_of_the_models(spark):
     """Ratios and weights of a small table, counted by hand."""
     texts = {1: "good words here", 2: "good words", 3: "bad stuff", 4: "", 5: None}
