@@ -22,16 +22,16 @@ def values(spark, expression, rows, kind="string"):
         (text.surface_text, ["42 m²", "42.5m²", "42,5 m2", "grand", None], [42.0, 42.5, 42.5, None, None]),
         (text.surface_in_text, ["appart 42,5 m2 net", "no"], [42.5, None]),
         (text.energy_any, ["c", "", "X", "NON COMMUNIQUE", None], ["C", None, None, "C", None]),
-        (text.energy_strict, ["DPE: d", "NON COMMUNIQUE", "G"], ["D", None, "G"]),
+        (text.energy_strict, ["DPE: d", "NON COMMUNIQUE", "G", "classe :  c ", "BC"], ["D", None, "G", "C", None]),
         (text.floor_number, ["3ème étage", "RDC", "1er", "rez-de-chaussée", "dernier"], [3, 0, 1, 0, None]),
         (text.first_int, ["T3", "3 pièces", "studio"], [3, 3, None]),
         (text.digits_to_int, ["145 000 €", "145,000", "", None], [145000, 145000, None, None]),
         (text.amount, ["1.234,56", "99,5 €", "x"], [None, 99.5, None]),
-        (text.amount_last_separator, ["1.234,56", "1.500", "12", "x"], [1234.56, 1.5, 12.0, None]),
-        (text.html_text, ["Ligne 1<br/>Ligne 2", "a &amp; b", "<p> </p>", "a\n\n\n\nb"], ["Ligne 1\nLigne 2", "a & b", None, "a\n\nb"]),
+        (text.amount_last_separator, ["1.234,56", "1.500", "12", "x", "5-7 €", "120 € / mois", "1.5.", ","], [1234.56, 1.5, 12.0, None, 57.0, 120.0, 15.0, None]),
+        (text.html_text, ["Ligne 1<br/>Ligne 2", "a &amp; b", "<p> </p>", "a\n\n\n\nb", "&egrave;&euro;&#8217;&#x41;&notit; &lt;b&gt;", None], ["Ligne 1\nLigne 2", "a & b", None, "a\n\nb", "è€’A¬it; <b>", None]),
         (text.valid_url, ["https://a.b/c", "ftp://a.b", "http://localhost", None], [True, False, False, False]),
-        (text.escape_markdown, ["a_b.c", "x!"], ["a\\_b\\.c", "x\\!"]),
-        (text.escape_markdown_once, ["a\\_b_c"], ["a\\_b\\_c"]),
+        (text.escape_markdown, ["a_b.c", "x!", "a, b\\"], ["a\\_b\\.c", "x\\!", "a, b\\\\"]),
+        (text.escape_markdown_once, ["a\\_b_c", "*x* [y](z) `q`"], ["a\\_b\\_c", "*x* [y](z) \\`q\\`"]),
         (text.mask_password, ["postgresql://u:p@h/d"], ["postgresql://u:***@h/d"]),
         (text.url_in_text, ["see https://a.b/c)."], ["https://a.b/c"]),
         (text.address_form, ["12 r. de la republique", "  ", "3 bd carnot"], ["12 Rue de la Republique", None, "3 Boulevard Carnot"]),
@@ -51,9 +51,9 @@ def test_canonical_urls(spark):
 
 def test_dates(spark):
     day = dt.date(2026, 3, 10)
-    given = ["Aujourd'hui", "hier", "2026-03-09", "2026-03-09T14:30:00", "10/03/2026", "1-2-2026", "10 mars 2026", "3 Août 2025", "31/02/2026", "soon", None]
+    given = ["Aujourd'hui", "hier", "2026-03-09", "2026-03-09T14:30:00", "10/03/2026", "1-2-2026", "10 mars 2026", "3 Août 2025", "31/02/2026", "soon", None, "aujourd hui", " AUJOURDHUI ", "2026-03-10T99:99:99", "2026-03-10 14:30:00", "2026-02-30T10:00:00"]
     found = values(spark, lambda c: dates.listing_date(c, day), given)
-    assert found == [dt.datetime(2026, 3, 10), dt.datetime(2026, 3, 9), dt.datetime(2026, 3, 9), dt.datetime(2026, 3, 9, 14, 30), dt.datetime(2026, 3, 10), dt.datetime(2026, 2, 1), dt.datetime(2026, 3, 10), dt.datetime(2025, 8, 3), None, None, None]
+    assert found == [dt.datetime(2026, 3, 10), dt.datetime(2026, 3, 9), dt.datetime(2026, 3, 9), dt.datetime(2026, 3, 9, 14, 30), dt.datetime(2026, 3, 10), dt.datetime(2026, 2, 1), dt.datetime(2026, 3, 10), dt.datetime(2025, 8, 3), None, None, None, dt.datetime(2026, 3, 10), dt.datetime(2026, 3, 10), None, dt.datetime(2026, 3, 10), None]
 
 
 def test_decay(spark):
@@ -76,6 +76,8 @@ def test_finance(spark):
     df = spark.createDataFrame(levels, "s double, y double, b double")
     assert [r[0] for r in df.select(finance.alert_level(F.col("s"), F.col("y"), F.col("b"))).collect()] == ["top", "top", "bon", "bon", "veille"]
     assert one.select(finance.surface_adjusted(F.lit(580.0), F.lit("T3"), F.lit(55.0)), finance.surface_adjusted(F.lit(100.0), F.lit("T1"), F.lit(100.0))).first() == (580.0, pytest.approx(115.0))
+    same = [finance.surface_adjusted(F.lit(500.0), F.lit(k), F.lit(s).cast("double")) for k, s in (("T1", 0.0), ("T1", -3.0), ("T9", 40.0), ("T2", None))]
+    assert one.select(*same).first() == (500.0,) * 4
     parts = {"yield": F.lit(10.0), "location": F.lit(70.0), "energy": F.lit(65.0), "negotiation": F.lit(30.0), "vacancy": F.lit(90.0)}
     assert one.select(finance.composite(parts)).first()[0] == pytest.approx(43.25)
     tax = finance.fiscal(F.lit(7200.0), F.lit(None).cast("double"))
@@ -101,6 +103,68 @@ def test_validation(spark):
     assert (ok.count(), bad.count()) == (2, 2)
 
 
+def test_bounds_hold_after_truncation_and_energy_is_a_capital(spark):
+    rows = [(500_000.9, 10.0, 10.9, "c"), (9_999.9, 300.5, 0.9, "C"), (-0.5, 20.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "p double, s double, r double, e string").withColumns({"u": F.lit("https://a.fr/1"), "a": F.lit("Besançon")})
+    assert [r[0] for r in df.select(validation.sale_reasons(*map(F.col, "psreua"))).collect()] == [["energy invalid"], ["price low", "surface high", "rooms low"], ["price low"]]
+
+
+def test_rounding_and_completeness_are_pythons(spark):
+    import random
+
+    rng = random.Random(7)
+    given = [rng.choice([rng.uniform(-3000, 3000), round(rng.uniform(0, 3000), 3), rng.randint(0, 4000) / 8, 500.5 * 1.15, 2.675, -2.675, 0.125, 1e15 + 0.3]) for _ in range(4000)]
+    assert values(spark, text.round_half_even, given, "double") == [round(x, 2) + 0.0 for x in given]
+    fields = [F.when(F.col("x") > i, F.lit("v")).otherwise(F.lit("\t\n ")) for i in range(8)]
+    assert values(spark, lambda c: text.completeness(*fields), list(range(9)), "int") == [round(n / 8, 2) for n in range(9)]
+
+
+def test_estimates_are_adjusted_for_the_surface(spark):
+    rows = [("Battant", "T1", False, 100.0, "Battant"), ("Battant", "T1", False, 25.0, "Battant"), ("Other", "T1", True, 100.0, "Battant"), ("Battant", "T7", False, 100.0, "None")]
+    asked = spark.createDataFrame(rows, "district string, kind string, furnished boolean, surface double, matched string")
+    ref = spark.createDataFrame([("Battant", "T1", False, 500.0, 9), ("Other", "T1", True, 900.0, 4)], "district string, kind string, furnished boolean, rent_median double, n int")
+    fall = spark.createDataFrame([("Battant", "T1", True, 430.0)], "district string, kind string, furnished boolean, fallback double")
+    found = [(r["estimate"], r["reliability"]) for r in observatory.estimate(asked, ref, fall).orderBy("kind", "district", "surface").collect()]
+    assert found == [(500.0, "fiable"), (575.0, "fiable"), (494.5, "preliminaire"), (None, "indisponible")]
+
+
+def test_prices_of_ads_are_numbers_or_lists(spark):
+    given = ["1000", "[1000]", "[1000.9, 5]", "1000.7", '["1000"]', '["x"]', "[]", '"1000"', "null", '{"a": 1}', "true", "-3.9"]
+    rows = [(i, f'{{"list_id": {i}, "price": {p}, "attributes": null, "location": "x"}}') for i, p in enumerate(given)] + [(99, "{}")]
+    df = spark.createDataFrame(rows, "i int, x string").select("i", F.parse_json("x").alias("ad"))
+    assert [r["price"] for r in listings.flatten_variant(df).orderBy(F.asc_nulls_last("list_id")).collect()] == [1000, 1000, 1000, 1000, 1000, None, None, None, None, None, 1, -3, None]
+
+
+def test_values_of_ads_fail_by_path(spark):
+    ad = """{"list_id": "7", "price": [95000.5], "subject": {"no": 1}, "index_date": "2026-03-01", "attributes": [{"key": "square", "value": "40,5"}, {"key": "square", "value": 41}, {"key": "rooms", "value": "x"},
+        {"key": "energy_rate", "value": "Vierge"}, {"key": "ges", "value": "b"}, {"key": "old_price", "value": "0"}, {"key": "annual_charges", "value": ""}, {"key": "charges_included", "value": "12,5"}, {"key": "furnished", "value": "2"}, 5, {"value": "no key"}],
+        "location": {"address": "", "city": "Besançon", "zipcode": 25000, "lat": 47.2, "lng": 0}, "images": null, "body": ""}"""
+    df = spark.createDataFrame([(ad,)], "x string").select(F.parse_json("x").alias("ad"))
+    (row,) = listings.flatten_variant(df, letting=True).collect()
+    assert (row["price"], row["rent"], row["surface"], row["rooms"], row["energy"], row["emissions"], row["charges"], row["furnished"]) == (95000, 95000.0, 41.0, None, None, "B", 12.5, False)
+    assert (row["address"], row["lat"], row["lon"], row["photos"], row["description"], [tuple(h) for h in row["history"]]) == ("Besançon, 25000", None, None, [], None, [(0, None), (95000, "2026-03-01")])
+    (row,) = listings.flatten_variant(df).collect()
+    assert (row["rent"], row["furnished"]) == (None, None)
+
+
+def test_reasons_in_words(spark):
+    ads = ['{"p": "5", "s": [1], "r": {}}', '{"p": 0, "s": 5, "r": 0}', '{"p": 5000.9, "s": 12345678.25, "r": 11.9}', '{"p": 600000, "s": null, "r": true}', '{"p": 150.5, "s": 20, "r": 2}']
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(ads)], "i int, x string").select("i", F.parse_json("x").alias("v"))
+    p, s, r = (F.try_variant_get("v", f"$.{c}", "variant") for c in "psr")
+    url = F.when(F.col("i") == 1, "  ").when(F.col("i") == 2, "ftp://a").otherwise("https://a.fr/1")
+    address = F.when(F.col("i") == 1, None).when(F.col("i") == 2, "75001 Paris").otherwise("25000 B")
+    energy = F.when(F.col("i") == 2, "c")
+    sale = [x[0] for x in df.orderBy("i").select(validation.sale_variant_texts(p, s, r, energy, url, address)).collect()]
+    assert sale == [
+        ["prix invalide (type str)", "surface invalide (type list)", "nb_pieces invalide (type dict)"],
+        ["prix negatif ou nul (0)", "surface trop petite (5.0 < 10.0)", "nb_pieces trop petit (0 < 1)", "url_source manquante ou vide", "adresse manquante ou vide"],
+        ["prix trop bas (5000 < 10000)", "surface trop grande (12345678.25 > 300.0)", "nb_pieces trop grand (11 > 10)", "dpe invalide ('c' hors A-G)", "url_source invalide (ftp://a)", "adresse hors Besancon ('75001 Paris' ne contient pas 'Besancon'/'Besançon' ni CP 25xxx)"],
+        ["prix trop eleve (600000 > 500000)", "surface manquante"], ["prix trop bas (150 < 10000)"],
+    ]
+    rent = [x[0] for x in df.orderBy("i").select(validation.rent_variant_texts(p, s, r, url, address)).collect()]
+    assert rent[0][0] == "loyer_cc invalide (type str)" and rent[1][0] == "loyer negatif ou nul (0.0)" and rent[2][0] == "loyer trop eleve (5000.9 > 3000.0)" and rent[4] == ["loyer trop bas (150.5 < 200.0)"]
+
+
 def pairs(spark, rows, exact=True):
     df = spark.createDataFrame(rows, "rank int, address string, surface double, price double").withColumn("key", text.address_key(F.col("address")))
     return {r["rank"]: r["duplicates"] for r in dedup.fuzzy_duplicates(df, exact=exact).collect()}

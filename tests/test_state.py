@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from gable.operators import alerts, health, maintenance, observatory, validation
 from gable.sources import tables
 from pyspark.sql import functions as F
@@ -115,6 +116,25 @@ def test_quantiles_of_ties_nulls_and_single_values(spark):
     assert got == {k: (float(np.quantile(vs, 0.25)), float(np.median(vs)), len(vs)) for k, vs in kept.items() if vs}
 
 
+@pytest.mark.parametrize("bins", [2, 7, 1024])
+def test_order_statistics_of_one_large_group(spark, bins):
+    """Most rows in one group, values of very different sizes, ties, weights; against numpy and a sorted walk."""
+    import numpy as np
+
+    rng = np.random.default_rng(bins)
+    v = np.concatenate([rng.lognormal(0, 4, 900), rng.integers(0, 5, 300).astype(float), [-1e12, 1e15]])
+    rows = [("a" if i % 10 else None, None, "x", float(x), float(w)) for i, (x, w) in enumerate(zip(v, rng.random(len(v))))]
+    df = spark.createDataFrame(rows, "district string, kind string, furnished string, v double, w double").repartition(7)
+    shares = {"q1": 0.25, "m": 0.5, "q99": 0.99}
+    got = {r["district"]: [r[c] for c in shares] + [r["n"]] for r in observatory.quantiles(df, observatory.SEGMENT, "v", shares, "n", bins).collect()}
+    middle = {r["district"]: r["middle"] for r in observatory.weighted_median(df, "v", "w", "middle", bins).collect()}
+    for k in ("a", None):
+        own = sorted((r[3], r[4]) for r in rows if r[0] == k)
+        assert got[k][:3] == pytest.approx([np.quantile([x for x, _ in own], q) for q in shares.values()], rel=1e-12) and got[k][3] == len(own)
+        sums = np.cumsum([w for _, w in own])
+        assert middle[k] == own[int(np.searchsorted(sums, sums[-1] / 2))][0]
+
+
 def test_district_stats_keep_districts_without_a_name_or_a_price(spark):
     rows = spark.createDataFrame([("x", 10.0, 2.0), ("x", 30.0, 2.0), (None, 8.0, 4.0), ("y", None, 4.0), ("y", 5.0, 0.0)], "d string, p double, s double")
     got = {r["district"]: (r["median_m2"], r["n"]) for r in validation.district_stats(rows, "d", "p", "s").collect()}
