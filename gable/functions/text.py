@@ -176,17 +176,18 @@ def completeness(*fields: Column) -> Column:
     return round_half_even(sum((F.coalesce(strip(f.cast("string")) != "", F.lit(False)).cast("int") for f in fields), F.lit(0)) / len(fields))
 
 
-def round_half_even(c: Column) -> Column:
-    """A double to two places by its exact binary value, halves to the even digit: the double nearest to the decimal that comes out.
+def round_half_even(c: Column, places: int = 2) -> Column:
+    """A double to some places (2 at most) by its exact binary value, halves to the even digit: the double nearest to the decimal that comes out.
 
     Beside a whole part the fraction has at most 52 bits, so a hundred times it is exact in a long.
     """
+    unit = 10**places
     size = F.abs(c)
     whole = F.floor(size)
-    bits = ((size - whole) * float(1 << 52)).cast("long") * 100
-    cents, rest = F.shiftright(bits, 52), bits.bitwiseAND((1 << 52) - 1)
-    up = (rest > 1 << 51) | ((rest == 1 << 51) & (cents % 2 == 1))
-    return F.when(size < float(1 << 46), F.signum(c) * (whole * 100 + cents + up.cast("int")) / 100.0).otherwise(c)
+    bits = ((size - whole) * float(1 << 52)).cast("long") * unit
+    parts, rest = F.shiftright(bits, 52), bits.bitwiseAND((1 << 52) - 1)
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & ((whole * unit + parts) % 2 == 1))
+    return F.when(size < float(1 << 46), F.signum(c) * (whole * unit + parts + up.cast("int")) / float(unit)).otherwise(c)
 
 
 def float_text(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetentionConfig, ScoreConfig
-from ..functions import finance, text
+from ..functions import finance, messages, text
 from ..operators import alerts, health, maintenance, observatory, validation
 from ..sources import details as src
 from ..sources import listings as ads
@@ -244,3 +244,26 @@ def digest_message(spark, sf_dir):
     best = graded(spark, sf_dir).orderBy(F.desc("score"), "id").limit(3)
     log = views.run_log(spark, sf_dir).agg(*[F.sum(c).alias(c) for c in ("scraped", "fresh", "errors")], F.array_sort(F.collect_set("source")).alias("sources"))
     return alerts.digest(best, log, views.AS_OF.date())
+
+
+_MONEY = "replace(format('{{:,}}', CAST(round_even({}, 0) AS BIGINT)), ',', ' ') || '€'"
+_RATE = "format('{{:.1f}}%', {})"
+
+
+@query(views.sql(f"""WITH m AS (SELECT *, 400.0::DOUBLE + id % 500 AS rent, CAST(price AS DOUBLE) AS p, coalesce(CAST(surface AS DOUBLE), 0.0::DOUBLE) AS s FROM listings)
+    SELECT id, CASE WHEN id % 2 = 0 THEN '🟢 *TOP OPPORTUNITE*' ELSE '🟡 *BON PLAN*' END || chr(10) || chr(10) || '📍 ' || CASE WHEN id % 10 = 0 THEN 'Adresse inconnue' ELSE address END || ' \\- ' || district || chr(10)
+      || '💰 ' || {_MONEY.format('p')} || ' \\(' || {_MONEY.format('CASE WHEN s > 0 THEN p / s ELSE 0 END')} || '/m²\\)' || chr(10) || '📐 ' || CAST(s AS VARCHAR) || 'm² \\- T' || coalesce(rooms, 0) || chr(10) || '🏷️ DPE: ' || energy || chr(10)
+      || '📊 Score: ' || CAST((id % 1000) / 8.0::DOUBLE AS VARCHAR) || '/100' || chr(10) || '💸 Renta brute: ' || {_RATE.format('rent * 12.0::DOUBLE * 100.0::DOUBLE / (p * 1.0::DOUBLE)')} || chr(10)
+      || CASE WHEN id % 3 = 0 THEN '🏠 Loyer potentiel: ' || CAST(rent AS BIGINT) || '\\-' || CAST(rent + 50 AS BIGINT) || ' EUR/mois \\(nu a meuble\\)' WHEN id % 3 = 1 THEN '🏠 Loyer potentiel: ~' || CAST(rent AS BIGINT) || ' EUR/mois \\(nu\\)' ELSE '🏠 Loyer potentiel: non disponible' END
+      || chr(10) || chr(10) || 'Scenarios nego:' || {' || '.join(f"chr(10) || '• {chr(92)}{chr(92)}-{d}%: ' || " + _RATE.format(f'rent * 12.0::DOUBLE * 100.0::DOUBLE / (p * {1 - d / 100.0}::DOUBLE)') + " || ' " + chr(92) * 2 + "(' || " + _MONEY.format(f'p * {(100 - d) / 100}::DOUBLE') + " || '" + chr(92) * 2 + ")'" for d in (5, 10, 15))}
+      || CASE WHEN id % 4 = 0 THEN chr(10) || chr(10) || '🤖 *Analyse IA:*' || chr(10) || 'Vue\\! N\\.1' || chr(10) || '• Etat: Bon etat' || chr(10) || '• Signaux nego: urgent, vente\\_rapide' || chr(10) || '⚠️ Red flags: toit' || chr(10) || '• Copro: 100\\.5 EUR/an \\(ce lot\\), copro 12 lots' ELSE '' END
+      || chr(10) || chr(10) || '🔗 [Voir l''annonce](' || url || ')' AS message FROM m""".replace(chr(92) * 2, chr(92)), "listings"))
+def alert_templates(spark, sf_dir):
+    """The whole message of every listing as an alert: address, price, size, energy, score, yields, rents, scenarios, the model's answer and the link."""
+    k, rent = C("id"), F.lit(400.0) + C("id") % 500
+    answer = F.when(k % 4 == 0, F.from_json(F.lit('{"resume": "Vue! N.1", "etat_bien": "bon_etat", "signaux_nego": ["urgent", "vente_rapide"], "equipements": [], "red_flags": ["toit"], "info_copro": {"charges_annuelles_lot": 0, "charges_annuelles": 100.5, "nb_lots": 12}}'), ads.ANSWER))
+    said = messages.alert(
+        F.when(k % 2 == 0, "top").otherwise("bon"), F.when(k % 10 != 0, C("address")), C("district"), C("price"), C("surface"), C("rooms"), C("energy"), (k % 1000) / 8.0, {d: finance.gross_yield(C("price"), rent, d) for d in finance.DISCOUNTS},
+        F.when(k % 3 < 2, rent), F.when(k % 3 == 0, rent + 50), answer, C("url"),
+    )
+    return views.listings(spark, sf_dir).select("id", said.alias("message"))

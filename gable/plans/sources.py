@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import validation
+from ..sources import elements, versions
 from ..sources import listings as src
-from . import views
+from . import streams, views
 from .registry import registrar
 
 REGISTER: dict = {}
@@ -165,3 +166,61 @@ def geocode_cache(spark, sf_dir):
 def source_filter(spark, sf_dir):
     own = src.wanted(views.listings(spark, sf_dir).withColumn("city", C("district")), ("NATION_1", "NATION_2"), (1, 3), (30_000, 160_000))
     return own.orderBy(F.desc("published")).select("id", "price", "surface")
+
+
+def _landed(spark, sf_dir) -> DataFrame:
+    """Events as landed pages of searches, seven a search: some failed, empty, without a pivot or last by their own word."""
+    k = C("event_id")
+    ads = F.concat_ws(", ", *(F.when(k % 6 >= n, F.concat(F.lit('{"list_id": '), (k * 10 + n).cast("string"), F.lit(', "price": '), C("value").cast("string"), F.lit("}"))) for n in (1, 2)))
+    rest = F.concat(F.when(k % 13 == 5, F.lit("")).otherwise(F.lit(', "pivot": "p"')), F.when(k % 19 == 1, F.lit(', "max_pages": 3')).otherwise(F.lit("")))
+    body = F.when(k % 17 == 8, F.lit("{oops")).otherwise(F.concat(F.lit('{"ads": ['), ads, F.lit("]"), rest, F.lit("}")))
+    return views.table(spark, sf_dir, "events").select(F.floor(k / 7).alias("search"), (k % 7 + 1).alias("page"), F.when(k % 11 == 3, 503).otherwise(200).alias("status"), body.alias("body")).where(k % 23 != 7)
+
+
+@query("""WITH l AS (SELECT event_id AS k, event_id // 7 AS search, event_id % 7 + 1 AS page, value, event_id % 11 <> 3 AND event_id % 17 <> 8 AS read FROM events WHERE event_id % 23 <> 7 AND event_id % 7 < 5),
+    g AS (SELECT *, CASE WHEN k % 6 >= 2 THEN 2 WHEN k % 6 = 1 THEN 1 ELSE 0 END AS n FROM l),
+    w AS (SELECT *, coalesce(min(CASE WHEN read AND n > 0 AND k % 13 <> 5 AND page < CASE WHEN k % 19 = 1 THEN 3 ELSE 5 END THEN 1 ELSE 0 END) OVER b, 1) AS on_, count(*) OVER b AS behind FROM g WINDOW b AS (PARTITION BY search ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT search, page, k * 10 + i AS list_id, CAST(trunc(value) AS INTEGER) AS price FROM w, range(1, 3) r(i) WHERE read AND on_ = 1 AND behind = page - 1 AND i <= n""")
+def landed_searches(spark, sf_dir):
+    """The ads of landed searches, page by page."""
+    return src.searched(_landed(spark, sf_dir)).select("search", "page", F.try_variant_get("ad", "$.list_id", "long").alias("list_id"), src.variant_price(F.try_variant_get("ad", "$.price", "variant")).alias("price"))
+
+
+@query("""SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')), ' ') AS hrefs, len(regexp_extract_all(html, '<h1[ >]')) AS n_heads FROM pages""")
+def page_elements(spark, sf_dir):
+    """Links of each page's navigation and its headings, by selectors."""
+    own = elements.select(views.table(spark, sf_dir, "pages").select("page_id", "html"), "", {"hrefs": ("nav ul li a[href]", "href"), "heads": ("h1", None)})
+    return own.select("page_id", F.array_join(C("found")["hrefs"], " ").alias("hrefs"), F.size(C("found")["heads"]).cast("long").alias("n_heads"))
+
+
+@query(views.sql("""SELECT id, description || ' & plus' AS description, CASE WHEN id % 3 = 0 THEN 0 ELSE 2 END AS n_photos, strftime(published, '%Y-%m-%d') AS published, CASE WHEN surface IS NOT NULL THEN CAST(surface AS INTEGER) + 0.5::DOUBLE END AS surface, CAST(rooms AS INTEGER) AS rooms,
+    CASE WHEN id % 4 = 0 AND energy <> 'X' THEN energy ELSE 'B' END AS energy, 120.5::DOUBLE AS charges, CASE WHEN id % 2 = 0 THEN true END AS furnished FROM listings""", "listings"))
+def detail_elements(spark, sf_dir):
+    """Every field of a detail page of each listing, by selectors."""
+    own = views.listings(spark, sf_dir)
+
+    def item(label: str, value) -> F.Column:
+        return F.concat(F.lit(f"<div data-qa-id='criteria_item'><div class=x data-qa-id='criteria_item_label'>{label}</div><div data-qa-id=\"criteria_item_value\"><b>"), value, F.lit("</b></div></div>"))
+
+    page = F.concat(
+        F.lit("<html><body><script>var a = '<div>';</script><div data-test-id='ad-description'>"), C("description"), F.lit(" &amp; <i>plus</i></div><div data-test-id=\"ad-dpe\">Classe : "), F.when(C("id") % 4 == 0, C("energy")).otherwise("NON COMMUNIQUE"), F.lit("</div>"),
+        F.when(C("id") % 3 == 0, "<img data-test-id='ad-photo' src=''>").otherwise("<img data-test-id='ad-photo' src='/a.jpg'><p><img data-test-id='ad-photo' src=/b.jpg>"),
+        F.lit("<section>"), item("Surface habitable", F.when(C("surface").isNull(), "?").otherwise(F.concat(C("surface").cast("int").cast("string"), F.lit(",5 m²")))), item("Pièces", F.coalesce(C("rooms").cast("string"), F.lit("?"))), item("Charges", F.lit("120,50 € / mois")),
+        item("Classe énergie", F.lit("B")), item("Meublé", F.lit("Oui")), F.lit("</section><time>no</time><time datetime='"), F.date_format("published", "yyyy-MM-dd"), F.lit("'>x</time></body></html>"),
+    )
+    out = elements.detail_pages(own.select("id", page.alias("html")), C("id") % 2 == 0, "id")
+    return out.select("id", "description", F.size("photos").alias("n_photos"), "published", "surface", "rooms", "energy", "charges", "furnished")
+
+
+@query("""SELECT 1 AS version, c_custkey AS key, 'old' AS place FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT 2, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0
+    UNION ALL SELECT 3, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'seed' END FROM customer""")
+def versioned_table(spark, sf_dir):
+    """A table after a first write, an upsert and a seed, each version as it is read."""
+    own = views.table(spark, sf_dir, "customer").select(C("c_custkey").alias("key"))
+    table = versions.VersionedTable(spark, f"{streams._folder(spark)}/table")
+    table.commit(own.where("key % 2 = 0").withColumn("place", F.lit("old")))
+    table.upsert(own.where("key % 3 = 0").withColumn("place", F.lit("new")), ["key"])
+    table.seed(own.withColumn("place", F.lit("seed")), ["key"])
+    first, second, third = (table.read(n).select(F.lit(n).alias("version"), "key", "place") for n in table.versions())
+    return first.unionByName(second).unionByName(third)

@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,21 @@ def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"ads array<struct<{', '.join(f'{c}' for c in _fields(AD))}>>").option("multiLine", True).json(path).select(F.explode("ads").alias("ad"))
 
 
+def searched(pages: DataFrame, most: int = 5) -> DataFrame:
+    """search, page and ad (a variant) of every ad that landed searches give. pages: search, page (from 1), status, body; a row for each page that was landed.
+
+    A search is read page by page while the page before was read, had ads, named a pivot for the next and wasn't the last by its own `max_pages` or by `most`.
+    A page that failed (status other than 200, no JSON, not landed) ends it: what came before stays, so a search whose first page failed gives no rows.
+    """
+    own = pages.where(F.col("page").between(1, most)).select("search", "page", F.when(F.col("status") == 200, F.try_parse_json("body")).alias("v"))  # the limit reaches the scan
+    own = own.withColumn("ads", F.try_variant_get("v", "$.ads", "array<variant>"))
+    pivot, last = F.try_variant_get("v", "$.pivot", "string"), F.coalesce(F.try_variant_get("v", "$.max_pages", "int"), F.lit(most))
+    goes_on = F.coalesce((F.size("ads") > 0) & (pivot != "") & (F.col("page") < last), F.lit(False))
+    before = Window.partitionBy("search").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # `most` rows a search
+    own = own.withColumn("goes_on", goes_on).withColumn("reached", F.coalesce(F.min("goes_on").over(before), F.lit(True)) & (F.count("*").over(before) == F.col("page") - 1))
+    return own.where("reached").select("search", "page", F.explode("ads").alias("ad"))
+
+
 def _fields(ddl: str) -> list[str]:
     out, depth, word = [], 0, ""
     for ch in ddl:
