@@ -57,3 +57,9 @@ def cached(entries: DataFrame, key: str, at: str) -> DataFrame:
     """A cache after appending: of each key the newest entry."""
     rest = [c for c in entries.columns if c != key]
     return entries.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("_e")).select(key, *(F.col(f"_e.{c}").alias(c) for c in rest))
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modified and size of every file in a folder and those inside it, as a scan that reads no content."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return found.select("path", F.col("modificationTime").cast("timestamp_ntz").alias("modified"), F.col("length").alias("size"))

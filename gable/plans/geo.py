@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..config import GeoConfig
 from ..functions import geo
+from ..operators import spatial
 from . import views
 from .registry import registrar
 
@@ -57,3 +58,13 @@ def district_attributes(spark, sf_dir):
     known = F.broadcast(dims.districts(spark).select(C("district").alias("name"), "appeal", "tension", "risk"))
     out = own.join(known, "name", "left")
     return out.select(C("n_name").alias("district"), F.coalesce("appeal", F.lit(50.0)).alias("appeal"), F.coalesce("tension", F.lit(0.5)).alias("tension"), F.coalesce("risk", F.lit("moyen")).alias("risk"))
+
+
+@query(views.sql(f"""WITH p AS (SELECT id, arg_min(other, (m, other)) AS point, min(m) AS metres FROM (SELECT a.id, b.id AS other, {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM points a, points b WHERE b.id % 5 = 0 AND b.id <> a.id) WHERE m <= 700 GROUP BY 1)
+    SELECT points.id, point, round(metres, 3) AS metres FROM points LEFT JOIN p USING (id)""", "points"))
+def nearest_cells(spark, sf_dir):
+    """The nearest other point of every fifth, within 700 metres, for every point."""
+    own = views.points(spark, sf_dir)
+    found = spatial.near_points(own, own.where("id % 5 = 0"), 700.0).where("id <> point_id")
+    best = found.groupBy("id").agg(F.min(F.struct("metres", "point_id")).alias("b"))
+    return own.select("id").join(best, "id", "left").select("id", C("b.point_id").alias("point"), F.round("b.metres", 3).alias("metres"))

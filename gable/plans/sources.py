@@ -224,3 +224,14 @@ def versioned_table(spark, sf_dir):
     table.seed(own.withColumn("place", F.lit("seed")), ["key"])
     first, second, third = (table.read(n).select(F.lit(n).alias("version"), "key", "place") for n in table.versions())
     return first.unionByName(second).unionByName(third)
+
+
+@query(r"""SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+    WHERE NOT (starts_with(path, '/fr/') AND length(host) % 2 = 0) AND NOT (starts_with(path, '/en/') AND TRY_CAST(regexp_extract(path, '^/en/([0-9]{1,3})', 1) AS INTEGER) BETWEEN 1 AND 999)""")
+def robots_rules(spark, sf_dir):
+    """Pages that the rule file of their host allows: 1,000 rules and more for each host, among rules for other agents."""
+    own = views.table(spark, sf_dir, "pages").select("page_id", text.url_parts(C("url"))["host"].alias("host"), text.url_parts(C("url"))["path"].alias("path"))
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(999)), lambda n: F.concat(F.lit("disallow:/en/"), n.cast("string"))), "\r\n")
+    content = F.concat(F.lit("# rules\nUser-agent: bot\nDisallow: /\n\nUSER-AGENT: *\nDisallow:\nAllow: /fr/\n"), F.when(F.length("host") % 2 == 0, "Disallow: /fr/\n").otherwise(""), many, F.lit("\nUser-agent: other\nDisallow: /en/\n"))
+    files = own.select("host").distinct().select("host", content.alias("content"))
+    return src.allowed_by(own, src.robots_rules(files), C("host"), C("path")).select("page_id")

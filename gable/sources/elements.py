@@ -18,6 +18,8 @@ from .details import detail_fields
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 # An element of the first kind ends where another of its kind begins, unless one of the others was opened between them.
 SIBLINGS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ("div", "article", "section", "li", "td", "body")}
+# Elements that end a paragraph.
+BLOCKS = ("p", "div", "ul", "ol", "dl", "table", "section", "article", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "pre", "blockquote")
 _STEP = re.compile(r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w:-]+)(?:=(?P<q>['"]?)(?P<value>[^'"\]]*)(?P=q))?\]""")
 # Where the fields of a detail page stand.
 DETAIL = {
@@ -29,7 +31,7 @@ DETAIL = {
 def compile_selector(selector: str) -> list[list[tuple[str, str, str | None]]]:
     """Tag, #id, .class, [attribute] and [attribute=value], joined without a space for one element and by spaces for one inside another."""
     steps = []
-    for part in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", selector):
+    for part in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+|\[", selector):
         tests, at = [], 0
         while at < len(part):
             m = _STEP.match(part, at)
@@ -79,11 +81,10 @@ class _Page(HTMLParser):
         self.open.pop().end = len(self.elements)
 
     def handle_starttag(self, tag, attrs):
-        bounds = SIBLINGS.get(tag)
-        if bounds:
-            before = next((e for e in reversed(self.open) if e.tag == tag or e.tag in bounds), None)
-            if before is not None and before.tag == tag:
-                self.handle_endtag(tag)
+        for kind in dict.fromkeys(k for k in (tag, "p" if tag in BLOCKS else "") if k in SIBLINGS):
+            before = next((e for e in reversed(self.open) if e.tag == kind or e.tag in SIBLINGS[kind]), None)
+            if before is not None and before.tag == kind:
+                self.handle_endtag(kind)
         e = _Element(tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None)
         self.elements.append(e)
         self.open.append(e)

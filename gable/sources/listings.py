@@ -213,6 +213,29 @@ def allowed(pages: DataFrame, rules: DataFrame, path: Column) -> DataFrame:
     return pages.where(~denied)
 
 
+def robots_rules(files: DataFrame) -> DataFrame:
+    """host and prefix of every path that rule files (host, content) deny to all agents: the rules below a line that names `*`, up to the next that names agents."""
+    lines = files.select("host", F.posexplode(F.split("content", "\r\n|\n|\r")).alias("pos", "line")).withColumn("line", text.strip(F.col("line")))
+    low = F.lower("line")
+    said = text.strip(F.regexp_extract("line", "^[^:]*:(.*)$", 1))
+    agent = F.when(low.startswith("user-agent:"), said)
+    lines = lines.withColumn("agent", F.last(agent, ignorenulls=True).over(Window.partitionBy("host").orderBy("pos")))  # the lines of one file
+    return lines.where((F.col("agent") == "*") & low.startswith("disallow:") & (said != "")).select("host", said.alias("prefix")).distinct()
+
+
+def allowed_by(pages: DataFrame, rules: DataFrame, host: Column, path: Column) -> DataFrame:
+    """pages whose path begins with no prefix that is denied at their host. Any number of rules and hosts.
+
+    The beginnings of a path that are as long as some rule of its host are joined with the rules, once for each distinct path.
+    """
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # as many as a path may have letters
+    own = pages.withColumns({"_host": host, "_path": path})
+    begun = own.select("_host", "_path").distinct().join(lengths, F.col("_host") == F.col("host")).drop("host")
+    begun = begun.select("_host", "_path", F.explode(F.filter("lengths", lambda n: n <= F.length("_path"))).alias("n")).withColumn("_begins", F.substring("_path", 1, F.col("n")))
+    denied = begun.join(rules, (F.col("_host") == F.col("host")) & (F.col("_begins") == F.col("prefix")), "left_semi").select("_host", "_path").distinct()
+    return own.join(denied, ["_host", "_path"], "left_anti").drop("_host", "_path")
+
+
 def model_answer(c: Column) -> Column:
     """A model's JSON answer: fences stripped, all nine keys there, else null; an unknown state is `inconnu`."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
