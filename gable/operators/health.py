@@ -14,6 +14,18 @@ def failed(errors: Column, scraped: Column) -> Column:
     return (errors > 0) & (scraped == 0)
 
 
+def source_status(log: DataFrame, sources: DataFrame, config: HealthConfig = HealthConfig()) -> DataFrame:
+    """streaks of every source that there should be (source), with a message: one without a log is a warning."""
+    found = sources.select("source").distinct().join(streaks(log, config), "source", "left")
+    failures, said = F.coalesce("failures", F.lit(0)), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    message = (
+        F.when(F.col("runs").isNull(), said("Aucun log de scraping pour ", F.col("source"), "."))
+        .when(F.col("status") == "critical", said("Source ", F.col("source"), " indisponible: ", failures.cast("string"), " echecs consecutifs."))
+        .when(F.col("status") == "warning", said("Source ", F.col("source"), ": ", failures.cast("string"), " echec(s) recent(s).")).otherwise(said("Source ", F.col("source"), " operationnelle."))
+    )
+    return found.select("source", failures.alias("failures"), "last_success", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("status", F.lit("warning")).alias("status"), message.alias("message"))
+
+
 def streaks(log: DataFrame, config: HealthConfig = HealthConfig()) -> DataFrame:
     """Failures of each source since its last success. log: source, at, id, scraped, errors.
 

@@ -207,6 +207,17 @@ def source_streaks(spark, sf_dir):
     return health.streaks(views.run_log(spark, sf_dir))
 
 
+@query(views.sql("""WITH s AS (SELECT *, sum(CASE WHEN errors > 0 AND scraped = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY "at" DESC, id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM run_log),
+    f AS (SELECT source, count(*) FILTER (WHERE ok = 0) AS failures, max("at") FILTER (WHERE NOT (errors > 0 AND scraped = 0)) AS last_success, count(*) AS runs FROM s GROUP BY 1),
+    e AS (SELECT DISTINCT 'src' || (user_id % 5) AS source FROM events), j AS (SELECT e.source, coalesce(failures, 0) AS failures, last_success, coalesce(runs, 0) AS runs FROM e LEFT JOIN f ON e.source = f.source)
+    SELECT *, CASE WHEN runs = 0 THEN 'warning' WHEN failures >= 3 THEN 'critical' WHEN failures > 0 THEN 'warning' ELSE 'ok' END AS status,
+      CASE WHEN runs = 0 THEN 'Aucun log de scraping pour ' || source || '.' WHEN failures >= 3 THEN 'Source ' || source || ' indisponible: ' || failures || ' echecs consecutifs.' WHEN failures > 0 THEN 'Source ' || source || ': ' || failures || ' echec(s) recent(s).' ELSE 'Source ' || source || ' operationnelle.' END AS message FROM j""", "run_log"))
+def source_statuses(spark, sf_dir):
+    """Five sources, of which the log has three."""
+    sources = views.table(spark, sf_dir, "events").select(F.concat(F.lit("src"), (C("user_id") % 5).cast("string")).alias("source"))
+    return health.source_status(views.run_log(spark, sf_dir), sources)
+
+
 @query(views.sql("""SELECT scraped, errors, round(scraped / (scraped + errors)::DOUBLE, 6) AS rate, CASE WHEN scraped / (scraped + errors)::DOUBLE < 0.5 THEN 'critical' WHEN scraped / (scraped + errors)::DOUBLE < 0.65 THEN 'warning' ELSE 'ok' END AS status
     FROM (SELECT sum(scraped)::BIGINT AS scraped, sum(errors)::BIGINT AS errors FROM run_log)""", "run_log"))
 def parsing_rate(spark, sf_dir):

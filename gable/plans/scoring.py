@@ -22,10 +22,10 @@ def _rent():
     return F.lit(400.0) + C("id") % 500
 
 
-@query(views.sql(f"SELECT id, " + ", ".join(f"round({_RENT} * 12.0::DOUBLE * 100.0::DOUBLE / (price * {1 - d / 100}::DOUBLE), 4) AS yield_{d}" for d in finance.DISCOUNTS) + " FROM listings WHERE price > 0", "listings"))
+@query(views.sql(f"SELECT id, " + ", ".join(f"round({_RENT} * 12.0::DOUBLE * 100.0::DOUBLE / (CASE WHEN price > 0 THEN price END * {1 - d / 100}::DOUBLE), 4) AS yield_{d}" for d in finance.DISCOUNTS) + " FROM listings", "listings"))
 def yield_scenarios(spark, sf_dir):
-    own = views.listings(spark, sf_dir).where("price > 0")
-    return own.select("id", *[F.round(finance.gross_yield(C("price"), _rent(), d), 4).alias(f"yield_{d}") for d in finance.DISCOUNTS])
+    """Of every listing; a price that isn't positive has no yield."""
+    return views.listings(spark, sf_dir).select("id", *[F.round(finance.gross_yield(C("price"), _rent(), d), 4).alias(f"yield_{d}") for d in finance.DISCOUNTS])
 
 
 @query(views.sql(f"SELECT id, CASE WHEN id % 9 = 0 THEN 0.0::DOUBLE ELSE round({_RENT} * 1200.0::DOUBLE / price, 4) END AS simple FROM listings", "listings"))

@@ -235,3 +235,16 @@ def robots_rules(spark, sf_dir):
     content = F.concat(F.lit("# rules\nUser-agent: bot\nDisallow: /\n\nUSER-AGENT: *\nDisallow:\nAllow: /fr/\n"), F.when(F.length("host") % 2 == 0, "Disallow: /fr/\n").otherwise(""), many, F.lit("\nUser-agent: other\nDisallow: /en/\n"))
     files = own.select("host").distinct().select("host", content.alias("content"))
     return src.allowed_by(own, src.robots_rules(files), C("host"), C("path")).select("page_id")
+
+
+@query(views.sql("""SELECT 'https://x.example/ad/' || CASE WHEN id % 3 = 0 THEN 'locations/' ELSE 'ventes/' END || id AS url, CAST(trunc(price) AS INTEGER) AS price, CASE WHEN id % 3 = 0 THEN CAST(trunc(price) AS DOUBLE) END AS rent, CASE WHEN id % 3 = 0 THEN id % 2 = 0 END AS furnished, district
+    FROM listings WHERE id % 5 < 3""", "listings"))
+def single_ads(spark, sf_dir):
+    """The listing of each page of one ad; pages of no ad, or whose JSON is bad, give none."""
+    k = C("id")
+    ad = F.concat(F.lit('{"list_id": '), k.cast("string"), F.lit(', "price": ['), C("price").cast("decimal(18,2)").cast("string"), F.lit('], "attributes": [{"key": "furnished", "value": "'), F.when(k % 2 == 0, "1").otherwise("2"), F.lit('"}], "location": {"district": "'), C("district"), F.lit('"}}'))
+    held = F.when(k % 5 < 3, F.concat(F.lit('{"ad": '), ad, F.lit("}"))).when(k % 5 == 3, F.lit('{"ad": null}')).otherwise(F.lit("{oops"))
+    html = F.concat(F.lit('<p>x</p><script  id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": '), held, F.lit("}}</script>"))
+    url = F.concat(F.lit("https://x.example/ad/"), F.when(k % 3 == 0, "locations/").otherwise("ventes/"), k.cast("string"))
+    own = views.listings(spark, sf_dir).select(url.alias("url"), html.alias("html"))
+    return src.single_listings(own).select("url", "price", "rent", "furnished", "district")

@@ -112,15 +112,16 @@ def variant_price(v: Column) -> Column:
     return F.when(variant_kind(v) == "list", listed).otherwise(variant_number(v)).cast("long").try_cast("int")
 
 
-def flatten_variant(rows: DataFrame, ad: str = "ad", letting: bool = False) -> DataFrame:
+def flatten_variant(rows: DataFrame, ad: str = "ad", letting: bool | Column = False) -> DataFrame:
     """Flat listings of ads held as variants. Each path is read by itself: one of another type, or missing, is null and leaves the others alone.
 
-    Of a repeated attribute the last value counts. Rent and furnishing are read of lettings only.
+    Of a repeated attribute the last value counts; a `url` that the rows have counts before the ad's. Rent and furnishing are read of lettings only.
     """
+    letting = F.lit(letting) if isinstance(letting, bool) else letting
     at = lambda path, kind: F.try_variant_get(F.col(ad), path, kind)
     pair = lambda x: F.struct(F.try_variant_get(x, "$.key", "string").alias("key"), F.try_variant_get(x, "$.value", "string").alias("value"))
     listed = F.transform(F.coalesce(at("$.attributes", "array<variant>"), F.array().cast("array<variant>")), pair)
-    own = rows.withColumn("_listed", listed).withColumn("_price", variant_price(at("$.price", "variant")))
+    own = rows.withColumn("_letting", letting).withColumn("_listed", listed).withColumn("_price", variant_price(at("$.price", "variant")))
     get = lambda key: F.nullif(F.try_element_at(F.filter("_listed", lambda a: F.coalesce(a["key"] == key, F.lit(False))), F.lit(-1))["value"], F.lit(""))
     decimal = lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
     letter = lambda c: F.when(F.upper(c).rlike("^[A-G]$"), F.upper(c))
@@ -128,10 +129,11 @@ def flatten_variant(rows: DataFrame, ad: str = "ad", letting: bool = False) -> D
     place = F.filter(F.array(*(at(f"$.location.{c}", "string") for c in ("address", "city", "zipcode"))), lambda p: F.coalesce(p, F.lit("")) != "")
     lat, lon = at("$.location.lat", "double"), at("$.location.lng", "double")
     held = F.array(F.struct(old.alias("price"), F.lit(None).cast("string").alias("date")), F.struct(price.alias("price"), at("$.index_date", "string").alias("date")))
+    url = F.col("url") if "url" in rows.columns else at("$.url", "string")
     return own.select(
-        at("$.list_id", "long").alias("list_id"), at("$.url", "string").alias("url"), at("$.subject", "string").alias("title"), F.nullif(at("$.body", "string"), F.lit("")).alias("description"), price.alias("price"),
+        at("$.list_id", "long").alias("list_id"), url.alias("url"), at("$.subject", "string").alias("title"), F.nullif(at("$.body", "string"), F.lit("")).alias("description"), price.alias("price"),
         decimal(get("square")).alias("surface"), get("rooms").try_cast("int").alias("rooms"), letter(get("energy_rate")).alias("energy"), letter(get("ges")).alias("emissions"), get("floor_number").try_cast("int").alias("floor"),
-        (F.lower(get("furnished")).isin("1", "true", "oui") if letting else F.lit(None).cast("boolean")).alias("furnished"), (F.when(price != 0, price.cast("double")) if letting else F.lit(None).cast("double")).alias("rent"),
+        F.when(F.col("_letting"), F.lower(get("furnished")).isin("1", "true", "oui")).alias("furnished"), F.when(F.col("_letting") & (price != 0), price.cast("double")).alias("rent"),
         F.coalesce(decimal(get("annual_charges")), decimal(get("charges_included"))).alias("charges"), get("price_per_square_meter").try_cast("int").alias("price_m2"),
         F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CONDITIONS.items() for x in p]), condition), condition).alias("condition"),
         F.nullif(F.array_join(place, ", "), F.lit("")).alias("address"), F.nullif(at("$.location.district", "string"), F.lit("")).alias("district"),
@@ -145,6 +147,13 @@ def embedded_json(page: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(page, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), F.lit("")), schema)
 
 
+def single_listings(pages: DataFrame) -> DataFrame:
+    """The listing of each page (url, html) of one ad, from what the page embeds; a letting if the URL's path says so. Pages without an ad give none."""
+    found = F.try_parse_json(F.nullif(F.regexp_extract("html", r'(?s)<script\s+id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), F.lit("")))
+    own = pages.select("url", F.try_variant_get(found, "$.props.pageProps.ad", "variant").alias("ad")).where(variant_kind(F.col("ad")) == "dict")
+    return flatten_variant(own, letting=F.col("url").contains("/locations/"))
+
+
 def linked_data(page: Column) -> Column:
     """All JSON-LD blocks of a page that are JSON."""
     found = F.regexp_extract_all(page, F.lit(r'(?s)<script type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))

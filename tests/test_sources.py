@@ -192,3 +192,23 @@ def test_whole_messages(spark):
     assert lower.split("\n") == ["📉 *BAISSE DE PRIX*", "", "📍 a \\- b", "📐 40.0m² \\- T2", "", "Ancien prix: 160 000€", "Nouveau prix: 145 000€", "Baisse: \\-15 000€ \\(\\-9.4%\\)", "", "🔗 [Voir l'annonce](u)"]
     event = one.select(messages.event(F.lit("zero_annonces"), F.lit("x"), F.lit(dt.datetime(2026, 3, 10, 7, 5)))).first()[0]
     assert event == "⚠️ *ALERTE SYSTEME*\n\n*Evenement:* zero_annonces\n*Detail:* x\n*Date:* 10/03/2026 07:05"
+
+
+def test_one_listing_a_page(spark):
+    page = lambda held: f'<script id="__NEXT_DATA__" type="x">{{"props": {{"pageProps": {held}}}}}</script>'
+    rows = [("https://x.fr/ad/locations/1", page('{"ad": {"price": 500, "url": "/other"}}')), ("https://x.fr/ad/ventes/2", page('{"ad": {"price": [90000.5]}}')), ("u3", page('{"ad": []}')), ("u4", page("{}")), ("u5", page("{bad")), ("u6", "<p>"), ("u7", None)]
+    found = {r["url"]: (r["price"], r["rent"]) for r in listings.single_listings(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert found == {"https://x.fr/ad/locations/1": (500, 500.0), "https://x.fr/ad/ventes/2": (90000, None)}
+
+
+def test_sources_without_a_log_are_warnings(spark):
+    from gable.operators import health
+
+    at = dt.datetime(2026, 3, 10)
+    runs = [(1, "a", 5, 0), (2, "a", 0, 1), (3, "b", 0, 1), (4, "b", 0, 1), (5, "b", 0, 2), (6, "c", 0, 0), (7, "x", 1, 0)]
+    log = spark.createDataFrame([(i, s, at + dt.timedelta(hours=i), n, e) for i, s, n, e in runs], "id int, source string, at timestamp_ntz, scraped int, errors int")
+    sources = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("d",)], "source string")
+    found = {r["source"]: (r["failures"], r["runs"], r["status"], r["message"]) for r in health.source_status(log, sources).collect()}
+    assert found == {
+        "a": (1, 2, "warning", "Source a: 1 echec(s) recent(s)."), "b": (3, 3, "critical", "Source b indisponible: 3 echecs consecutifs."), "c": (0, 1, "ok", "Source c operationnelle."), "d": (0, 0, "warning", "Aucun log de scraping pour d."),
+    }
