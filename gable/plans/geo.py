@@ -8,7 +8,8 @@ from .. import dims
 from ..config import GeoConfig
 from ..functions import geo
 from ..operators import spatial
-from . import views
+from ..sources import layout
+from . import streams, views
 from .registry import registrar
 
 REGISTER: dict = {}
@@ -68,3 +69,12 @@ def nearest_cells(spark, sf_dir):
     found = spatial.near_points(own, own.where("id % 5 = 0"), 700.0).where("id <> point_id")
     best = found.groupBy("id").agg(F.min(F.struct("metres", "point_id")).alias("b"))
     return own.select("id").join(best, "id", "left").select("id", C("b.point_id").alias("point"), F.round("b.metres", 3).alias("metres"))
+
+
+@query(views.sql("SELECT id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM points WHERE lat BETWEEN 47.235 AND 47.245 AND lon > 6.02", "points"))
+def clustered_points(spark, sf_dir):
+    """Points of a box, from a table that is laid out by both coordinates."""
+    path = f"{streams._folder(spark)}/points"
+    layout.write_clustered(views.points(spark, sf_dir), path, ["lat", "lon"], 8)
+    found = spark.read.schema("id long, lat double, lon double").parquet(path).where("lat between 47.235D and 47.245D and lon > 6.02D")
+    return found.select("id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
