@@ -40,10 +40,16 @@ def html_cards(spark, sf_dir):
     return src.cards(own, "card")
 
 
-@query("SELECT page_id, 'https://h.example/p/' || page_id AS first FROM pages")
+@query(r"""SELECT page_id, 'https://h.example/p/' || page_id AS first, 'https://h.example/x?y=' || page_id AS rooted, 'https://h.example/a/b/?q=' || page_id || '#e' AS asked, regexp_extract(url, '^[^:/?#]+:', 0) || '//other.example/z' AS hosted,
+    regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0) || '/' || page_id AS top FROM pages""")
 def relative_urls(spark, sf_dir):
-    own = views.table(spark, sf_dir, "pages")
-    return own.select("page_id", src.absolute_url(F.concat(F.lit("../p/"), C("page_id").cast("string")), F.lit("https://h.example/a/")).alias("first"))
+    """Relative URLs of five kinds, the last two against each page's own URL."""
+    own, k = views.table(spark, sf_dir, "pages"), C("page_id").cast("string")
+    given = {
+        "first": (F.concat(F.lit("../p/"), k), F.lit("https://h.example/a/")), "rooted": (F.concat(F.lit("/u/./../x?y="), k), F.lit("https://h.example/a/b?c#d")), "asked": (F.concat(F.lit("?q="), k, F.lit("#e")), F.lit("https://h.example/a/b/?c")),
+        "hosted": (F.lit("//other.example/z"), C("url")), "top": (F.concat(F.lit("../../../../../../../../../../"), k), C("url")),
+    }
+    return own.select("page_id", *(src.absolute_url(*pair).alias(name) for name, pair in given.items()))
 
 
 def _ads(spark, sf_dir) -> DataFrame:

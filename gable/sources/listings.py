@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -166,9 +165,26 @@ def links(page: Column) -> Column:
     return F.transform(listed, lambda a: F.struct(F.regexp_extract(a, r'href="([^"]*)"', 1).alias("href"), F.regexp_extract(a, r">([^<]*)</a>", 1).alias("label")))
 
 
-@F.pandas_udf(T.StringType())
-def absolute_url(url: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b or "", u) if u and (b or "://" in u) else None for u, b in zip(url, base)])
+def absolute_url(url: Column, base: Column) -> Column:
+    """A URL as it stands on a page at `base`, resolved by RFC 3986; null where it is empty, or relative without a base. One with a scheme or host of its own keeps its path as it is."""
+    pattern = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    (scheme, host, path, query, part), (scheme_b, host_b, path_b, query_b, _) = ([F.regexp_extract(c, pattern, i) for i in range(1, 6)] for c in (url, base))
+    own_host, own_query = url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), url.rlike(r"^[^?#]*\?")
+    merged = F.when((path_b == "") & (host_b != ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(path_b, "^(.*/)?", 0), path))
+    whole = F.when(own_host, path).when(path == "", path_b).otherwise(_without_dots(F.when(path.startswith("/"), path).otherwise(merged)))
+    to_query = F.when(~own_host & (path == "") & ~own_query, query_b).otherwise(query)
+    sized = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
+    out = F.concat(scheme_b, F.lit("://"), F.when(own_host, host).otherwise(host_b), whole, sized("?", to_query), sized("#", part))
+    return F.when((url == "") | url.isNull(), None).when(scheme != "", url).when((scheme_b != "") & (host_b != ""), out)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without the segments `.` and `..`, the latter with what they go back over; the path's slashes at both ends stay."""
+    parts = F.split(path, "/")
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, s))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 1, 1), step)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.startswith("/"), F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/")).otherwise(path)
 
 
 class _Cards(HTMLParser):

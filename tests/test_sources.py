@@ -194,6 +194,22 @@ def test_whole_messages(spark):
     assert event == "⚠️ *ALERTE SYSTEME*\n\n*Evenement:* zero_annonces\n*Detail:* x\n*Date:* 10/03/2026 07:05"
 
 
+def test_urls_resolve_as_urljoin_does(spark):
+    from urllib.parse import urljoin
+
+    rng = random.Random(12)
+    parts = ["a", "b", ".", "..", "", "c.htm", "x y"]
+    refs = ["g", "./g", "g/", "/g", "//h2.org", "//h2.org/p?q", "?y", "g?y", "#s", "g#s", "g?y#s", "..", "../", "../g", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "mailto:x@y.z", "http://z.org/../q", "https://z.org", "g;x=1/./y"]
+    refs += [rng.choice(["", "/"]) + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) + rng.choice(["", "?q=1", "#f", "?q/../x#f"]) for _ in range(600)]
+    bases = ["http://a.org/b/c/d;p?q", "https://a.org", "https://a.org/", "https://a.org/b/../c/d/?x=/y", "http://a.org/b/c#f"]
+    pairs = [(r, rng.choice(bases)) for r in refs if r and (r.startswith("//h") or not r.startswith("//")) and "//" not in r.partition("?")[0].removeprefix("//").replace("://", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, u string, b string")
+    got = [r[0] for r in df.orderBy("i").select(listings.absolute_url(F.col("u"), F.col("b"))).collect()]
+    assert [(p, g) for p, g in zip(pairs, got)] == [(p, urljoin(p[1], p[0])) for p in pairs] and len(pairs) > 300
+    odd = spark.createDataFrame([(None, "http://a"), ("", "http://a"), ("x", None), ("http://z/y", None), ("x", "")], "u string, b string")
+    assert [r[0] for r in odd.select(listings.absolute_url(F.col("u"), F.coalesce("b", F.lit("")))).collect()] == [None, None, None, "http://z/y", None]
+
+
 def test_one_listing_a_page(spark):
     page = lambda held: f'<script id="__NEXT_DATA__" type="x">{{"props": {{"pageProps": {held}}}}}</script>'
     rows = [("https://x.fr/ad/locations/1", page('{"ad": {"price": 500, "url": "/other"}}')), ("https://x.fr/ad/ventes/2", page('{"ad": {"price": [90000.5]}}')), ("u3", page('{"ad": []}')), ("u4", page("{}")), ("u5", page("{bad")), ("u6", "<p>"), ("u7", None)]
