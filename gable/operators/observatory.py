@@ -13,8 +13,8 @@ from ..config import ObservatoryConfig
 from ..functions import dates, finance, text
 
 SEGMENT = ["district", "kind", "furnished"]
-#: Bins of the histogram that order statistics are looked for in.
-BINS = 1024
+#: Bins to each doubling in the histogram that order statistics are looked for in.
+BINS = 256
 
 
 def segments(rents: DataFrame) -> DataFrame:
@@ -27,21 +27,20 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, measures: dict[
     """Of each group: the totals of the measures (`all_` and the name), and for each wanted name (measure, target from its total) the smallest
     value up to which the measure's running sum reaches the target. Exact; null values don't count, a null in `by` is a group of its own.
 
-    Measures are summed by value in the map tasks already. A histogram of each group's values tells the bin that holds a target, and only the values of
-    such bins are put in order, a task for each bin: no group is ordered as a whole, however many rows or values it has.
+    Measures are summed by value in the map tasks already. A histogram of each group's values, of `bins` to a doubling, tells the bin that holds a target, and only
+    the values of such bins are put in order, a task for each bin: no group is ordered as a whole, however many rows or values it has.
     """
     by_value = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(*(F.sum(m).alias(name) for name, m in measures.items()))
-    totals = by_value.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), *(F.sum(m).alias(f"all_{m}") for m in measures))
-    place = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
-    place = F.when(F.isnan("_v"), bins - 1).when(F.col("_high") > F.col("_low"), F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))).otherwise(0)
-    binned = _attach(by_value, totals, by).withColumn("_bin", place)
-    group, target = Window.partitionBy(*by), {name: of(F.col(f"all_{m}")) for name, (m, of) in wanted.items()}
-    counted = binned.groupBy(*by, "_bin").agg(*(F.sum(m).alias(m) for m in measures), *(F.max(f"all_{m}").alias(f"all_{m}") for m in measures))
-    counted = counted.withColumns({f"_run_{m}": F.sum(m).over(group.orderBy("_bin")) for m in measures})  # `bins` rows a group
+    binned = by_value.withColumn("_bin", _bin(F.col("_v").cast("double"), bins))
+    group = Window.partitionBy(*by)
+    counted = binned.groupBy(*by, "_bin").agg(*(F.sum(m).alias(m) for m in measures))
+    # a row for each bin of a group
+    counted = counted.withColumns({f"_run_{m}": F.sum(m).over(group.orderBy("_bin")) for m in measures} | {f"all_{m}": F.sum(m).over(group) for m in measures})
+    target = {name: of(F.col(f"all_{m}")) for name, (m, of) in wanted.items()}
     first = [
         F.min(F.when(F.col(f"_run_{m}") >= target[name], F.struct(F.col("_bin").alias("bin"), (F.col(f"_run_{m}") - F.col(m)).alias("before")))).alias(f"_at_{name}") for name, (m, _) in wanted.items()
     ]
-    held = _attach(binned, counted.groupBy(*by).agg(*first), by)
+    held = _attach(binned, counted.groupBy(*by).agg(*first, *(F.max(f"all_{m}").alias(f"all_{m}") for m in measures)), by)
     inside = {name: F.col("_bin") == F.col(f"_at_{name}.bin") for name in wanted}
     held = held.where(reduce(Column.__or__, inside.values()))
     held = held.withColumns({f"_run_{m}": F.sum(m).over(Window.partitionBy(*by, "_bin").orderBy("_v")) for m in measures})
@@ -51,6 +50,13 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, measures: dict[
     return held.groupBy(*by).agg(*found, *(F.max(f"all_{m}").alias(f"all_{m}") for m in measures))
 
 
+def _bin(v: Column, bins: int) -> Column:
+    """A number that doesn't fall as a double rises: `bins` to each doubling of its size, NaN last."""
+    end, zero = 1 << 50, 1100 * bins
+    size = F.floor(F.log2(F.abs(v)) * bins) + zero
+    return F.when(F.isnan(v), end).when(v == float("inf"), end - 1).when(v == float("-inf"), 1 - end).when(v > 0, size).when(v < 0, -size).otherwise(0)
+
+
 def _attach(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     """rows with the other columns of groups, which has a row for each group."""
     own = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
@@ -97,17 +103,20 @@ def weighted_median(rows: DataFrame, value: str, weight: str, name: str, bins: i
     return order_statistics(rows, SEGMENT, value, {"w": F.col(weight)}, {name: ("w", _half)}, bins).drop("all_w")
 
 
-def medians(rents: DataFrame, as_of: dt.datetime, config: ObservatoryConfig = ObservatoryConfig()) -> DataFrame:
-    """Every segment's weighted median, quartiles, rent per square metre, count and reliability."""
+def medians(rents: DataFrame, as_of: dt.datetime, config: ObservatoryConfig = ObservatoryConfig(), per_m2: bool = True) -> DataFrame:
+    """Every segment's weighted median, quartiles, rent per square metre (null unless per_m2), count and reliability."""
     kept = without_outliers(segments(rents), config)
     kept = kept.withColumn("w", dates.decay(F.col("seen_at"), as_of, config.half_life_days, config.unknown_weight))
     kept = kept.withColumn("rent_m2", F.when(F.col("surface") > 0, F.col("rent") / F.col("surface")))
-    shares = {"rent_q1": 0.25, "rent_q3": 0.75}
-    stats = order_statistics(kept, SEGMENT, "rent", {"n": F.lit(1), "w": F.col("w")}, {**_ends(shares), "rent_median": ("w", _half)})
-    stats = stats.select(*SEGMENT, "rent_median", *_between(shares), F.col("all_n").alias("n"))
-    stats = stats.withColumn("reliability", F.when(F.col("n") >= config.min_rows, "fiable").otherwise("preliminaire"))
-    out = stats.join(weighted_median(kept, "rent_m2", "w", "rent_m2_median"), SEGMENT, "left")  # a row for each segment
-    return out.select(*SEGMENT, "rent_median", "rent_q1", "rent_q3", "rent_m2_median", "n", "reliability")
+    # rents and rents per square metre as values of one column: one histogram for both
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("stat"), F.col(k).alias("value")) for k in ("rent", "rent_m2")[: 1 + per_m2])))
+    kept = kept.select(*SEGMENT, "w", values.alias("_s")).select(*SEGMENT, "w", "_s.stat", "_s.value")
+    shares = {"q1": 0.25, "q3": 0.75}
+    stats = order_statistics(kept, [*SEGMENT, "stat"], "value", {"n": F.lit(1), "w": F.col("w")}, {**_ends(shares), "median": ("w", _half)})
+    stats = stats.select(*SEGMENT, "stat", "median", *_between(shares), F.col("all_n").alias("n"))
+    of = lambda stat, c: F.max(F.when(F.col("stat") == stat, F.col(c)))
+    out = stats.groupBy(*SEGMENT).agg(of("rent", "median").alias("rent_median"), of("rent", "q1").alias("rent_q1"), of("rent", "q3").alias("rent_q3"), of("rent_m2", "median").alias("rent_m2_median"), of("rent", "n").alias("n"))
+    return out.withColumn("reliability", F.when(F.col("n") >= config.min_rows, "fiable").otherwise("preliminaire"))
 
 
 def match_district(rows: DataFrame, districts: DataFrame, column: str = "district", default: str = "Centre-Ville") -> DataFrame:

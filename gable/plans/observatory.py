@@ -25,8 +25,8 @@ _MEDIANS = f"""{_KEPT}, run AS (SELECT *, sum(w) OVER (s ORDER BY rent) AS r1, s
 _ROUNDED = "round({0}, 6) AS {0}"
 
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs.medians(views.rents(spark, sf_dir), views.AS_OF)
+def reference(spark: SparkSession, sf_dir: str, per_m2: bool = True) -> DataFrame:
+    return obs.medians(views.rents(spark, sf_dir), views.AS_OF, per_m2=per_m2)
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -68,7 +68,7 @@ def weighted_median(spark, sf_dir):
 
 @query(views.sql(f"WITH {_MEDIANS} SELECT count(*) AS segments, count(*) FILTER (WHERE n >= 5) AS reliable, CAST(round(100.0 * count(*) FILTER (WHERE n >= 5) / count(*)) AS INTEGER) || '% fiable (' || count(*) FILTER (WHERE n >= 5) || '/' || count(*) || ')' AS summary FROM reference", "rents"))
 def observatory_coverage(spark, sf_dir):
-    return obs.coverage(reference(spark, sf_dir))
+    return obs.coverage(reference(spark, sf_dir, False))
 
 
 def _named(spark, sf_dir) -> DataFrame:
@@ -107,5 +107,5 @@ _ASKED = f"""asked AS (SELECT id, surface, 'T' || rooms AS kind, id % 2 = 0 AS f
     FROM asked LEFT JOIN (SELECT district, kind, furnished, rent_median FROM reference WHERE n >= 5) r USING (district, kind, furnished) LEFT JOIN fallback f USING (matched, kind, furnished)""", "rents", "listings"))
 def estimate_rent(spark, sf_dir):
     rows = obs.match_district(_named(spark, sf_dir), dims.districts(spark))
-    out = obs.estimate(rows, reference(spark, sf_dir), dims.fallback_rents(spark))
+    out = obs.estimate(rows, reference(spark, sf_dir, False), dims.fallback_rents(spark))
     return out.select("id", "estimate", "reliability")
