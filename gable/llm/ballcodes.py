@@ -33,36 +33,32 @@ from .common import join_counted, ship, slices, write_table
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Rows worked on at a time.
 ROWS = 4096
+#: Above every squared distance.
+FAR = np.iinfo(np.int64).max
 
 
 @dataclass
 class Balls:
-    """Codebooks (parts x entries x width) and, once parts are assigned, each entry's neighbours in order with the squared distance to them."""
+    """Codebooks (parts x entries x width) and, once parts are assigned, each entry's neighbours in order (parts x entries x most) with the squared distance to them, FAR where there is none."""
 
     entries: np.ndarray
-    near: list[list[np.ndarray]] | None = None
-    apart: list[list[np.ndarray]] | None = None
+    near: np.ndarray | None = None
+    apart: np.ndarray | None = None
 
     def surround(self, radius: np.ndarray) -> Balls:
         """Find the neighbours. radius (parts x entries): not less than the distance of any member; -1 for an empty ball."""
-        self.near, self.apart = [], []
-        for book, reach in zip(self.entries, radius.tolist()):
-            between = ((book[:, None] - book[None]) ** 2).sum(2)
-            near, apart = [], []
-            for i, r in enumerate(reach):
-                found = np.nonzero(between[i] <= 4 * r * r)[0] if r >= 0 else np.zeros(0, np.int64)
-                found = found[found != i]
-                found = found[np.argsort(between[i][found], kind="stable")]
-                near.append(found)
-                apart.append(between[i][found])
-            self.near.append(near)
-            self.apart.append(apart)
+        between = ((self.entries[:, :, None] - self.entries[:, None]) ** 2).sum(3)
+        reach = [[min(4 * r * r, FAR - 1) if r >= 0 else -1 for r in book] for book in radius.tolist()]
+        between = np.where(between <= np.array(reach, np.int64)[:, :, None], between, FAR)
+        between[:, np.arange(between.shape[1]), np.arange(between.shape[1])] = FAR
+        self.near = np.argsort(between, axis=2, kind="stable")
+        self.apart = np.take_along_axis(between, self.near, 2)
         return self
 
     def first(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest entry of each part of x (rows x parts x width), all entries compared, and the squared distances."""
         code = np.zeros(x.shape[:2], np.int64)
-        best = np.full(x.shape[:2], np.iinfo(np.int64).max)
+        best = np.full(x.shape[:2], FAR)
         for m, book in enumerate(self.entries):
             for i, entry in enumerate(book):
                 d = ((x[:, m] - entry) ** 2).sum(1)
@@ -75,18 +71,18 @@ class Balls:
         """The same, from the entries of the round before."""
         code, best = code.copy(), np.empty(code.shape, np.int64)
         for m, book in enumerate(self.entries):
-            own = code[:, m].copy()
-            best[:, m] = ((x[:, m] - book[own]) ** 2).sum(1)
-            for i in np.unique(own):
-                near, apart = self.near[m][i], self.apart[m][i]
-                rows = np.nonzero(own == i)[0]
-                ring = np.searchsorted(apart, 4 * best[rows, m], "right")  # neighbours to compare; none in the core
-                for k in range(int(ring.max(initial=0))):
-                    at = rows[ring > k]
-                    d = ((x[at, m] - book[near[k]]) ** 2).sum(1)
-                    nearer = (d < best[at, m]) | ((d == best[at, m]) & (near[k] < code[at, m]))
-                    code[at[nearer], m] = near[k]
-                    best[at[nearer], m] = d[nearer]
+            own, part = code[:, m].copy(), np.ascontiguousarray(x[:, m])
+            least = ((part - book[own]) ** 2).sum(1)
+            ring = (self.apart[m][own] <= 4 * least[:, None]).sum(1)  # neighbours to compare, in order; none in the core
+            to = own.copy()
+            for k in range(int(ring.max(initial=0))):
+                at = np.nonzero(ring > k)[0]
+                i = self.near[m][own[at], k]
+                d = ((part[at] - book[i]) ** 2).sum(1)
+                nearer = (d < least[at]) | ((d == least[at]) & (i < to[at]))
+                to[at[nearer]] = i[nearer]
+                least[at[nearer]] = d[nearer]
+            code[:, m], best[:, m] = to, least
         return code, best
 
 
