@@ -59,7 +59,15 @@ class Balls:
         """Nearest entry of each part of x (rows x parts x width), all entries compared, and the squared distances."""
         code = np.zeros(x.shape[:2], np.int64)
         best = np.full(x.shape[:2], FAR)
+        most = max(abs(x).max(initial=0), abs(self.entries).max(initial=0))
+        exact = 4 * x.shape[2] * int(most) ** 2 < 1 << 52  # doubles then hold every sum of products
         for m, book in enumerate(self.entries):
+            if exact:
+                own, entries = x[:, m].astype(np.float64), book.astype(np.float64)
+                d = (own * own).sum(1)[:, None] - 2 * own @ entries.T + (entries * entries).sum(1)
+                code[:, m] = d.argmin(1)
+                best[:, m] = d[np.arange(len(d)), code[:, m]]
+                continue
             for i, entry in enumerate(book):
                 d = ((x[:, m] - entry) ** 2).sum(1)
                 nearer = d < best[:, m]

@@ -140,6 +140,13 @@ def test_stable_cores_do_no_work():
     assert [n[: (a < ballcodes.FAR).sum()].tolist() for n, a in zip(balls.near[0], balls.apart[0])] == [[1], [], []]
     code, best = balls.again(np.array([[[3]], [[60]], [[50]], [[95]]]), np.array([[0], [0], [0], [1]]))
     assert code.ravel().tolist() == [0, 1, 0, 1] and best.ravel().tolist() == [9, 1600, 2500, 25]
+    rng = np.random.default_rng(1)
+    for size in (20, 1 << 26):  # products that doubles hold, and that they don't
+        x = rng.integers(-size, size, (300, 4, 3))
+        balls = ballcodes.Balls(x[:16].swapaxes(0, 1))
+        code, best = balls.first(x)
+        d = ((x[:, :, None] - balls.entries[None]) ** 2).sum(3)
+        assert (code == d.argmin(2)).all() and (best == d.min(2)).all()
 
 
 def test_ball_codes_edges(spark):
