@@ -1,11 +1,11 @@
 """Operator 2, approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids (as many as the root of the number of vectors) and codebooks are fitted by k-means on a bounded sample (SAMPLE vectors); every
+Centroids (as many as the root of the number of vectors) and codebooks are fitted by k-means on a bounded sample (SAMPLE vectors, BYTES); every
 vector is then assigned, its residual quantised. A query visits the lists whose centroids have the largest inner products with it: as many
 as sampled queries need to find RECALL of their true neighbours in the sample. So clustered vectors cost few lists a query, vectors
-without structure many. Lists are laid end to end, near ones beside one another, and cut into shards of bounded size (a large list
-spans several); a vector goes to one shard, a query to the shards that hold a list it visits, and nowhere else. A shard that very many
-queries visit is copied for every QUERIES of them. In a shard's task the asymmetric distance table of a query (inner products with the codewords)
+without structure many. Lists are laid end to end, near ones beside one another, and cut into shards of bounded size in vectors and bytes (a large list
+spans several); a vector goes to one shard, a query to the shards that hold a list it visits, and nowhere else, with the numbers of
+those lists. A shard that very many queries visit is copied for every QUERIES of them. In a shard's task the asymmetric distance table of a query (inner products with the codewords)
 scores the codes of the lists it visits. A code's score is wrong by at most the query's norm times the norm of what quantising left
 over, so every vector that may be among a shard's k nearest is known, however many share a code; all of them are ranked in the
 task by the exact inner product of the original vectors, in double precision, and a shard's k nearest go on.
@@ -38,6 +38,8 @@ SUBSPACE = 4
 RECALL, TRIALS = 0.97, 256
 #: Vectors in a shard, about at most, queries that a copy of it serves, and shards, at least (so that small tables are searched in parallel).
 BLOCK, QUERIES, LEAST_SHARDS = 100_000, 20_000, 16
+#: Bytes of the vectors of the sample, of a shard and of a copy's queries, at most: long vectors make these fewer.
+BYTES = 128 << 20
 
 
 @dataclass
@@ -101,8 +103,8 @@ def vectors(rows: DataFrame) -> DataFrame:
     return own.where(F.size("v") == (common["n"] if common else 0))
 
 
-def _stack(column) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64) if len(column) else np.zeros((0, 1))
+def _stack(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _encode(codes: Codes):
@@ -140,22 +142,22 @@ def visits(codes: Codes, q: np.ndarray, probe: int, sizes: np.ndarray, least: in
 
 
 def _ask(codes: Codes, probe: int, sizes: np.ndarray, least: int, width: int):
-    """A row for each shard that holds a list which the query visits."""
+    """A row for each shard that holds lists which the query visits, with their numbers."""
     ends = np.cumsum(sizes)
     first, last = (ends - sizes) // width, np.maximum(ends - 1, 0) // width
-    shards = int(last.max(initial=0)) + 1
+    shards = np.arange(int(last.max(initial=0)) + 1)
+    low, high = np.searchsorted(last, shards), np.searchsorted(first, shards, "right")  # the lists of a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 256):
                 q = _stack(part.column("v"))
-                edge = np.zeros((len(q), shards + 1), np.int64)
-                i, at = np.nonzero(visits(codes, q, probe, sizes, least) & (sizes > 0))
-                np.add.at(edge, (i, first[at]), 1)
-                np.add.at(edge, (i, last[at] + 1), -1)
-                i, shard = np.nonzero(np.cumsum(edge, axis=1)[:, :-1])
+                visited = visits(codes, q, probe, sizes, least) & (sizes > 0)
+                asks = [(i, s, np.nonzero(row[low[s] : high[s]])[0] + low[s]) for i, row in enumerate(visited) for s in shards]
+                asks = [(i, s, lists) for i, s, lists in asks if len(lists)]
                 raw = [v.tobytes() for v in q]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(i)), pa.array([raw[j] for j in i], pa.binary()), pa.array(shard)], ["query_id", "q", "shard"])
+                cols = [pa.array([raw[i] for i, _, _ in asks], pa.binary()), pa.array([s for _, s, _ in asks], pa.int64()), pa.array([x.astype(np.int32).tobytes() for _, _, x in asks], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array([i for i, _, _ in asks], pa.int64())), *cols], ["query_id", "q", "shard", "lists"])
 
     return run
 
@@ -173,7 +175,7 @@ def top(s: np.ndarray, k: int) -> float:
     return np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else s.min(initial=np.inf)
 
 
-def _scan(codes: Codes, probe: int, sizes: np.ndarray, k: int):
+def _scan(codes: Codes, k: int):
     def run(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(queries) or not len(shard):
@@ -190,11 +192,13 @@ def _scan(codes: Codes, probe: int, sizes: np.ndarray, k: int):
             part = queries.iloc[i : i + 64]
             q = np.frombuffer(b"".join(part["q"]), np.float64).reshape(len(part), -1)
             all_exact = None
-            for n, (query, table, coarse, visited) in enumerate(zip(part["query_id"].to_numpy(np.int64), codes.tables(q), q @ codes.centroids.T, visits(codes, q, probe, sizes, k + 1))):
-                met = np.nonzero(np.repeat(visited[lists], length) & (ids != query))[0]
+            coarse = q @ codes.centroids[lists].T  # of the lists that stand in this shard
+            for n, (query, table, visited) in enumerate(zip(part["query_id"].to_numpy(np.int64), codes.tables(q), part["lists"])):
+                visited = np.isin(lists, np.frombuffer(visited, np.int32), assume_unique=True)
+                met = np.nonzero(np.repeat(visited, length) & (ids != query))[0]
                 if not len(met):
                     continue
-                s = np.repeat(coarse[lists], length)[met] + table.ravel()[code[met]].sum(axis=1)
+                s = np.repeat(coarse[n], length)[met] + table.ravel()[code[met]].sum(axis=1)
                 slack = np.linalg.norm(q[n]) * err[met]
                 # a vector whose highest possible score is below the k-th lowest possible one isn't among the k nearest
                 met = met[s + slack >= top(s - slack, k)]
@@ -217,19 +221,20 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, recall: float = RECAL
     """query_id, rank, vec_id, score: the k nearest found of each query among all other vectors."""
     own = write_table(vectors(rows), "vectors")
     spark, total = own.sparkSession, own.count()
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not len(sample):
-        return spark.createDataFrame([], schema)
-    x = np.array(sample["v"].tolist(), np.float64)
+    any_one = own.select(F.size("v")).first()
+    if any_one is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fitting = max(1, BYTES // (8 * any_one[0]))  # vectors of this length in BYTES
+    x = _stack(own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, fitting)).select("v").toArrow().column("v").combine_chunks())
     codes = fit(x, int(np.clip(round(total**0.5), *LISTS)))
     probe = lists_to_visit(codes, x, k, recall)
     coded = write_table(own.mapInArrow(_encode(codes), "vec_id long, list long, code binary, err double, x binary"), "codes")
     sizes = np.zeros(len(codes.centroids), np.int64)
     for r in coded.groupBy("list").count().collect():  # a row for each list
         sizes[r["list"]] = r["count"]
-    width = max(1, min(block, -(-total // LEAST_SHARDS)))
-    asked = write_table(own.where(is_query).mapInArrow(_ask(codes, probe, sizes, k + 1, width), "query_id long, q binary, shard long"), "asked")
+    width = max(1, min(block, fitting, -(-total // LEAST_SHARDS)))
+    queries = min(queries, fitting)
+    asked = write_table(own.where(is_query).mapInArrow(_ask(codes, probe, sizes, k + 1, width), "query_id long, q binary, shard long, lists binary"), "asked")
     loads = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(queries)).cast("int").alias("copies")))  # a row for each shard: total / width
     place = spark.createDataFrame([(i, int(e - n), int(n)) for i, (n, e) in enumerate(zip(sizes, np.cumsum(sizes)))], "list long, before long, size long")
     # where in its list a vector stands goes by a hash of its id
@@ -238,6 +243,6 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, recall: float = RECAL
     held = held.join(loads, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     dealt = asked.join(loads, "shard").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")).drop("copies")
     found = dealt.groupBy("shard", "copy").cogroup(held.groupBy("shard", "copy"))
-    near = found.applyInPandas(_scan(codes, probe, sizes, k), "query_id long, vec_id long, score double")
+    near = found.applyInPandas(_scan(codes, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

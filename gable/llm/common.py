@@ -25,6 +25,8 @@ HOT_SHARE = 1000
 MAX_CLASSES, SAMPLE_BINS = 1000, 1024
 
 _shipped: set[str] = set()
+#: Tables that write_table has written, by application.
+_written: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,13 +62,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again. Lost executors can't lose it."""
+    """Cut the lineage: write df as Parquet to the shared folder and read it again. Lost executors can't lose it. `remove_tables` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gable/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> int:
+    """Remove the tables that operators have written in this application, and return how many there were.
+
+    Results of operators read them lazily, so call this when those have been read or stored.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+    return len(paths)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

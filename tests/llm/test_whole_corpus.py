@@ -1,9 +1,12 @@
 """Corpus operators on planted cases that a bounded list of candidates, a bounded span or a bounded vocabulary would lose."""
 
+from pathlib import Path
+
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from gable.llm import ann, bpe, langid, licenses, packing
+import pyarrow as pa
+from gable.llm import ann, bpe, common, langid, licenses, packing
 from pyspark.sql import functions as F
 from test_tokens import ODD, check_packing
 from tokenizers import Tokenizer
@@ -43,6 +46,40 @@ def test_clustered_vectors_need_few_lists_and_hot_shards_are_copied(spark):
     assert np.mean([len(set(found[q]) & set(brute_nearest(x, q))) / 20 for q in range(0, 6000, 50)]) >= 0.9
 
 
+def test_neighbours_beyond_the_sample(spark):
+    """More vectors than centroids and codebooks are fitted on: recall over all of them, scores exact."""
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(300, 16)) * 3
+    x = centres[rng.integers(0, 300, 2 * ann.SAMPLE)] + rng.normal(size=(2 * ann.SAMPLE, 16)) * 0.3
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 200 == 0).orderBy("query_id", "rank").collect():
+        assert abs(r["score"] - x[r["query_id"]] @ x[r["vec_id"]]) < 1e-9
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found.keys() == set(range(0, len(x), 200))
+    hits = np.array([len(set(found[q]) & set(brute_nearest(x, q))) / 20 for q in found])
+    assert hits.mean() >= 0.95 and np.quantile(hits, 0.05) >= 0.6
+
+
+def test_long_vectors_make_small_shards_and_written_tables_can_be_removed(spark, monkeypatch):
+    """Bounds in bytes instead of vectors find the same neighbours; afterwards nothing that was written is left."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(600, 64))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    folder = Path(common.shared_dir(spark).removeprefix("file://")) / "gable"
+    common.remove_tables(spark)
+    before = set(folder.glob("*")) if folder.exists() else set()
+    monkeypatch.setattr(ann, "BYTES", 64 * 8 * 50)  # 50 vectors
+    monkeypatch.setattr(ann, "TRIALS", 50)
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, recall=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert np.mean([len(set(found[q]) & set(brute_nearest(x, q))) / 20 for q in range(0, 600, 20)]) >= 0.9
+    written = set(folder.glob("*")) - before
+    assert len(written) == common.remove_tables(spark) > 0 and set(folder.glob("*")) == before
+    assert common.remove_tables(spark) == 0
+
+
 def test_language_stage_keeps_texts_when_no_language_is_known(spark):
     texts = [None, "", " 12 %", "One two.", "été", "x"]
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
