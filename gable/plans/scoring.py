@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..config import ScoreConfig
 from ..functions import finance, text
+from ..operators import history
 from . import views
 from .expressions import _hits
 from .registry import registrar
@@ -55,9 +55,8 @@ def vacancy_score(spark, sf_dir):
 
 
 def histories(spark, sf_dir) -> DataFrame:
-    """Prices of each seller's listings in order of date."""
-    own = views.table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("seller")).agg(F.sort_array(F.collect_list(F.struct(C("o_orderdate").alias("at"), C("o_orderkey").alias("id"), C("o_totalprice").alias("price")))).alias("h"))
-    return own.select("seller", F.transform("h", lambda x: x["price"]).alias("prices"))
+    """The changes of price over each seller's listings in order of date."""
+    return history.changes(views.table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice").withColumnRenamed("o_custkey", "seller")
 
 
 _LAG = "SELECT o_custkey AS seller, o_totalprice AS price, lag(o_totalprice) OVER w AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
@@ -65,17 +64,14 @@ _LAG = "SELECT o_custkey AS seller, o_totalprice AS price, lag(o_totalprice) OVE
 
 @query(f"SELECT seller, coalesce(bool_or(price < before), false) AS any_drop, coalesce(bool_or(price < before AND before > 0) FILTER (WHERE back = 1), false) AS last_drop FROM ({_LAG}) GROUP BY 1")
 def price_history_drops(spark, sf_dir):
-    return histories(spark, sf_dir).select("seller", finance.any_drop(C("prices")).alias("any_drop"), finance.last_drop(C("prices")).alias("last_drop"))
+    return histories(spark, sf_dir).select("seller", "any_drop", "last_drop")
 
 
 @query(f"SELECT seller, round(before, 2) AS old_price, round(price, 2) AS new_price, round(price - before, 2) AS diff, round((price - before) * 100.0::DOUBLE / before, 4) AS pct FROM ({_LAG}) WHERE back = 1 AND price < before AND before > 0")
 def price_drops(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    back = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    own = views.table(spark, sf_dir, "orders").withColumn("old", F.lag("o_totalprice").over(w)).withColumn("back", F.row_number().over(back))
-    own = own.where("back = 1 and o_totalprice < old and old > 0")
-    diff, pct = finance.price_change(C("old"), C("o_totalprice"))
-    return own.select(C("o_custkey").alias("seller"), F.round("old", 2).alias("old_price"), F.round("o_totalprice", 2).alias("new_price"), F.round(diff, 2).alias("diff"), F.round(pct, 4).alias("pct"))
+    own = histories(spark, sf_dir).where("last_drop")
+    diff, pct = finance.price_change(C("before"), C("last"))
+    return own.select("seller", F.round("before", 2).alias("old_price"), F.round("last", 2).alias("new_price"), F.round(diff, 2).alias("diff"), F.round(pct, 4).alias("pct"))
 
 
 _NEGOTIATION = f"least({_hits('description', ScoreConfig().signals)}, 2) * 15.0::DOUBLE + CASE WHEN id % 4 = 0 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END"
