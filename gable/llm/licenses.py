@@ -8,7 +8,8 @@ the text, a chain is parted into spans where the template begins again, so repea
 if its hits stand for enough different positions of the template. The base phrases are templates of their own that must match in full on one diagonal.
 
 Cases: null and empty text have no words; repeated rows are scanned each on their own; an empty table gives an empty result. Texts
-have no length limit: a text's k-grams are rows, not one group.
+have no length limit: a text's k-grams are rows, not one group. A notice with more than DRIFT foreign words at one place is two spans there, and is
+lost to the method if neither covers COVER of its template; base phrases aren't affected.
 """
 
 from __future__ import annotations
