@@ -68,8 +68,10 @@ def message(level: Column, title: Column, district: Column, price: Column, surfa
 
 
 def drop_message(title: Column, old: Column, new: Column) -> Column:
+    """Two lines. A change that rounds to nothing has no sign."""
     diff, pct = finance.price_change(old, new)
-    return F.concat_ws("\n", F.concat(F.lit("BAISSE DE PRIX - "), text.escape_markdown(title)), F.concat(text.money(old), F.lit(" -> "), text.money(new), F.lit(" ("), text.percent(pct), F.lit(")")))
+    share = F.regexp_replace(text.percent(pct), r"^-(0\.0%)$", "$1")
+    return F.concat_ws("\n", F.concat(F.lit("BAISSE DE PRIX - "), text.escape_markdown(title)), F.concat(text.money(old), F.lit(" -> "), text.money(new), F.lit(" ("), share, F.lit(")")))
 
 
 def selected(rows: DataFrame, order: str, n: int) -> DataFrame:
