@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -151,9 +153,23 @@ def unescape_html(c: pd.Series) -> pd.Series:
     return c.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
 
-def html_text(c: Column) -> Column:
-    """HTML as text: breaks are new lines, tags spaces, every entity decoded, spaces collapsed; empty is null."""
-    out = unescape_html(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", " "))
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _unescape_closed(t: str) -> str:
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), t)
+
+
+@F.pandas_udf(T.StringType())
+def unescape_closed_html(c: pd.Series) -> pd.Series:
+    """As unescape_html, but only entities that end in a semicolon: `&amp` alone stays."""
+    return c.map(lambda t: _unescape_closed(t) if t and "&" in t else t)
+
+
+def html_text(c: Column, closed: bool = False) -> Column:
+    """HTML as text: breaks are new lines, tags spaces, every entity decoded (with `closed` those that end in a semicolon), spaces collapsed; empty is null."""
+    unescape = unescape_closed_html if closed else unescape_html
+    out = unescape(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", " "))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.nullif(strip(out), F.lit(""))
 
