@@ -66,9 +66,7 @@ def district_attributes(spark, sf_dir):
 def nearest_cells(spark, sf_dir):
     """The nearest other point of every fifth, within 700 metres, for every point."""
     own = views.points(spark, sf_dir)
-    found = spatial.near_points(own, own.where("id % 5 = 0"), 700.0).where("id <> point_id")
-    best = found.groupBy("id").agg(F.min(F.struct("metres", "point_id")).alias("b"))
-    return own.select("id").join(best, "id", "left").select("id", C("b.point_id").alias("point"), F.round("b.metres", 3).alias("metres"))
+    return spatial.nearest_point(own, own.where("id % 5 = 0"), "id", "id", 700.0, others=True).select("id", "point", F.round("metres", 3).alias("metres"))
 
 
 @query(views.sql("SELECT id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM points WHERE lat BETWEEN 47.235 AND 47.245 AND lon > 6.02", "points"))
