@@ -262,13 +262,15 @@ def allowed_by(pages: DataFrame, rules: DataFrame, host: Column, path: Column) -
 
 
 def model_answer(c: Column) -> Column:
-    """A model's JSON answer: fences stripped, all nine keys there, else null; an unknown state is `inconnu`."""
+    """A model's JSON answer: fences stripped, all nine keys there, else null; an unknown state is `inconnu`. The text is stripped once, and parsed only if its keys are there."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    parsed = F.from_json(bare, ANSWER)
-    keys = F.json_object_keys(F.when(F.try_parse_json(bare).isNotNull(), bare))
-    whole = F.size(F.array_except(F.array(*map(F.lit, ANSWER_KEYS)), F.coalesce(keys, F.array().cast("array<string>")))) == 0
-    state = F.when(parsed["etat_bien"].isin(*STATES), parsed["etat_bien"]).otherwise("inconnu")
-    return F.when(whole, parsed.withField("etat_bien", state))
+
+    def read(t: Column) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.when(F.try_parse_json(t).isNotNull(), t)), F.array().cast("array<string>"))
+        whole = F.size(F.array_except(F.array(*map(F.lit, ANSWER_KEYS)), keys)) == 0
+        return F.when(whole, F.transform(F.array(F.from_json(t, ANSWER)), lambda a: a.withField("etat_bien", F.when(a["etat_bien"].isin(*STATES), a["etat_bien"]).otherwise("inconnu")))[0])
+
+    return F.transform(F.array(bare), read)[0]
 
 
 def lot_charges(info: Column) -> Column:
