@@ -92,11 +92,22 @@ def amount_last_separator(c: Column) -> Column:
     return F.concat(whole, F.lit("."), part).try_cast("double")
 
 
+def _replaced(c: Column, words: dict[str, str], pattern: str) -> Column:
+    """Each word's pattern in turn, only where the text holds the word: a text without it is not matched."""
+
+    def step(word: str, other: str):
+        return lambda t: F.when(t.contains(word), F.regexp_replace(t, pattern.format(word), other)).otherwise(t)
+
+    out = F.array(c)
+    for word, other in words.items():
+        out = F.transform(out, step(word, other))
+    return out[0]
+
+
 def address_form(c: Column) -> Column:
     """An address in standard form: single spaces, street types in full, capitals but for minor words after the first."""
     out = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    for short, full in ABBREVIATIONS.items():
-        out = F.regexp_replace(out, rf"((?<=[0-9]\s)|^)\Q{short}\E", full)
+    out = _replaced(out, ABBREVIATIONS, r"((?<=[0-9]\s)|^)\Q{}\E")
     words = F.split(F.trim(F.regexp_replace(out, " +", " ")), " ")
     cased = F.transform(words, lambda w, i: F.when((i == 0) | ~w.isin(*MINOR_WORDS), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))).otherwise(w))
     return F.nullif(F.array_join(cased, " "), F.lit(""))
@@ -105,8 +116,7 @@ def address_form(c: Column) -> Column:
 def address_key(c: Column) -> Column:
     """An address as a key for matching: no accents, short street types, no stop words, no punctuation."""
     out = F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), *ACCENTS)
-    for full, short in SHORT_STREETS.items():
-        out = F.regexp_replace(out, rf"\b{full}\b", short)
+    out = _replaced(out, SHORT_STREETS, r"\b{}\b")
     kept = F.array_join(F.filter(F.split(out, r"\s+"), lambda w: ~w.isin(*STOP_WORDS)), " ")
     return F.trim(F.regexp_replace(F.regexp_replace(kept, r"(?U)[^\w\s]", ""), r"\s+", " "))
 
