@@ -92,11 +92,11 @@ def flatten_ad(rows: DataFrame, ad: str = "ad") -> DataFrame:
 
 def variant_kind(v: Column) -> Column:
     """What a variant holds: number, str, list, dict or bool; null for a JSON null and for nothing."""
-    found = F.schema_of_variant(v)
-    return (
+    kind = lambda found: (
         F.when(found.startswith("ARRAY"), "list").when(found.startswith("OBJECT"), "dict").when(found == "STRING", "str").when(found == "BOOLEAN", "bool")
         .when(found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number")
     )
+    return F.transform(F.array(F.schema_of_variant(v)), kind)[0]  # the schema is worked out once
 
 
 def variant_number(v: Column) -> Column:
