@@ -71,7 +71,7 @@ def detail_fields(spark, sf_dir):
         item("Classe énergie", F.when(C("id") % 3 == 0, "NON COMMUNIQUE").otherwise(F.concat(F.lit("classe : "), letter))), item("GES", F.when(C("id") % 3 == 0, "").otherwise(F.lit("G"))),
         item("Meublé", F.when(C("id") % 4 == 0, "Oui").otherwise("Non")), item("Loyer", F.concat((F.lit(400) + C("id") % 50).cast("string"), F.lit(" € / mois"))), item("Autre", k),
     )
-    own = views.listings(spark, sf_dir).select("id", src.criteria(page).alias("c"), (C("id") % 2 == 0).alias("letting"))
+    own = views.listings(spark, sf_dir).select("id", src.named(src.criteria(page)).alias("c"), (C("id") % 2 == 0).alias("letting"))
     return own.select("id", *(c.alias(n) for n, c in src.detail_fields(C("c"), C("letting")).items()))
 
 

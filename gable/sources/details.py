@@ -49,8 +49,8 @@ def criteria(page: Column) -> Column:
     return F.zip_with(labels, values, lambda a, b: F.struct(F.lower(F.trim(a)).alias("label"), F.trim(b).alias("value")))
 
 
-def detail_fields(found: Column, letting: Column) -> dict[str, Column]:
-    """Typed fields from criteria. The first surface, rooms, energy letter and rent count, the last floor, charges and furnishing."""
+def named(found: Column) -> Column:
+    """Criteria with the name of the field that their label says, once for all fields: to be a column of its own before detail_fields reads it."""
 
     def field(label: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -61,10 +61,16 @@ def detail_fields(found: Column, letting: Column) -> dict[str, Column]:
             out = F.when(hit, name).otherwise(out)
         return out
 
+    return F.transform(found, lambda x: F.struct(field(x["label"]).alias("name"), x["value"].alias("value")))
+
+
+def detail_fields(found: Column, letting: Column) -> dict[str, Column]:
+    """Typed fields from named criteria. The first surface, rooms, energy letter and rent count, the last floor, charges and furnishing."""
+
     def value(name: str, last: bool = False) -> Column:
-        return F.try_element_at(F.filter(found, lambda x: F.coalesce(field(x["label"]) == name, F.lit(False))), F.lit(-1 if last else 1))["value"]
+        return F.try_element_at(F.filter(found, lambda x: F.coalesce(x["name"] == name, F.lit(False))), F.lit(-1 if last else 1))["value"]
 
-    letters = F.filter(F.transform(F.filter(found, lambda x: F.coalesce(field(x["label"]) == "energy", F.lit(False))), lambda x: text.energy_strict(x["value"])), lambda x: x.isNotNull())
+    letters = F.filter(F.transform(F.filter(found, lambda x: F.coalesce(x["name"] == "energy", F.lit(False))), lambda x: text.energy_strict(x["value"])), lambda x: x.isNotNull())
     return {
         "surface": text.surface_in_text(value("surface")), "rooms": text.first_int(value("rooms")), "floor": text.first_int(value("floor", True)), "charges": text.amount_last_separator(value("charges", True)),
         "energy": F.try_element_at(letters, F.lit(1)), "furnished": F.when(letting, F.lower(value("furnished", True)).isin("oui", "meublé", "meuble")), "rent": F.when(letting, text.amount_last_separator(value("rent"))),
