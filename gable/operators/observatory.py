@@ -27,27 +27,31 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, measures: dict[
     """Of each group: the totals of the measures (`all_` and the name), and for each wanted name (measure, target from its total) the smallest
     value up to which the measure's running sum reaches the target. Exact; null values don't count, a null in `by` is a group of its own.
 
-    Measures are summed by value in the map tasks already. A histogram of each group's values, of `bins` to a doubling, tells the bin that holds a target, and only
-    the values of such bins are put in order, a task for each bin: no group is ordered as a whole, however many rows or values it has.
+    A histogram of each group's values, of `bins` to a doubling, is made in the map tasks and tells the bin that holds a target. Only the values of such bins are summed by value
+    and put in order, a task for each bin: no group is ordered as a whole, and no task holds all its values, however many there are.
     """
-    by_value = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(*(F.sum(m).alias(name) for name, m in measures.items()))
-    binned = by_value.withColumn("_bin", _bin(F.col("_v").cast("double"), bins))
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), *(m.alias(name) for name, m in measures.items()))
+    own = own.withColumn("_bin", _bin(F.col("_v").cast("double"), bins))
     group = Window.partitionBy(*by)
-    counted = binned.groupBy(*by, "_bin").agg(*(F.sum(m).alias(m) for m in measures))
+    counted = own.groupBy(*by, "_bin").agg(*(F.sum(m).alias(m) for m in measures))
     # a row for each bin of a group
     counted = counted.withColumns({f"_run_{m}": F.sum(m).over(group.orderBy("_bin")) for m in measures} | {f"all_{m}": F.sum(m).over(group) for m in measures})
     target = {name: of(F.col(f"all_{m}")) for name, (m, of) in wanted.items()}
     first = [
         F.min(F.when(F.col(f"_run_{m}") >= target[name], F.struct(F.col("_bin").alias("bin"), (F.col(f"_run_{m}") - F.col(m)).alias("before")))).alias(f"_at_{name}") for name, (m, _) in wanted.items()
     ]
-    held = _attach(binned, counted.groupBy(*by).agg(*first, *(F.max(f"all_{m}").alias(f"all_{m}") for m in measures)), by)
-    inside = {name: F.col("_bin") == F.col(f"_at_{name}.bin") for name in wanted}
-    held = held.where(reduce(Column.__or__, inside.values()))
+    totals = [f"all_{m}" for m in measures]
+    places = counted.groupBy(*by).agg(*first, *(F.max(c).alias(c) for c in totals))
+    places = places.select(*by, *totals, *(F.col(f"_at_{name}.{part}").alias(f"_{part}_{name}") for name in wanted for part in ("bin", "before")))
+    inside = {name: F.col("_bin") == F.col(f"_bin_{name}") for name in wanted}
+    held = _attach(own, places, by).where(reduce(Column.__or__, inside.values()))
+    of_group = [c for c in places.columns if c not in by]
+    held = held.groupBy(*by, "_bin", "_v").agg(*(F.sum(m).alias(m) for m in measures), *(F.first(c).alias(c) for c in of_group))
     held = held.withColumns({f"_run_{m}": F.sum(m).over(Window.partitionBy(*by, "_bin").orderBy("_v")) for m in measures})
-    reached = {name: inside[name] & (F.col(f"_at_{name}.before") + F.col(f"_run_{m}") >= target[name]) for name, (m, _) in wanted.items()}
+    reached = {name: inside[name] & (F.col(f"_before_{name}") + F.col(f"_run_{m}") >= target[name]) for name, (m, _) in wanted.items()}
     # sums of fractions may miss the target by rounding at a bin's last value
     found = [F.coalesce(F.min(F.when(reached[name], F.col("_v"))), F.max(F.when(inside[name], F.col("_v")))).alias(name) for name in wanted]
-    return held.groupBy(*by).agg(*found, *(F.max(f"all_{m}").alias(f"all_{m}") for m in measures))
+    return held.groupBy(*by).agg(*found, *(F.max(c).alias(c) for c in totals))
 
 
 def _bin(v: Column, bins: int) -> Column:
