@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import remove_tables, shared_dir, write_table  # noqa: F401
+
 #: Rows of an id table that may be broadcast (8 bytes each, so 8 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows in an Arrow batch, at most: whole texts, of any length, are sent to Python in these.
@@ -25,8 +26,6 @@ HOT_SHARE = 1000
 MAX_CLASSES, SAMPLE_BINS = 1000, 1024
 
 _shipped: set[str] = set()
-#: Tables that write_table has written, by application.
-_written: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,39 +48,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only on a local master that has none configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gable-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again. Lost executors can't lose it. `remove_tables` removes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gable/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_tables(spark: SparkSession) -> int:
-    """Remove the tables that operators have written in this application, and return how many there were.
-
-    Results of operators read them lazily, so call this when those have been read or stored.
-    """
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
-    return len(paths)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
